@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import quality_rules
+from corpusmill.llm import line_dedup, quality_rules
 from corpusmill.llm.common import table
 
 
 def queries():
     return {
         "op3_quality_rules": lambda spark, d: quality_rules.op3_quality_rules(table(spark, d, "documents")),
+        "op6_line_dedup": lambda spark, d: line_dedup.op6_line_dedup(table(spark, d, "documents")),
     }
 
 
 def oracle_sql():
-    return {"op3_quality_rules": quality_rules.ORACLE}
+    return {"op3_quality_rules": quality_rules.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
