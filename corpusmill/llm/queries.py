@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import line_dedup, quality_rules
+from corpusmill.llm import line_dedup, near_dedup, quality_rules
 from corpusmill.llm.common import table
 
 
 def queries():
     return {
         "op3_quality_rules": lambda spark, d: quality_rules.op3_quality_rules(table(spark, d, "documents")),
+        "op4_near_dedup": lambda spark, d: near_dedup.op4_near_dedup(table(spark, d, "documents")),
         "op6_line_dedup": lambda spark, d: line_dedup.op6_line_dedup(table(spark, d, "documents")),
     }
 
