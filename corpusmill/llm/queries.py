@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, line_dedup, near_dedup, quality_rules
+from corpusmill.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
 from corpusmill.llm.common import table
 
 
 def queries():
     return {
         "op1_decontaminate": lambda spark, d: decontaminate.op1_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op2_best_fit_packing": lambda spark, d: packing.op2_best_fit_packing(table(spark, d, "documents")),
         "op3_quality_rules": lambda spark, d: quality_rules.op3_quality_rules(table(spark, d, "documents")),
         "op4_near_dedup": lambda spark, d: near_dedup.op4_near_dedup(table(spark, d, "documents")),
         "op6_line_dedup": lambda spark, d: line_dedup.op6_line_dedup(table(spark, d, "documents")),
