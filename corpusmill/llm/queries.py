@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
+from corpusmill.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, quality_rules, token_counts, url_filter
 from corpusmill.llm.common import table
 
 
@@ -12,9 +12,12 @@ def queries():
         "op2_best_fit_packing": lambda spark, d: packing.op2_best_fit_packing(table(spark, d, "documents")),
         "op3_quality_rules": lambda spark, d: quality_rules.op3_quality_rules(table(spark, d, "documents")),
         "op4_near_dedup": lambda spark, d: near_dedup.op4_near_dedup(table(spark, d, "documents")),
+        "op5_license_scan": lambda spark, d: license_scan.op5_license_scan(table(spark, d, "documents")),
         "op6_line_dedup": lambda spark, d: line_dedup.op6_line_dedup(table(spark, d, "documents")),
+        "op7_url_filter": lambda spark, d: url_filter.op7_url_filter(table(spark, d, "pages")),
+        "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(table(spark, d, "documents"), table(spark, d, "labels")),
     }
 
 
 def oracle_sql():
-    return {"op3_quality_rules": quality_rules.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+    return {"op3_quality_rules": quality_rules.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
