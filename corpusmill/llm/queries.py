@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, quality_rules, token_counts, url_filter
+from corpusmill.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, quality_classifier, quality_rules, token_counts, url_filter
 from corpusmill.llm.common import table
 
 
@@ -15,6 +15,7 @@ def queries():
         "op5_license_scan": lambda spark, d: license_scan.op5_license_scan(table(spark, d, "documents")),
         "op6_line_dedup": lambda spark, d: line_dedup.op6_line_dedup(table(spark, d, "documents")),
         "op7_url_filter": lambda spark, d: url_filter.op7_url_filter(table(spark, d, "pages")),
+        "op8_quality_classifier": lambda spark, d: quality_classifier.op8_quality_classifier(table(spark, d, "documents"), table(spark, d, "labels")),
         "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(table(spark, d, "documents"), table(spark, d, "labels")),
     }
 
