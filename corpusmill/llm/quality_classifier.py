@@ -97,7 +97,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, decay: f
         slope = z.T @ (weight * (1 / (1 + np.exp(-np.clip(z @ w, -30, 30))) - y)) + decay * w
         v = 0.9 * v - rate * 0.1 * slope
         w += v
-    return w * scale
+    return (w * scale).astype(np.float64)
 
 
 def odds(w: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -198,7 +198,7 @@ def score_documents(docs: DataFrame, model: CoTrained | None, id_col: str = "doc
                 batch = whole.slice(a, 1000)
                 known = shared.value
                 s = known.score(*_features(batch)) if known is not None else np.full((batch.num_rows, 3), 0.5)
-                yield pa.record_batch([batch.column(0), *(pa.array(s[:, k]) for k in range(3))], names=["id", "text_score", "meta_score", "score"])
+                yield pa.record_batch([batch.column(0), *(pa.array(s[:, k], pa.float64()) for k in range(3))], names=["id", "text_score", "meta_score", "score"])
 
     src = docs.select(docs[id_col].alias("id"), *_inputs(docs, text_col))
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text_score double, meta_score double, score double")
