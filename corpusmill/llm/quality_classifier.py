@@ -84,7 +84,7 @@ def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, decay: float = 1e-4, steps: int = 150, rate: float = 1.0) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, decay: float = 1e-4, steps: int = 300, rate: float = 1.0) -> np.ndarray:
     """Logistic regression by gradient descent with momentum; the last weight is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
     weight = np.ones(len(y)) if weight is None else weight
@@ -204,6 +204,6 @@ def score_documents(docs: DataFrame, model: CoTrained | None, id_col: str = "doc
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text_score double, meta_score double, score double")
 
 
-def op8_quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def op8_quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     scored = score_documents(docs, train(docs, labels))
     return scored.select(F.col("id").alias("doc_id"), "text_score", "meta_score", "score", (F.col("score") >= threshold).alias("kept"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, quality_classifier, quality_rules, token_counts, url_filter
+from corpusmill.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts, url_filter
 from corpusmill.llm.common import table
 
 
 def queries():
     return {
         "op1_decontaminate": lambda spark, d: decontaminate.op1_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op10_pii": lambda spark, d: pii.op10_pii(table(spark, d, "documents")),
         "op2_best_fit_packing": lambda spark, d: packing.op2_best_fit_packing(table(spark, d, "documents")),
         "op3_quality_rules": lambda spark, d: quality_rules.op3_quality_rules(table(spark, d, "documents")),
         "op4_near_dedup": lambda spark, d: near_dedup.op4_near_dedup(table(spark, d, "documents")),
