@@ -63,11 +63,11 @@ def text_features(column: pa.Array) -> np.ndarray:
         own = words[at[i] : at[i + 1]]
         if len(own):
             out[i, 7] = lengths[at[i] : at[i + 1]].mean() / 10
-            out[i, 8] = 1 - len(np.unique(own)) / len(own)
+            out[i, 8] = (len(own) - len(np.unique(own))) / (len(own) + 10)
             if len(own) > 2:
                 windows = np.unique(mix(mix(own[:-2]) + own[1:-1]) ^ own[2:])
-                out[i, 9] = 1 - len(windows) / (len(own) - 2)
-            out[i, STATS:] = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=BUCKETS) / len(own) * 4
+                out[i, 9] = (len(own) - 2 - len(windows)) / (len(own) + 8)
+            out[i, STATS:] = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=BUCKETS) / (len(own) + 30) * 4  # few words say little
     return out
 
 
@@ -204,6 +204,6 @@ def score_documents(docs: DataFrame, model: CoTrained | None, id_col: str = "doc
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text_score double, meta_score double, score double")
 
 
-def op8_quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def op8_quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.2) -> DataFrame:
     scored = score_documents(docs, train(docs, labels))
     return scored.select(F.col("id").alias("doc_id"), "text_score", "meta_score", "score", (F.col("score") >= threshold).alias("kept"))
