@@ -7,26 +7,46 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import materialise
 
+#: Labels and edges are two short columns; a task takes so many rows.
+ROWS_PER_TASK = 500_000
+
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for each node of edges (a, b): label is the least node of its component.
 
     Every round takes the least label among the neighbours and then the label of the label, so a path of n nodes
-    takes about log n rounds. Labels live in the shared folder; the driver sees only whether a round changed any.
-    Both steps are aggregations with a combiner or joins against one row for each node, so a node with very many
+    takes about log n rounds. Labels live in the shared folder; the driver sees only counts and whether a round changed
+    any. Both steps are aggregations with a combiner or joins against one row for each node, so a node with very many
     edges is not gathered anywhere.
     """
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "cc-edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "cc-labels")
+    tasks = both.count() // ROWS_PER_TASK + 1
+    keep = lambda df: materialise(df.coalesce(tasks), "cc-labels")
+    labels = keep(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
     for _ in range(rounds):
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
-        near = labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old"))
-        near = materialise(near, "cc-near")
+        near = keep(labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old")))
         up = near.select(F.col("node").alias("up"), F.col("label").alias("top"))
-        jumped = near.join(up, near["label"] == up["up"]).select("node", F.least("label", "top").alias("label"), "old")
-        jumped = materialise(jumped, "cc-jumped")
-        changed = not jumped.where("label != old").isEmpty()
+        jumped = keep(near.join(up, near["label"] == up["up"]).select("node", F.least("label", "top").alias("label"), "old"))
         labels = jumped.select("node", "label")
-        if not changed:
+        if jumped.where("label != old").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def relabel(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """df with column name: the label of column node, or the node itself if it has none."""
+    some = labels.select(F.col("node").alias(node), F.col("label").alias("label_"))
+    return df.join(some, node, "left").withColumn(name, F.coalesce("label_", node)).drop("label_")
+
+
+def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: only the components that a link connects take part in the rounds."""
+    across = relabel(relabel(links, labels, "a", "x"), labels, "b", "y").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    across = materialise(across, "cc-across")
+    if across.isEmpty():
+        return labels
+    merged = connected_components(across)
+    moved = relabel(labels.withColumnRenamed("label", "part"), merged, "part", "label").select("node", "label")
+    fresh_nodes = merged.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    return materialise(moved.union(fresh_nodes), "cc-labels")

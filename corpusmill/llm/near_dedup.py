@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import fresh, materialise
-from corpusmill.llm.components import connected_components
+from corpusmill.llm.components import connected_components, join_components, relabel
 
 UNIVERSE_BITS = 20
 BANDS, ROWS = 48, 6
@@ -212,16 +212,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(_verify(nearest.select(F.col("hub").alias("a"), F.col("digest").alias("b")), texts, size, percent), "links")
     labels = connected_components(links)
 
-    def labelled(df: DataFrame, node: str, name: str) -> DataFrame:
-        some = labels.select(F.col("node").alias(node), F.col("label").alias("label_"))
-        return df.join(some, node, "left").withColumn(name, F.coalesce("label_", node)).drop("label_")
-
-    rest = labelled(labelled(star.join(nearest, ["digest", "hub"], "left_anti"), "digest", "x"), "hub", "y").where("x != y")
+    rest = relabel(relabel(star.join(nearest, ["digest", "hub"], "left_anti"), labels, "digest", "x"), labels, "hub", "y").where("x != y")
     more = materialise(_verify(rest.select(F.col("hub").alias("a"), F.col("digest").alias("b")), texts, size, percent), "links")
-    links = links.union(more)
-    labels = connected_components(links)
+    labels = join_components(labels, more)
 
-    mixed = labelled(members, "digest", "part")
+    mixed = relabel(members, labels, "digest", "part")
     several = mixed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("c")).where("p != q and c > 2").select("key")
     left = materialise(mixed.join(several, "key", "left_semi").select("digest", "part").distinct(), "mixed-classes")
     residual = left.join(texts, "digest")
@@ -237,10 +232,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fits = (F.col("digest_a") < F.col("digest_b")) & (F.col("part_a") != F.col("part_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     pairs = one.join(two, "shingle").where(fits).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
     last = materialise(_verify(pairs, texts, size, percent), "links")
-    if not last.isEmpty():
-        labels = connected_components(links.union(last))
+    labels = join_components(labels, last)
 
-    classes = labelled(owners.select("digest", "least_id"), "digest", "part")
+    classes = relabel(owners.select("digest", "least_id"), labels, "digest", "part")
     least = classes.groupBy("part").agg(F.min("least_id").alias("component"))
     classes = classes.join(least, "part").select("digest", "component")
     out = sketches.select("id", "text_hash", "n", "digest").join(classes, "digest", "left")
