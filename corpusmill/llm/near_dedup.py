@@ -8,11 +8,12 @@ entries, so a signature is a minimum over table rows and no K hash functions are
 Candidates. 48 bands of 6 rows: two texts with similarity 0.8 share no band with probability (1 - 0.8**6)**48 = 5e-7.
 All texts with the same shingle set are one class (a copy costs one row, not a pair). Bands hold classes.
 
-Links. Not all pairs of a bucket are made. A class is compared with the least class of each of its buckets, first with
-the least of these, then with the rest that are not yet in its component. For what could still be missed (two
-classes that share a bucket, both linked or not to its least class, in different components) the residual step uses an exact
-prefix filter: with the shingles of each class in one global order, rarest first, two sets of similarity t share one
-of the first n - ceil(t * n) + 1. Only classes of buckets with several components take part, and only pairs across components.
+Links. Not all pairs of a bucket are made. A bucket's hub is its class with the most company over all buckets. A class is
+compared with the hub that it shares most buckets with, then with its other hubs that are not yet in its component. For
+what could still be missed (two classes of a bucket, neither or only one linked to its hub) the residual step uses an exact prefix filter with
+positions: with the shingles of each class in one global order, rarest first, two sets of similarity t share one
+of the first n - ceil(t * n) + 1, and of the smaller set one of still fewer, with enough behind it. Only classes of
+buckets with several components take part, and only pairs across components.
 Every candidate is verified on the full sets, so no link is taken on trust and none within the buckets is lost.
 
 Bounds: the order of shingles comes from a table of 2**20 counters, the only thing that is broadcast (8 MB at most, whatever the
@@ -151,22 +152,23 @@ def _counter(size: int):
 
 
 def _prefixer(size: int, percent: int, counts):
+    """For each set the first n - ceil(percent / 100 * n) + 1 of its shingles, rarest first, with their place in that order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
+        join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
         for batch in batches:
-            owners, ns, shingles = [], [], []
+            owners, ns, places, shingles = [], [], [], []
             for i, s in enumerate(shingle_sets(batch.column(batch.num_columns - 1), size)):
                 take = len(s) + (-percent * len(s)) // 100 + 1
                 rare = table[(s >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)]
-                first = s[np.lexsort((s, rare))[:take]]
+                first = s[np.lexsort((s, rare))[:take]].view(np.int64)
                 owners.append(np.full(len(first), i, np.int64))
                 ns.append(np.full(len(first), len(s), np.int64))
+                places.append(np.arange(len(first)))
                 shingles.append(first)
-            owner = pa.array(np.concatenate(owners) if owners else np.empty(0, np.int64))
-            yield pa.record_batch(
-                [*(c.take(owner) for c in batch.columns[:-1]), pa.array(np.concatenate(ns) if ns else np.empty(0, np.int64)), pa.array((np.concatenate(shingles) if shingles else np.empty(0, np.uint64)).view(np.int64))],
-                names=[*batch.schema.names[:-1], "n", "shingle"],
-            )
+            owner = pa.array(join(owners))
+            yield pa.record_batch([*(c.take(owner) for c in batch.columns[:-1]), *(pa.array(join(x)) for x in (ns, places, shingles))], names=[*batch.schema.names[:-1], "n", "pos", "shingle"])
 
     return run
 
@@ -198,17 +200,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = known.join(owners.select("digest", "id", "text_hash").withColumnRenamed("id", "own").withColumnRenamed("text_hash", "own_hash"), "digest")
     banded = banded.where(F.col("id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash"))).dropDuplicates(["digest"])
     banded = banded.select("digest", "n", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("digest").alias("hub"), F.max("digest").alias("last")).where("hub != last").select("key", "hub")
-    members = materialise(banded.join(hubs, "key"), "buckets")  # only buckets of two classes or more
+    sizes = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialise(banded.join(sizes, "key"), "buckets")  # only buckets of two classes or more
 
     wanted = owners.join(members.select("digest").distinct(), "digest", "left_semi")
     src_rows = src.withColumnRenamed("id", "src_id").withColumnRenamed("text_hash", "src_hash")
     texts = src_rows.join(wanted.hint("shuffle_hash"), F.col("src_id").eqNullSafe(F.col("id")) & (F.col("src_hash") == F.col("text_hash")))
     texts = materialise(texts.dropDuplicates(["digest"]).select("digest", "text"), "candidate-texts")
 
-    star = members.where("digest != hub").groupBy("digest", "hub").agg(F.count("*").alias("shared"))
-    star = materialise(star, "star-pairs")
-    nearest = star.groupBy("digest").agg(F.min("hub").alias("hub"))
+    # the hub of a bucket is its class with the most company over all buckets: in a group of copies, what they were copied from
+    company = members.groupBy("digest").agg(F.sum("size").alias("company"))
+    hubs = members.select("key", "digest").join(company, "digest").groupBy("key").agg(F.max(F.struct("company", "digest")).alias("hub"))
+    star = members.join(hubs.select("key", F.col("hub.digest").alias("hub")), "key").where("digest != hub")
+    star = materialise(star.groupBy("digest", "hub").agg(F.count("*").alias("shared")), "star-pairs")
+    nearest = star.groupBy("digest").agg(F.max(F.struct("shared", "hub")).alias("most")).select("digest", F.col("most.hub").alias("hub"))
     links = materialise(_verify(nearest.select(F.col("hub").alias("a"), F.col("digest").alias("b")), texts, size, percent), "links")
     labels = connected_components(links)
 
@@ -225,11 +230,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for batch in counted.toArrow().to_batches():
         table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     counts = spark.sparkContext.broadcast(table)
-    rare = materialise(residual.select("digest", "part", "text").mapInArrow(_prefixer(size, percent, counts), "digest binary, part binary, n bigint, shingle bigint"), "prefixes")
+    rare = materialise(residual.select("digest", "part", "text").mapInArrow(_prefixer(size, percent, counts), "digest binary, part binary, n bigint, pos bigint, shingle bigint"), "prefixes")
     split = rare.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("shingle")
     rare = rare.join(split, "shingle", "left_semi")
-    one, two = (rare.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("digest", "part", "n"))) for k in ("a", "b"))
-    fits = (F.col("digest_a") < F.col("digest_b")) & (F.col("part_a") != F.col("part_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    # the smaller set of a pair need only be met in a shorter prefix; what is left behind the shingle must suffice for the overlap
+    one = rare.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("digest", "part", "n", "pos")))
+    two = rare.where(F.col("pos") < F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}") + 1)
+    two = two.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("digest", "part", "n", "pos")))
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("digest_a") > F.col("digest_b")))
+    enough = F.least(F.expr("n_a - pos_a"), F.expr("n_b - pos_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    fits = larger & enough & (F.col("part_a") != F.col("part_b")) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     pairs = one.join(two, "shingle").where(fits).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
     last = materialise(_verify(pairs, texts, size, percent), "links")
     labels = join_components(labels, last)
