@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusmill.functions import text as tx
 from corpusmill.functions import tokens as tk
@@ -133,11 +134,15 @@ def first_rows(df: DataFrame, n: int | None, by: str = "idx") -> DataFrame:
 
 
 def with_index(df: DataFrame, order: list[Column | str] | None = None) -> DataFrame:
-    """df with a dense idx from 0: places in the file as read, or in the given order.
+    """df with a dense idx from 0: places in the files as read, or in the given order.
 
-    Numbers are running counts of partitions plus the place inside one, so no single task sorts or numbers the table.
+    A row's number is its place in its partition plus the rows of the partitions before it; only one count for each
+    partition is gathered. Rows of the source must come the same way twice, as they do from files or a sort by a key.
     """
-    src = df.orderBy(*order) if order else df
-    schema = src.schema
-    rows = src.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(rows, schema.add("idx", "bigint") if "idx" not in schema.names else schema)
+    inside = (1 << 33) - 1
+    src = (df.orderBy(*order) if order else df).withColumn("place_", F.monotonically_increasing_id())
+    src = src.withColumns({"part_": F.shiftright("place_", 33), "place_": F.col("place_").bitwiseAND(inside)})
+    before = F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = src.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(before, F.lit(0)).alias("first_"))
+    numbered = src.join(firsts, "part_").withColumn("idx", F.col("first_") + F.col("place_"))
+    return numbered.drop("part_", "place_", "first_")
