@@ -18,7 +18,7 @@ that a third of all documents share is never gathered into a task. Window ranks
 
 Defined cases: null text stays null; empty texts and texts without repeated runs come back as they are; of equal texts
 the one with the smallest key keeps its lines (null key first); rows equal in key and text count as one document and share its
-fate; an empty table stays empty. Blank lines inside a deleted run go with it, other blank lines stay. Other columns are
+fate; an empty table stays empty. Blank lines inside a deleted window go with it, other blank lines stay. Other columns are
 carried through, whatever their names.
 """
 
