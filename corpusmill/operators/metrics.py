@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill import schemas
-from corpusmill.functions.text import strip
+from corpusmill.functions.text import let, strip
 
 _ratio = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))  # noqa: E731  0 of no rows
 
@@ -63,46 +63,60 @@ def whitespace_tokens(text: Column) -> Column:
 
 
 def _grams(tokens: Column, n: int) -> Column:
-    """All n-grams with their order, as (n, gram). The upper bound guards sequence(), which would count down."""
-    some = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), "\u0001").alias("gram")))
-    return F.when(F.size(tokens) >= n, some).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
+    """All n-grams in order. The test guards sequence(), which would count down."""
+    some = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), "\u0001"))
+    return F.when(F.size(tokens) >= n, some).otherwise(F.array().cast("array<string>"))
 
 
-def bleu_ngram_stats(ev: DataFrame, tokenize: Callable[[Column], Column] = whitespace_tokens, by: list[str] = (), order: int = 4, weight: Callable[[Column], Column] | None = None) -> DataFrame:
-    """correct and total n-grams for each order n, counts clipped by pair. weight: of a gram, for weighted counts.
+def _matches(p: Column, r: Column, weight) -> Column:
+    """(correct, total): grams of p that r has, clipped by how often, and all grams of p. Both lists are sorted as one, so that
+    equal grams are neighbours and one pass counts them."""
+    w = (lambda g: weight(g).cast("double")) if weight else (lambda g: F.lit(1.0))
+    side = lambda grams, own: F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(own).alias("p")))
+    settled = lambda a: a["c"] + F.least(a["p"], a["r"]) * w(a["g"])
+    state = lambda g, p, r, c, t: F.struct(g.alias("g"), p.alias("p"), r.alias("r"), c.alias("c"), t.alias("t"))
+
+    def step(a: Column, x: Column) -> Column:
+        total = a["t"] + x["p"] * w(x["g"])
+        return F.when(a["g"] == x["g"], state(a["g"], a["p"] + x["p"], a["r"] + 1 - x["p"], a["c"], total)).otherwise(state(x["g"], x["p"], 1 - x["p"], settled(a), total))
+
+    zero = state(F.lit(""), F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0))
+    return F.aggregate(F.sort_array(F.concat(side(p, 1), side(r, 0))), zero, step, lambda a: F.struct(settled(a).alias("correct"), a["t"].alias("total")))
 
-    Grams of both sides are counted in one aggregation by (pair, n, gram), with partial sums before its shuffle; there
-    is no join.
-    """
-    sides = ev.select("idx", *by, tokenize(F.coalesce("prediction", F.lit(""))).alias("p"), tokenize(F.coalesce("reference", F.lit(""))).alias("r"))
-    grams = lambda c: F.flatten(F.array(*(_grams(F.col(c), n) for n in range(1, order + 1))))
-    tagged = F.concat(F.transform(grams("p"), lambda x: F.struct(x["n"].alias("n"), x["gram"].alias("gram"), F.lit(1).alias("p"))), F.transform(grams("r"), lambda x: F.struct(x["n"].alias("n"), x["gram"].alias("gram"), F.lit(0).alias("p"))))
-    rows = sides.select("idx", *by, F.inline(tagged).alias("n", "gram", "side"))
-    counts = rows.groupBy("idx", *by, "n", "gram").agg(F.sum("side").alias("np"), F.sum(1 - F.col("side")).alias("nr"))
-    w = weight(F.col("gram")) if weight else F.lit(1)
-    return counts.groupBy(*by, "n").agg(F.sum(F.least("np", "nr") * w).alias("correct"), F.sum(F.col("np") * w).alias("total"))
 
+def _bleu_sums(ev: DataFrame, tokenize: Callable[[Column], Column], by: list[str], order: int, weight) -> DataFrame:
+    """Lengths and n-gram counts of whole groups. Pairs are counted where they are; only sums are shuffled."""
 
-def bleu_lengths(ev: DataFrame, tokenize: Callable[[Column], Column] = whitespace_tokens, by: list[str] = ()) -> DataFrame:
-    size = lambda c: F.coalesce(F.sum(F.size(tokenize(F.coalesce(c, F.lit(""))))), F.lit(0))
-    return ev.groupBy(*by).agg(size("prediction").alias("sys_len"), size("reference").alias("ref_len"))
+    def measured(p: Column, r: Column) -> Column:
+        parts = {f"m{n}": _matches(_grams(p, n), _grams(r, n), weight) for n in range(1, order + 1)}
+        return F.struct(F.size(p).alias("sys_len"), F.size(r).alias("ref_len"), *(c.alias(n) for n, c in parts.items()))
+
+    texts = [tokenize(F.coalesce(c, F.lit(""))) for c in ("prediction", "reference")]
+    pair = let(texts[0], lambda p: let(texts[1], lambda r: measured(p, r)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = [total(f"x.{c}").cast("long").alias(c) for c in ("sys_len", "ref_len")]
+    sums += [total(f"x.m{n}.{c}").alias(f"{c}_{n}") for n in range(1, order + 1) for c in ("correct", "total")]
+    return ev.select(*by, pair.alias("x")).groupBy(*by).agg(*sums)
+
+
+def bleu_ngram_stats(ev: DataFrame, tokenize: Callable[[Column], Column] = whitespace_tokens, by: list[str] = (), order: int = 4, weight: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(n, correct, total) for each order, counts clipped by pair. weight: of a gram, for weighted counts."""
+    kind = "double" if weight else "long"
+    rows = F.array(*(F.struct(F.lit(n).alias("n"), F.col(f"correct_{n}").cast(kind).alias("correct"), F.col(f"total_{n}").cast(kind).alias("total")) for n in range(1, order + 1)))
+    return _bleu_sums(ev, tokenize, by, order, weight).select(*by, F.inline(rows))
 
 
 def corpus_bleu(ev: DataFrame, tokenize: Callable[[Column], Column] = tokens_13a, by: list[str] = (), order: int = 4, weight=None) -> DataFrame:
     """0 to 100: geometric mean of the precisions (those without a match halved again and again) times the brevity penalty."""
-    stats = bleu_ngram_stats(ev, tokenize, by, order, weight)
-    pivoted = stats.groupBy(*by).agg(*(F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}_{n}") for n in range(1, order + 1) for c in ("correct", "total")))
-    lengths = bleu_lengths(ev, tokenize, by)
-    both = lengths.join(pivoted, list(by), "left") if by else lengths.join(F.broadcast(pivoted), F.lit(True), "left")  # one row each
     log_sum, zeros = F.lit(0.0), F.lit(0)
     for n in range(1, order + 1):
-        correct, total = F.coalesce(f"correct_{n}", F.lit(0)), F.coalesce(f"total_{n}", F.lit(0)).cast("double")
+        correct, total = F.col(f"correct_{n}"), F.col(f"total_{n}")
         zeros = zeros + F.when(correct == 0, 1).otherwise(0)
         log_sum = log_sum + F.log(F.when(total == 0, F.lit(None)).when(correct == 0, 1 / (F.pow(F.lit(2.0), zeros) * total)).otherwise(correct / total))
-    brevity = F.when(F.col("sys_len") >= F.col("ref_len"), F.lit(1.0)).otherwise(F.exp(1 - F.col("ref_len") / F.col("sys_len").cast("double")))
-    none = F.coalesce(F.col("correct_1"), F.lit(0)) == 0
-    score = F.when(none | log_sum.isNull(), F.lit(0.0)).otherwise(100 * brevity * F.exp(log_sum / order))
-    return both.select(*by, score.alias("score"), F.lit(None).cast("long").alias("passed"))
+    longer = F.col("sys_len") >= F.col("ref_len")
+    brevity = F.when(longer, F.lit(1.0)).otherwise(F.exp(1 - F.col("ref_len") / F.nullif("sys_len", F.lit(0)).cast("double")))
+    score = F.when((F.col("correct_1") == 0) | log_sum.isNull(), F.lit(0.0)).otherwise(100 * brevity * F.exp(log_sum / order))
+    return _bleu_sums(ev, tokenize, by, order, weight).select(*by, score.alias("score"), F.lit(None).cast("long").alias("passed"))
 
 
 # Java's reserved words.
