@@ -1 +1 @@
-
+"""Corpora of generated code and of training text on Spark."""

@@ -1 +1 @@
-
+"""Functions on columns."""

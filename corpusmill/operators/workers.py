@@ -15,6 +15,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,19 +89,38 @@ def _mapped(df: DataFrame, columns: list[str], ddl: str, work: Callable[[JavaToo
             if tool:
                 tool.close()
 
-    rows = df.select(*columns)
+    return _spread(df.select(*columns)).mapInPandas(run, ddl)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """df on all cores if it has fewer partitions: a few files would leave cores idle while each row costs milliseconds."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:  # a few files would leave cores idle while each row costs milliseconds
-        rows = rows.repartition(cores)
-    return rows.mapInPandas(run, ddl)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def parse_java(ev: DataFrame, code_col: str = "prediction", idx: str = "idx") -> DataFrame:
-    """ev with parse_ok: whether the code, in a class of its own if it names none, is Java by syntax. Only rows that pass the cheap tests are parsed."""
-    candidates = ev.where(~gates.trivially_invalid(F.col(code_col))).select(idx, gates.to_parse(F.col(code_col)).alias("code_"))
-    kind = ev.schema[idx].dataType.simpleString()
-    parsed = _mapped(candidates, [idx, "code_"], f"{idx} {kind}, parsed_ boolean", lambda tool, pdf: pd.DataFrame({idx: pdf[idx], "parsed_": [tool.ask("parse", c)[0] == "1" for c in pdf["code_"]]}))
-    return ev.join(parsed, idx, "left").withColumn("parse_ok", F.coalesce("parsed_", F.lit(False))).drop("parsed_")
+def parse_java(ev: DataFrame, code_col: str = "prediction") -> DataFrame:
+    """ev with parse_ok: whether the code, in a class of its own if it names none, is Java by syntax.
+
+    Rows go through in place, without a join; only those that pass the cheap tests reach the parser.
+    """
+    code = F.when(~gates.trivially_invalid(F.col(code_col)), gates.to_parse(F.col(code_col)))
+    rows = _spread(ev.select(*(ev[c].alias(f"c{i}") for i, c in enumerate(ev.columns)), code.alias("code")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = None
+        try:
+            for batch in batches:
+                ok = []
+                for c in batch.column(batch.num_columns - 1).to_pylist():
+                    tool = tool or (JavaTool() if c is not None else None)
+                    ok.append(c is not None and tool.ask("parse", c)[0] == "1")
+                yield pa.record_batch([*batch.columns[:-1], pa.array(ok, pa.bool_())], names=[*batch.schema.names[:-1], "parse_ok"])
+        finally:
+            if tool:
+                tool.close()
+
+    ddl = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(ev.schema.fields)), "parse_ok boolean"])
+    return rows.mapInArrow(run, ddl).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(ev.columns)), "parse_ok")
 
 
 def compile_java(ev: DataFrame, code_col: str = "prediction", idx: str = "idx", classpath: str = "", messages_only: bool = False) -> DataFrame:

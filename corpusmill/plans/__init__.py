@@ -1 +1 @@
-
+"""Plans, fixtures and queries."""

@@ -1 +1 @@
-
+"""Nothing yet: there is no streaming operator to match, and the column functions work on streams as they are."""
