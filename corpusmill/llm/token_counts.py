@@ -42,12 +42,16 @@ def bpe_counts(docs: DataFrame, keep: list[str], text_col: str = "text", vocabul
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "n_bpe")
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """A row for each document and tokenizer version: id, source, lang, tokenizer, tokens."""
-    words = docs.withColumn("n_words", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
-    counted = bpe_counts(words, [id_col, "source", "lang", "n_words"], text_col, vocabulary)
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each document and tokenizer version: id, source, lang, the columns keep, tokenizer, tokens."""
+    words = docs.withColumn("n_words", word_count(F.col(text_col)))
+    counted = bpe_counts(words, [id_col, "source", "lang", *keep, "n_words"], text_col, vocabulary)
     each = F.array(F.struct(F.lit("byte_bpe_50k-1").alias("tokenizer"), F.col("n_bpe").alias("tokens")), F.struct(F.lit("words-1").alias("tokenizer"), F.col("n_words").alias("tokens")))
-    return counted.select(F.col(id_col).alias("id"), "source", "lang", F.inline(each))
+    return counted.select(F.col(id_col).alias("id"), "source", "lang", *keep, F.inline(each))
 
 
 def signed(counts: DataFrame, sign: int) -> DataFrame:
@@ -128,18 +132,18 @@ class Ledger:
 
 
 def op9_token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Loads all documents (twice, which must count once), then deletes the toxic ones and recounts texts of low quality
-    with copyright lines and outer white space gone; returns the rollup."""
-    spark = docs.sparkSession
-    own = docs.select("doc_id", "source", "lang", "text")
-    counts = materialise(count_tokens(own), "token-counts")
-    ledger = Ledger(spark)
+    """Loads all documents (twice, which must count once), then deletes the toxic ones and revises the word counts of those of
+    poor quality to what is left without symbols; returns the rollup. Texts are read once, in place: the later batches
+    join the counts, which are a few numbers for each document."""
+    own = docs.select("doc_id", "source", "lang", "text", word_count(F.regexp_replace("text", "[#*$%&|<>]+", "")).alias("n_revised"))
+    counts = materialise(count_tokens(own, keep=("n_revised",)), "token-counts")
+    ledger = Ledger(docs.sparkSession)
     ledger.commit("load", inserts(counts))
     ledger.commit("load", inserts(counts))
     toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
-    poor = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
+    poor = labels.where("quality = 0 and toxic = 0").select(F.col("doc_id").alias("id")).distinct()
     ledger.commit("drop-toxic", deletes(counts.join(toxic, "id", "left_semi")))
-    trimmed = own.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[#*$%&|<>]+", ""))
-    ledger.commit("recount-poor", revisions(counts.join(poor.withColumnRenamed("doc_id", "id"), "id", "left_semi"), count_tokens(trimmed)))
+    old = counts.where("tokenizer = 'words-1'").join(poor, "id", "left_semi")
+    ledger.commit("revise-poor", revisions(old, old.withColumn("tokens", F.col("n_revised"))))
     ledger.compact()
     return ledger.totals()
