@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import fresh
+from corpusmill.llm.common import fresh, let
 from corpusmill.llm.licenses import NOTICES, TEXTS
 
 #: Spellings that licence matching guidelines hold to be the same.
@@ -36,8 +36,7 @@ def canonical(text: Column) -> Column:
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical text in hex; null for one without words."""
-    c = canonical(text)
-    return F.when(c != "", F.sha2(c, 256))
+    return let(canonical(text), lambda c: F.when(c != "", F.sha2(c, 256)))
 
 
 def known_licenses(spark: SparkSession, texts=None) -> DataFrame:
