@@ -26,31 +26,42 @@ KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
 
 
-def bpe_counts(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """The columns keep and n_bpe, the number of byte-level BPE tokens of the text."""
+def bpe_counts(docs: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str | None = None, revised_col: str | None = None) -> DataFrame:
+    """The columns keep and n_bpe, the number of byte-level BPE tokens of the text; with revised_col also n_bpe_revised,
+    that of the revised text, which is null where it equals the text."""
+    texts = {"n_bpe": text_col, **({"n_bpe_revised": revised_col} if revised_col else {})}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from corpusmill.llm.tokens import encoder
 
         encode = encoder(vocabulary)
         for batch in batches:
-            counts = [len(encode(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], "n_bpe"])
+            counts = [[len(encode(t)) if t else 0 for t in batch.column(len(keep)).to_pylist()]]
+            if revised_col:
+                counts.append([n if t is None else len(encode(t)) if t else 0 for n, t in zip(counts[0], batch.column(len(keep) + 1).to_pylist())])
+            yield pa.record_batch([*batch.columns[: len(keep)], *(pa.array(c, pa.int64()) for c in counts)], names=[*batch.schema.names[: len(keep)], *texts])
 
-    src = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(keep)), docs[text_col].alias("text"))
-    out = src.mapInArrow(run, ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "n_bpe bigint"]))
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "n_bpe")
+    src = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(keep)), *(docs[c].alias(f"text{i}") for i, c in enumerate(texts.values())))
+    out = src.mapInArrow(run, ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), *(f"{n} bigint" for n in texts)]))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), *texts)
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each document and tokenizer version: id, source, lang, the columns keep, tokenizer, tokens."""
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, keep: tuple[str, ...] = (), revised: Column | None = None) -> DataFrame:
+    """A row for each document and tokenizer version: id, source, lang, the columns keep, tokenizer, tokens; with revised,
+    a text, also revised_tokens, what it counts by the same version."""
     words = docs.withColumn("n_words", word_count(F.col(text_col)))
-    counted = bpe_counts(words, [id_col, "source", "lang", *keep, "n_words"], text_col, vocabulary)
-    each = F.array(F.struct(F.lit("byte_bpe_50k-1").alias("tokenizer"), F.col("n_bpe").alias("tokens")), F.struct(F.lit("words-1").alias("tokenizer"), F.col("n_words").alias("tokens")))
+    own = [id_col, "source", "lang", *keep, "n_words"]
+    parts = {"byte_bpe_50k-1": "n_bpe", "words-1": "n_words"}
+    if revised is not None:
+        words = words.withColumn("n_words_revised", word_count(revised)).withColumn("revised_text", F.when(~revised.eqNullSafe(F.col(text_col)), revised))
+        own.append("n_words_revised")
+    counted = bpe_counts(words, own, text_col, vocabulary, None if revised is None else "revised_text")
+    more = lambda n: [] if revised is None else [F.col(f"{n}_revised").alias("revised_tokens")]
+    each = F.array(*(F.struct(F.lit(k).alias("tokenizer"), F.col(n).alias("tokens"), *more(n)) for k, n in parts.items()))
     return counted.select(F.col(id_col).alias("id"), "source", "lang", *keep, F.inline(each))
 
 
@@ -132,18 +143,17 @@ class Ledger:
 
 
 def op9_token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Loads all documents (twice, which must count once), then deletes the toxic ones and revises the word counts of those of
-    poor quality to what is left without symbols; returns the rollup. Texts are read once, in place: the later batches
-    join the counts, which are a few numbers for each document."""
-    own = docs.select("doc_id", "source", "lang", "text", word_count(F.regexp_replace("text", "[#*$%&|<>]+", "")).alias("n_revised"))
-    counts = materialise(count_tokens(own, keep=("n_revised",)), "token-counts")
+    """Loads all documents (twice, which must count once), then deletes the toxic ones and revises those of poor quality to
+    what is left without symbols, by every tokenizer version; returns the rollup. Texts are read once, in place: the later
+    batches join the counts, which are a few numbers for each document."""
+    counts = materialise(count_tokens(docs, revised=F.regexp_replace("text", "[#*$%&|<>]+", "")), "token-counts")
     ledger = Ledger(docs.sparkSession)
     ledger.commit("load", inserts(counts))
     ledger.commit("load", inserts(counts))
     toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("id")).distinct()
     poor = labels.where("quality = 0 and toxic = 0").select(F.col("doc_id").alias("id")).distinct()
     ledger.commit("drop-toxic", deletes(counts.join(toxic, "id", "left_semi")))
-    old = counts.where("tokenizer = 'words-1'").join(poor, "id", "left_semi")
-    ledger.commit("revise-poor", revisions(old, old.withColumn("tokens", F.col("n_revised"))))
+    old = counts.join(poor, "id", "left_semi")
+    ledger.commit("revise-poor", revisions(old, old.withColumn("tokens", F.col("revised_tokens"))))
     ledger.compact()
     return ledger.totals()
