@@ -26,10 +26,17 @@ from corpusmill.llm.licenses import NOTICES, TEXTS
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("per cent", "percent"), ("copyright owner", "copyright holder"))
 COPYRIGHT_LINE = "(?im)^[^a-z\\n]*(copyright|\\(c\\)|©)[^a-z\\n]*[0-9(©][^\\n]*$|^[^a-z\\n]*all rights reserved[^a-z\\n]*$"
 
+#: Titles of the licences whose whole texts are known, as a line of their own.
+TITLE_LINE = "(?i:[^a-z0-9\\n]*(?:the )?(?:(?:mit|expat|isc|zlib|zlib/libpng|simplified bsd|freebsd|(?:bsd[ -])?[02][ -]clause(?: bsd)?(?: \"simplified\")?|bsd[ -]zero[ -]clause|zero[ -]clause bsd)(?: licen[cs]e)?|0bsd)(?: \\([a-z0-9 -]+\\))?[^a-z0-9\\n]*)"
+#: A holder without a year; lines of a licence text that begin with the copyright holder are none.
+YEARLESS_LINE = "[^A-Za-z\\n]*(?:(?i:copyright)(?i: by)? (?!(?i:holders?|owners?|notices?|laws?|licen[cs]es?|and|or|is)\\b)(?:[A-Z]|the )[^\\n]*|©[^\\n]*)"
+#: Such lines at the head of a text, with more behind them.
+HEAD = f"\\A(?:\\s*+(?:{TITLE_LINE}|{YEARLESS_LINE})\\n){{1,64}}(?=\\s*\\S)"
+
 
 def canonical(text: Column) -> Column:
-    """Lower case without copyright lines, punctuation as one space, equivalent spellings as one."""
-    plain = F.regexp_replace(text, COPYRIGHT_LINE, "")
+    """Lower case without copyright lines and titles, punctuation as one space, equivalent spellings as one."""
+    plain = F.regexp_replace(F.regexp_replace(text, COPYRIGHT_LINE, ""), HEAD, "")
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(plain), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")), F.lit(" "))
     return F.trim(reduce(lambda c, s: F.replace(c, F.lit(f" {s[0]} "), F.lit(f" {s[1]} ")), SPELLINGS, plain))
 
