@@ -317,7 +317,7 @@ def stub_table(spark, d):
 @query("""SELECT idx, CASE WHEN variant IN (0, 1, 2, 3, 4, 6, 7, 10, 11) THEN replace(prediction, 'class GeneratedTest', 'class T' || idx) ELSE prediction END AS named, CASE WHEN variant = 10 THEN 'a/b/' ELSE '' END || 'T' || idx || '.java' AS rel_path
 FROM java_tests WHERE variant NOT IN (5, 8, 9)""", "java_tests")
 def uniquify_test(spark, d):
-    out = view(spark, d, "java_tests").where("variant not in (5, 8, 9)").select("idx", java.uniquify_test(F.col("idx"), F.col("prediction"), "T").alias("x"), "prediction")
+    out = view(spark, d, "java_tests").select("idx", java.uniquify_test(F.col("idx"), F.col("prediction"), "T").alias("x"), "prediction")
     added = F.array_join(F.filter(tx.lines(F.col("x.src")), lambda s: s != "import org.junit.Test;"), "\n")
     return out.select("idx", F.when(F.col("prediction").contains("import org.junit.Test;"), F.col("x.src")).otherwise(added).alias("named"), "x.rel_path")
 
