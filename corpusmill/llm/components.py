@@ -11,27 +11,29 @@ from corpusmill.llm.common import materialise
 ROWS_PER_TASK = 500_000
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of edges (a, b): label is the least node of its component.
 
-    Every round takes the least label among the neighbours and then the label of the label, so a path of n nodes
-    takes about log n rounds. Labels live in the shared folder; the driver sees only counts and whether a round changed
-    any. Both steps are aggregations with a combiner or joins against one row for each node, so a node with very many
+    Every round takes the least label among the neighbours, hands the least that any member heard to the node that the member
+    pointed at, and then takes the label of the label, so whole trees move at once and a path of n nodes takes about log n
+    rounds whatever the order of its labels. Labels only fall, and rounds go on until none does. Labels live in the shared folder; the driver sees only counts and whether a round changed
+    any. All steps are aggregations with a combiner or joins against one row for each node, so a node with very many
     edges is not gathered anywhere.
     """
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "cc-edges")
     tasks = both.count() // ROWS_PER_TASK + 1
     keep = lambda df: materialise(df.coalesce(tasks), "cc-labels")
     labels = keep(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
         near = keep(labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old")))
-        up = near.select(F.col("node").alias("up"), F.col("label").alias("top"))
-        jumped = keep(near.join(up, near["label"] == up["up"]).select("node", F.least("label", "top").alias("label"), "old"))
+        told = near.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("told"))
+        hooked = near.join(told, near["node"] == told["root"], "left").select("node", F.least("label", "told").alias("label"), "old")
+        up = hooked.select(F.col("node").alias("up"), F.col("label").alias("top"))
+        jumped = keep(hooked.join(up, hooked["label"] == up["up"]).select("node", F.least("label", "top").alias("label"), "old"))
         labels = jumped.select("node", "label")
         if jumped.where("label != old").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def relabel(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
