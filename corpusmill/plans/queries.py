@@ -177,7 +177,7 @@ def suggested_max_len(spark, d):
 
 @query(f"SELECT idx, replace(substr(prompt, 1, 400), {NL}, '\\n') || CASE WHEN length(prompt) > 400 THEN '...' ELSE '' END AS preview FROM (SELECT idx, {_CHATML} AS prompt FROM chat_pairs) WHERE idx < 100000", "chat_pairs")
 def prompt_preview(spark, d):
-    return prep.first_rows(_rendered(spark, d, "chatml"), 100_000).select("idx", tx.preview(F.col("prompt")).alias("preview"))
+    return _rendered(spark, d, "chatml").select("idx", tx.preview(F.col("prompt")).alias("preview"))
 
 
 _SHAPES = ('["a", "b\\n"]', '[{"prediction": "p", "original_idx": 7}, {"other": 1}, {"prediction": "q"}]', '{"prediction": ["x", "y"], "original_idx": [3, 4]}', '{"prediction": ["z"]}', '"one"')
