@@ -2,17 +2,23 @@
 
 Every task cuts its documents into shards of about SHARD words and builds a suffix array of each: the order of all suffixes of the
 shard's word sequence, by prefix doubling over word hashes (only suffixes that are not yet alone in their group are
-sorted again), with a stop at each document's end. Every suffix of every test item is then binary-searched in it: the
-interval of suffixes that begin with its first word is narrowed word by word, all test suffixes at once, which gives
-the longest verbatim match of each test suffix and all its locations. A match of `window` words (or of a whole item
-that is shorter) marks its words and contaminates its document. Located matches are confirmed on the words' bytes.
+sorted again), with a stop at each document's end. Every suffix of every test item is then binary-searched in it as far as its window
+(`window` words, or the whole item if that is shorter): the interval of suffixes that begin with its first word is narrowed word by
+word, all distinct windows at once, which gives all locations of each. A located window is confirmed on the words' 64-bit hashes and
+lengths, marks its words and contaminates its document.
+
+The longest verbatim match of a document begins where one of its windows does, so each such place is looked up among the sorted test
+suffixes, where its neighbours have most words in common with it. Stretches are compared by prefix sums of hashes, in one
+step whatever their length: neither long items nor long matches need more than a few numbers for each word. The result
+depends on the document and the benchmark alone, not on what shares its shard or its block.
 
 Documents never leave their task, so there is no shuffle and no skew, and a lost executor repeats only its own shards.
-The test suffixes are sent to every task in blocks of at most BLOCK_BYTES of text, each block a broadcast of proven size; more
-blocks mean more passes, never a larger broadcast.
+The test items are sent in blocks of about BLOCK_BYTES of text (or one item, if that is longer), each a broadcast of its own; a shard is
+sorted once and searched for one block after another, of which a task holds one at a time.
 
 Defined cases: null, empty and blank texts have no words and are clean; null or blank items match nothing; equal items
-each count; a document row repeated is judged twice alike; an empty benchmark leaves all documents clean; an empty table stays empty. Other columns are
+each count; of equally long matches the first in the text is named, and of the items that hold it the one with the least ID (as a
+string) at its first place; a document row repeated is judged twice alike; an empty benchmark leaves all documents clean; an empty table stays empty. Other columns are
 carried through by decontaminate(), whatever their names.
 """
 
@@ -99,54 +105,114 @@ def _bound(column, order, target, low, high, depth, right):
     return low
 
 
-def search(words: np.ndarray, order: np.ndarray, test: np.ndarray, need: np.ndarray, depth: int):
-    """For each test suffix (test: its first `depth` words, a row each, 0 behind its end): the length of its longest
-    match, the interval of all suffixes that match so far, and the interval of those that match its first need words."""
-    n = len(test)
-    low, high = np.zeros(n, np.int64), np.full(n, len(order), np.int64)
-    longest = np.zeros(n, np.int64)
-    found = np.zeros((n, 2), np.int64)
-    live = np.arange(n)
+def search(words: np.ndarray, order: np.ndarray, codes: np.ndarray, first: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """For each test window (codes[first : first + need]) the interval of suffixes that begin with it; low = high if none does."""
+    low, high = np.zeros(len(first), np.int64), np.full(len(first), len(order), np.int64)
+    live = np.arange(len(first))
+    depth = int(need.max(initial=0))
     padded = np.concatenate([words, np.zeros(depth + 1, words.dtype)])
     for d in range(depth):
-        live = live[test[live, d] != 0]
+        live = live[need[live] > d]
         if not len(live):
             break
-        a = _bound(padded, order, test[live, d], low[live], high[live], d, False)
-        b = _bound(padded, order, test[live, d], a, high[live], d, True)
-        hit = a < b
-        live, a, b = live[hit], a[hit], b[hit]
-        low[live], high[live], longest[live] = a, b, d + 1
-        done = need[live] == d + 1
-        found[live[done], 0], found[live[done], 1] = a[done], b[done]
-    return longest, np.stack([low, high], axis=1), found
+        target = codes[first[live] + d]
+        a = _bound(padded, order, target, low[live], high[live], d, False)
+        b = _bound(padded, order, target, a, high[live], d, True)
+        low[live], high[live] = a, b
+        live = live[a < b]
+    return np.stack([low, high], axis=1)
+
+
+class Run:
+    """A sequence of 64-bit word hashes in which any two stretches are compared in one step (polynomial prefix sums)."""
+
+    def __init__(self, hashes: np.ndarray, left: np.ndarray):
+        from corpusmill.llm.words import powers
+
+        self.hashes, self.left = hashes, left
+        up, self.down = powers(len(hashes) + 1)
+        self.sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * up[: len(hashes)], out=self.sums[1:])
+
+    def stretch(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return (self.sums[at + length] - self.sums[at]) * self.down[at]
+
+
+def common(one: Run, p: np.ndarray, two: Run, q: np.ndarray) -> np.ndarray:
+    """How many words the suffix of one at p and that of two at q have in common, pair by pair."""
+    low, high = np.zeros(len(p), np.int64), np.minimum(one.left[p], two.left[q])
+    while len(open_ := np.flatnonzero(low < high)):
+        mid = (low[open_] + high[open_] + 1) >> 1
+        same = one.stretch(p[open_], mid) == two.stretch(q[open_], mid)
+        low[open_[same]] = mid[same]
+        high[open_[~same]] = mid[~same] - 1
+    return low
 
 
 class TestSet:
-    """The suffixes of a block of test items, ready to be searched."""
+    """A block of test items: their words one after another, their distinct windows, and the order of their suffixes."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        from corpusmill.llm.words import ALNUM, LOWER, hash_words, text_bytes
+        from corpusmill.llm.words import ALNUM, hash_words, mix, text_bytes
 
+        items = sorted(items)
         data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
-        h, s, e, at = hash_words(data, offsets, ALNUM)
-        low = LOWER[data].tobytes()
-        self.words = [low[a:b] for a, b in zip(s, e)]
-        codes = np.concatenate([narrow(h), np.zeros(1, np.uint64)])
-        lengths = np.diff(at)
-        self.depth = int(max(2, lengths.max(initial=2)))
-        self.item = np.repeat(np.arange(len(items)), lengths)
-        left = at[1:][self.item] - np.arange(len(self.words)) if len(items) else np.empty(0, np.int64)
+        hashes, starts, ends, at = hash_words(data, offsets, ALNUM)
         self.ids = [i for i, _ in items]
-        self.offset = np.arange(len(self.words)) - at[:-1][self.item] if len(items) else left
-        whole = np.minimum(lengths, window)[self.item] if len(items) else left
-        self.need = np.where(left >= whole, whole, 0)  # 0: too near the end to begin a window
-        self.left = left
-        self.codes = codes
-
-    def rows(self, a: int, b: int) -> np.ndarray:
-        at = np.arange(a, b)[:, None] + np.arange(self.depth)[None, :]
-        return np.where(np.arange(self.depth)[None, :] < self.left[a:b, None], self.codes[np.minimum(at, len(self.codes) - 1)], np.uint64(0))
+        self.hashes, self.sizes, self.codes = hashes, ends - starts, narrow(hashes)
+        count = np.diff(at)
+        self.item = np.repeat(np.arange(len(items)), count)
+        self.offset = np.arange(len(hashes)) - at[:-1][self.item]
+        self.left = at[1:][self.item] - np.arange(len(hashes))
+        need = np.minimum(count, window)[self.item]
+        begins = np.flatnonzero(self.left >= need)  # the others are too near their item's end
+        need = need[begins]
+        run = Run(hashes, self.left)
+        _, first, which = np.unique(mix(run.stretch(begins, need)) ^ need.astype(np.uint64), return_index=True, return_inverse=True)
+        self.first, self.need = begins[first], need[first]  # of each distinct window
+        pairs = np.unique(np.stack([which.reshape(-1), self.item[begins]], axis=1), axis=0)
+        self.owner = pairs[:, 1]  # items of window u: owner[of[u] : of[u + 1]]
+        self.of = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+        # suffixes by their words' hashes; dense numbers, as the order must be that of the whole hash
+        dense = np.searchsorted(np.unique(hashes), hashes).astype(np.uint64) + np.uint64(1)
+        stopped = np.zeros(len(hashes) + len(items), np.uint64)
+        stopped[np.arange(len(hashes)) + self.item] = dense
+        order = suffix_array(stopped, int(count.max(initial=1)) + 1)
+        place = np.full(len(stopped), -1, np.int64)
+        place[np.arange(len(hashes)) + self.item] = np.arange(len(hashes))
+        self.order = place[order][place[order] >= 0]
+
+    def longest(self, run: "Run", p: np.ndarray) -> np.ndarray:
+        """For each suffix p of run: the most words it has in common with any test suffix."""
+        own = Run(self.hashes, self.left)
+        at = self._bound(own, run, p, None, False)
+        best = np.zeros(len(p), np.int64)
+        for near in (at - 1, at):
+            some = np.flatnonzero((near >= 0) & (near < len(self.order)))
+            best[some] = np.maximum(best[some], common(run, p[some], own, self.order[near[some]]))
+        return best
+
+    def _bound(self, own: "Run", run: "Run", p: np.ndarray, length: np.ndarray | None, right: bool) -> np.ndarray:
+        """The first place in the order whose suffix is not below (right: above) the suffix p, or its first length words."""
+        low, high = np.zeros(len(p), np.int64), np.full(len(p), len(self.order), np.int64)
+        while len(open_ := np.flatnonzero(low < high)):
+            mid = (low[open_] + high[open_]) >> 1
+            q, at = self.order[mid], p[open_]
+            same = common(run, at, own, q)
+            short = run.left[at] if length is None else length[open_]
+            whole = same >= short
+            ended = same >= own.left[q]
+            last = lambda r, x: r.hashes[np.minimum(x, len(r.hashes) - 1)]
+            below = np.where(whole, right, ended | (last(own, q + same) < last(run, at + same)))
+            low[open_[below]] = mid[below] + 1
+            high[open_[~below]] = mid[~below]
+        return low
+
+    def first_with(self, run: "Run", p: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The least test place whose suffix begins with the length words of run at p; there must be one."""
+        own = Run(self.hashes, self.left)
+        a, b = self._bound(own, run, p, length, False), self._bound(own, run, p, length, True)
+        return np.array([self.order[x:y].min() for x, y in zip(a.tolist(), b.tolist())], np.int64)
 
 
 def narrow(hashes: np.ndarray) -> np.ndarray:
@@ -163,26 +229,26 @@ def _shards(at: np.ndarray):
         i = min(j, n)
 
 
-def _scan(shared, first: bool, last: bool):
-    """Batches have the carried columns, the matches so far (unless first) and the text, which goes on unless last."""
+def _scan(shared: list, window: int):
+    """Batches have the carried columns and the text, which makes room for the matches. shared: the blocks of items, each a broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from corpusmill.llm.words import ALNUM, LOWER, hash_words, text_bytes
+        from corpusmill.llm.words import ALNUM, hash_words, text_bytes
 
-        tests: TestSet = shared.value
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            data, offsets = text_bytes(text)
-            h, s, e, at = hash_words(data, offsets, ALNUM)
+            h, s, e, at = hash_words(*text_bytes(batch.column(batch.num_columns - 1)), ALNUM)
             out = []
             for i, j in _shards(at):
                 a, b = at[i], at[j]
-                out += _scan_shard(tests, narrow(h[a:b]), at[i : j + 1] - a, s[a:b], e[a:b], lambda x, y: LOWER[data[x:y]].tobytes())
-            if not first:
-                out = [_merge(x, y) for x, y in zip(batch.column(batch.num_columns - 2).to_pylist(), out)]
-            kept = [*zip(batch.schema.names, batch.columns)][: batch.num_columns - (1 if first else 2)]
-            kept += [("matches", pa.array(out, _FIELDS))] + [("text", text)] * (not last)
-            yield pa.record_batch([c for _, c in kept], names=[n for n, _ in kept])
+                shard = Shard(h[a:b], e[a:b] - s[a:b], at[i : j + 1] - a, window)
+                found = None
+                for block in shared:
+                    more = shard.matches(block.value)
+                    found = more if found is None else [*map(_merge, found, more)]
+                    if len(shared) > 1:
+                        vars(block).pop("_value", None)  # one block in memory at a time
+                out += found
+            yield pa.record_batch([*batch.columns[:-1], pa.array(out, _FIELDS)], names=[*batch.schema.names[:-1], "matches"])
 
     return run
 
@@ -198,99 +264,100 @@ def _union(spans) -> list[dict]:
 
 
 def _merge(x: dict, y: dict) -> dict:
-    """Matches with two blocks of items."""
-    best = max(x, y, key=lambda m: m["longest"] or 0)
+    """Matches with two blocks of items; of equally long ones the first in the text counts, then that of the least item and word."""
+    best = min((m for m in (x, y) if m["longest"] is not None), key=lambda m: (-m["longest"], m["at_word"], m["test_item"], m["test_word"]), default=x)
     return best | {"hit": _union((m["start"], m["end"]) for m in [*x["hit"], *y["hit"]]), "items": sorted({*x["items"], *y["items"]})}
 
 
-def _scan_shard(tests: TestSet, codes, at, starts, ends, lower) -> list[dict]:
-    n_docs = len(at) - 1
-    count = np.diff(at)
-    # a stop behind each document
-    words = np.zeros(len(codes) + n_docs, np.uint64)
-    doc = np.repeat(np.arange(n_docs), count)
-    words[np.arange(len(codes)) + doc] = codes
-    firsts = at[:-1] + np.arange(n_docs)
-    order = suffix_array(words, tests.depth)
-    longest, widest, found = [], [], []
-    for a in range(0, max(1, len(tests.words)), 65536):
-        part = search(words, order, tests.rows(a, min(a + 65536, len(tests.words))), tests.need[a : a + 65536], tests.depth)
-        for x, y in zip((longest, widest, found), part):
-            x.append(y)
-    longest, widest, found = map(np.concatenate, (longest, widest, found))
-    spans: dict[int, set] = {}
-    items: dict[int, set] = {}
-    top: dict[int, tuple] = {}
-    confirmed: dict[tuple, list] = {}
-
-    def located(q: int, low: int, high: int, length: int) -> list[tuple[int, int]]:
-        """(document, word) of each place in an interval that has the words of test suffix q, not just their numbers."""
-        if (low, high, length) not in confirmed:
-            places = np.sort(order[low:high])
-            d = np.searchsorted(firsts, places, "right") - 1
-            own = tests.words[q : q + length]
-            confirmed[low, high, length] = [
-                (x, p) for x, p, w in zip(d.tolist(), (places - firsts[d]).tolist(), (places - d).tolist()) if all(lower(starts[w + k], ends[w + k]) == own[k] for k in range(length))
-            ]
-        return confirmed[low, high, length]
-
-    for q in np.flatnonzero(found[:, 1] > found[:, 0]).tolist():
-        need, item = int(tests.need[q]), tests.ids[tests.item[q]]
-        for x, p in located(q, int(found[q, 0]), int(found[q, 1]), need):
-            spans.setdefault(x, set()).add((p, p + need))
-            items.setdefault(x, set()).add(item)
-            if need > top.get(x, (0,))[0]:
-                top[x] = (need, item, int(tests.offset[q]), p)
-        length = int(longest[q])
-        if length > need:
-            for x, p in located(q, int(widest[q, 0]), int(widest[q, 1]), length):
-                if length > top.get(x, (0,))[0]:
-                    top[x] = (length, item, int(tests.offset[q]), p)
-    out = []
-    for x in range(n_docs):
-        length, item, offset, place = top.get(x, (None, None, None, None))
-        out.append({"n_words": int(count[x]), "hit": _union(spans.get(x, ())), "items": sorted(items.get(x, ())), "longest": length, "test_item": item, "test_word": offset, "at_word": place})
-    return out
+class Shard:
+    """Documents with their words, and the suffix array over them."""
+
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, at: np.ndarray, depth: int):
+        self.hashes, self.sizes, self.at = hashes, sizes, at
+        self.count = np.diff(at)
+        self.doc = np.repeat(np.arange(len(self.count)), self.count)
+        # a stop behind each document
+        self.words = np.zeros(len(hashes) + len(self.count), np.uint64)
+        self.words[np.arange(len(hashes)) + self.doc] = narrow(hashes)
+        self.firsts = at[:-1] + np.arange(len(self.count))
+        self.order = suffix_array(self.words, depth)
+
+    def matches(self, tests: TestSet) -> list[dict]:
+        n = len(self.hashes)
+        out = [{"n_words": int(c), "hit": [], "items": [], "longest": None, "test_item": None, "test_word": None, "at_word": None} for c in self.count]
+        interval = search(self.words, self.order, tests.codes, tests.first, tests.need)
+        size = interval[:, 1] - interval[:, 0]
+        window = np.repeat(np.arange(len(size)), size)
+        if not len(window):
+            return out
+        # every place of every window, as a word of the shard
+        place = self.order[np.arange(len(window)) - np.repeat(np.cumsum(size) - size, size) + interval[window, 0]]
+        word = place - (np.searchsorted(self.firsts, place, "right") - 1)
+        need, first = tests.need[window], tests.first[window]
+        same = np.ones(len(word), bool)
+        for k in range(int(need.max())):  # the words themselves, not just their numbers
+            some = np.flatnonzero(same & (need > k))
+            same[some] = (self.hashes[word[some] + k] == tests.hashes[first[some] + k]) & (self.sizes[word[some] + k] == tests.sizes[first[some] + k])
+        word, window, need = word[same], window[same], need[same]
+        if not len(word):
+            return out
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, word, 1)
+        np.add.at(edge, word + need, -1)
+        covered = np.cumsum(edge[:-1]) > 0
+        begins = np.flatnonzero(covered & ~np.r_[False, covered[:-1] & (self.doc[1:] == self.doc[:-1])])
+        ends = np.flatnonzero(covered & ~np.r_[covered[1:] & (self.doc[1:] == self.doc[:-1]), False]) + 1
+        for d, a, b in zip(self.doc[begins].tolist(), begins.tolist(), ends.tolist()):
+            out[d]["hit"].append({"start": a - int(self.at[d]), "end": b - int(self.at[d])})
+        seen = np.unique(np.stack([self.doc[word], window], axis=1), axis=0)
+        many = tests.of[seen[:, 1] + 1] - tests.of[seen[:, 1]]
+        owner = tests.owner[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(tests.of[seen[:, 1]], many)]
+        for d, i in np.unique(np.stack([np.repeat(seen[:, 0], many), owner], axis=1), axis=0).tolist():
+            out[d]["items"].append(tests.ids[i])
+        # the longest match that begins where a window does
+        run = Run(self.hashes, self.at[1:][self.doc] - np.arange(n))
+        starts = np.unique(word)
+        longest = tests.longest(run, starts)
+        by = np.lexsort((starts, -longest, self.doc[starts]))
+        docs, top = np.unique(self.doc[starts[by]], return_index=True)
+        best = by[top]
+        where = tests.first_with(run, starts[best], longest[best])
+        for d, p, length, q in zip(docs.tolist(), starts[best].tolist(), longest[best].tolist(), where.tolist()):
+            out[d] |= {"items": sorted(set(out[d]["items"])), "longest": length, "test_item": tests.ids[tests.item[q]], "test_word": int(tests.offset[q]), "at_word": p - int(self.at[d])}
+        return out
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of bounded text, each fetched for itself."""
+    """The items in blocks of bounded text, in one pass that fetches a partition at a time."""
     items = benchmark.select(F.coalesce(benchmark[id_col].cast("string"), F.lit("")).alias("i"), benchmark[text_col].alias("t")).where("length(t) > 0")
-    size = items.agg(F.sum(F.octet_length("t") + F.octet_length("i") + 64)).first()[0] or 0
-    n = -(-size // BLOCK_BYTES) or 1
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, r.t) for r in part.toLocalIterator()]
+    block, size = [], 0
+    for r in items.toLocalIterator():
+        block.append((r.i, r.t))
+        size += len(r.t) + len(r.i) + 64
+        if size >= BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all but the text by default) and a struct column `matches`.
 
     matches: n_words; hit (merged word spans inside windows); items (IDs whose windows occur, as strings, sorted);
-    longest (words of the longest verbatim match), and where it is: test_item, test_word, at_word.
+    longest (words of the longest verbatim match that begins with a window), and where it is: test_item, test_word, at_word.
     """
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     out = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(keep)), docs[text_col].alias("text"))
     carried = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     carried += ", " * bool(keep) + f"matches struct<{_DDL}>"
-    blocks = list_ahead(_blocks(benchmark, item_id_col, item_text_col))
-    for k, (block, last) in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast(TestSet(block, window))
-        out = out.mapInArrow(_scan(shared, k == 0, last), carried + ", text string" * (not last))
+    context = docs.sparkSession.sparkContext
+    shared = [context.broadcast(TestSet(block, window)) for block in _blocks(benchmark, item_id_col, item_text_col)]
+    out = out.mapInArrow(_scan(shared or [context.broadcast(TestSet([], window))], window), carried)
     name = fresh("matches", docs.select(*keep))
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), F.col("matches").alias(name))
 
 
-def list_ahead(items: Iterator):
-    """(item, whether it is the last) one after another."""
-    items = iter(items)
-    now = next(items)
-    for following in items:
-        yield now, False
-        now = following
-    yield now, True
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without a word inside a benchmark window."""
     copy = fresh("text_again", docs)
@@ -308,3 +375,25 @@ def op1_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join(m["items"], ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
         m["longest"].alias("longest_match"), m["test_item"].alias("longest_item"), m["test_word"].alias("longest_item_word"), m["at_word"].alias("longest_at_word"),
     )
+
+
+_WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: DuckDB, from the definition: windows are joined as strings, and matches are runs of equal words on a diagonal of text and item.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {_WORDS.format('text')} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, n, array_to_string(w[s:s+n-1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM (SELECT *, least(len(w), {WINDOW}) AS n FROM i WHERE len(w) > 0))),
+spots AS (SELECT doc_id, s, n, array_to_string(w[s:s+n-1], ' ') AS g FROM (SELECT d.*, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM win))),
+hit AS (SELECT DISTINCT doc_id, s, n, item FROM spots JOIN win USING (n, g)),
+covered AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS x FROM (SELECT DISTINCT doc_id, s, n FROM hit)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hit GROUP BY doc_id),
+dw AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM hit)),
+iw AS (SELECT item, unnest(w) AS x, unnest(range(len(w))) AS q FROM i),
+same AS (SELECT doc_id, item, p, q, p - row_number() OVER (PARTITION BY doc_id, item, p - q ORDER BY p) AS run FROM dw JOIN iw USING (x)),
+ends AS (SELECT doc_id, item, p, q, max(p) OVER (PARTITION BY doc_id, item, p - q, run) - p + 1 AS l FROM same),
+best AS (SELECT * FROM ends WHERE (doc_id, p) IN (SELECT (doc_id, s - 1) FROM hit) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, p, item, q) = 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+  l AS longest_match, best.item AS longest_item, q AS longest_item_word, p AS longest_at_word
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN best USING (doc_id)
+"""

@@ -25,7 +25,8 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64, up to the n-th at least."""
     if len(_powers.get("up", ())) < n:
         size = max(n, BLOCK + 1)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
@@ -94,7 +95,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
         after[-1], after[:-1] = False, word[1:]
         after[cuts[cuts > 0] - 1] = False
         s, e = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-        up, down = _power(len(block) + 1)
+        up, down = powers(len(block) + 1)
         total = np.zeros(len(block) + 1, np.uint64)
         np.cumsum((LOWER[block].astype(np.uint64) + np.uint64(1)) * up[: len(block)], out=total[1:])
         hashes.append(mix((total[e] - total[s]) * down[s]))

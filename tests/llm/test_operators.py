@@ -68,43 +68,75 @@ def test_suffix_array_order(values, depth):
 
 
 def brute_contamination(text, items):
-    words, hit, found, longest = alnum(text), set(), set(), 0
-    for i, t in items:
-        own = alnum(t)
+    """The columns of op1: words, hit words, items, digest, contaminated, and the longest match with its item and both places."""
+    words, hit, found, starts = alnum(text), set(), set(), set()
+    split = [(str(i), alnum(t)) for i, t in items]
+    for i, own in split:
         n = min(10, len(own))
         for k in range(len(own) - n + 1 if n else 0):
             for p in range(len(words) - n + 1):
                 if words[p : p + n] == own[k : k + n]:
                     hit |= set(range(p, p + n))
-                    found.add(str(i))
-    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+                    starts.add(p)
+                    found.add(i)
+    best = (0, None, None, None)
+    for p in starts:
+        for i, own in split:
+            for k in range(len(own)):
+                m = 0
+                while p + m < len(words) and k + m < len(own) and words[p + m] == own[k + m]:
+                    m += 1
+                if m:
+                    best = min(best, (-m, p, i, k))
+    length = -best[0] or None
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), length, best[2], best[3], best[1]
+
+
+OP1 = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_item", "longest_item_word", "longest_at_word")
 
 
 def test_contamination_is_exact(spark, monkeypatch, words):
     r = random.Random(3)
-    items = [(i, " ".join(words(r, r.choice((3, 9, 10, 11, 25))))) for i in range(30)] + [(30, "A a a a a a a a a a a a")]
+    items = [(i, " ".join(words(r, r.choice((3, 9, 10, 11, 25, 60))))) for i in range(30)] + [(30, "A a a a a a a a a a a a"), (31, None), (32, "")]
+    items += [(100 + i, t) for i, t in items[5:8]] + [(200, " ".join([*words(r, 4), *items[3][1].split(), "tail"]))]
     docs = []
     for i in range(60):
         t = words(r, 80)
         if i % 3 == 0:
-            own = items[r.randrange(31)][1].split()
-            t[20:20] = own[: r.randint(1, len(own))]
+            for _ in range(r.randint(1, 2)):
+                own = items[r.randrange(31)][1].split()
+                k = r.randrange(len(own))
+                t[20:20] = own[k : k + r.randint(1, len(own))]
         docs.append((i, ", ".join(t).upper() + " a" * (i % 15)))
+    docs.append((60, None))
+    items = [(i, t or "") for i, t in items]
     want = {i: brute_contamination(t, items) for i, t in docs}
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for block, shard in ((1 << 20, 1 << 20), (800, 100)):  # one block and shard, and several
+    assert sum(x[4] for x in want.values()) > 10
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for block, shard, parts in ((1 << 20, 1 << 20, 1), (1 << 20, 1 << 20, 7), (800, 100, 2), (1, 300, 1)):  # one block and shard, and several
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
         monkeypatch.setattr(decontaminate, "SHARD", shard)
-        got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in decontaminate.op1_decontaminate(d, b).collect()}
+        d = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        got = {x.doc_id: tuple(x[c] for c in OP1) for x in decontaminate.op1_decontaminate(d, b).collect()}
         assert got == want
 
 
-def test_longest_match_is_located(spark):
-    item = [f"w{i}" for i in range(30)]
-    docs = spark.createDataFrame([(1, " ".join(["x", *item[4:25], "y", *item[:12]])), (2, "nothing here")], "doc_id long, text string")
-    got = {x.doc_id: x for x in decontaminate.op1_decontaminate(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
-    assert (got[1].longest_match, got[1].longest_item, got[1].longest_item_word, got[1].longest_at_word) == (21, "7", 4, 1)
-    assert got[2].longest_match is None
+def test_longest_match_of_documents_in_one_shard(spark):
+    item = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(["x", *item[4:19], "y", *item[:12]])), (2, " ".join(item[10:50])), (3, "nothing here")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: x for x in decontaminate.op1_decontaminate(frame, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert (got[1].longest_match, got[1].longest_item, got[1].longest_item_word, got[1].longest_at_word) == (15, "7", 4, 1)
+    assert (got[2].longest_match, got[2].longest_item_word, got[2].longest_at_word) == (40, 10, 0) and got[3].longest_match is None
+
+
+def test_long_items_and_long_matches(spark, words):
+    """An item of 60,000 words, all of it in a text, and items and texts of one word over and over."""
+    long = words(random.Random(12), 60_000)
+    docs = [(1, " ".join(["before", *long, "after"])), (2, " ".join(long[100:140])), (3, "a " * 100_000), (4, "plain")]
+    items = [(1, " ".join(long)), (2, "a " * 30_000)]
+    got = {x.doc_id: (x.n_hit, x.n_items, x.longest_match, x.longest_at_word) for x in decontaminate.op1_decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (60_000, 1, 60_000, 1), 2: (40, 1, 40, 0), 3: (100_000, 1, 30_000, 0), 4: (0, 0, None, None)}
 
 
 # --- 2 ---------------------------------------------------------------------------------------------------------------
