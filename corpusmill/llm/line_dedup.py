@@ -1,20 +1,21 @@
-"""Line dedup: repeated runs of lines, found by prefix doubling over line-ID sequences; later copies are deleted.
+"""Line dedup: a suffix array over line-ID sequences by prefix doubling; common prefixes reveal repeated runs, later copies are deleted.
 
-A document is the sequence of its lines that have a word. Each suffix of a sequence (one for each line) is ranked by
+Ranks. A document is the sequence of its lines that have a word. Each suffix of a sequence (one for each line) is ranked by
 prefix doubling: the rank at depth 1 is the line's ID, the rank at depth 2k of the suffix at i is made from its rank at
-depth k and that of the suffix at i + k. Ranks are hashes of what they stand for instead of positions in one sorted
-list, so that two suffixes anywhere in the corpus have the same rank at depth k exactly if their first k lines are the
-same: each round is local to a document and needs no shuffle, and no round sorts the corpus.
+depth k and that of the suffix at i + k, and the rank at a depth between two powers from two ranks that overlap. A rank is a pair of
+64-bit hashes of what it stands for, so two suffixes anywhere in the corpus have the same rank at depth k exactly if their
+first k lines are the same, and no round has to sort the corpus to name its pairs.
 
-Suffixes that share their first m lines form an interval of the suffix array whose longest common prefix is m at least.
-Those of interest share `min_words` words: for each suffix, m is the fewest lines with so many words (and, mirrored, the
-fewest lines that end at its line). As m depends on the lines alone, the members of an interval agree on it, and the
-interval is a group of equal (rank, m). The maximal repeated runs are the unions of overlapping members: a repeated run
-of min_words words or more is covered by such windows, each repeated, and each repeated window is such a run itself. In an interval the first member by (document key, place) stays; the lines of the other
-members are deleted.
+Order. What matters of a suffix is its prefix of `min_words` words: its first m lines, the fewest that have so many (and,
+mirrored, the suffixes of the sequences read backwards). Suffixes are sorted by their rank at that depth, then by document and
+place, once, over the whole corpus. In this order suffixes with a common prefix of min_words words are neighbours, the first of an interval is
+the earliest copy, and each other one is known from the longest common prefix with its predecessor alone (m lines or none of interest). The
+repeated runs of maximal length are the unions of overlapping members: a run of min_words words or more is covered by such prefixes, forwards from each of
+its lines and backwards from each, as far as they fit. Those of the later copies are deleted.
 
-Skew: the intervals are found with an aggregation that combines before its shuffle, and its one row for each interval is joined to the members, so a line
-that a third of all documents share is never gathered into a task. Window ranks are pairs of independent 64-bit hashes.
+Skew. The sort is dealt by ranges of (rank, document, place), so a run that a third of all documents share is spread over as many
+ranges as its rows fill; nothing is joined or grouped by rank. A range's first suffix finds its predecessor, the last of
+the range before it, in a table of two rows for each range. Cuts come back to the documents by one join on the document.
 
 Defined cases: null text stays null; empty texts and texts without repeated runs come back as they are; of equal texts
 the one with the smallest key keeps its lines (null key first); rows equal in key and text count as one document and share its
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusmill.llm.common import WORD, fresh, let, materialise
 
@@ -72,7 +74,7 @@ def _windows(lines: Column, min_words: int) -> Column:
 
 
 def _ranked_windows(text: Column, min_words: int) -> Column:
-    """Windows of the text: rank (two hashes), place in the sequence, first and last line among all lines."""
+    """Prefixes of min_words words of all suffixes: rank (two hashes), lines that have words, first and last place among all lines."""
 
     def of_lines(lines: Column) -> Column:
         def ranked(levels: list[Column]) -> Column:
@@ -80,7 +82,7 @@ def _ranked_windows(text: Column, min_words: int) -> Column:
                 level = F.floor(F.log2(x["m"].cast("double"))).cast("int")
                 pick = F.coalesce(*(F.when(level == j, F.xxhash64(F.get(r, x["s"]), F.get(r, x["s"] + x["m"] - 2**j), x["m"])) for j, r in enumerate(levels)))
                 other = F.xxhash64(F.transform(F.slice(lines, x["s"] + 1, x["m"]), lambda y: y["b"]))
-                return F.struct(pick.alias("a"), other.alias("b"), x["s"].alias("s"), F.get(lines, x["s"])["i"].alias("lo"), F.get(lines, x["s"] + x["m"] - 1)["i"].alias("hi"))
+                return F.struct(pick.alias("a"), other.alias("b"), x["m"].alias("m"), F.get(lines, x["s"])["i"].alias("lo"), F.get(lines, x["s"] + x["m"] - 1)["i"].alias("hi"))
 
             return F.transform(_windows(lines, min_words), row)
 
@@ -89,19 +91,38 @@ def _ranked_windows(text: Column, min_words: int) -> Column:
     return let(_line_ids(text), of_lines)
 
 
+ORDER = ("a", "b", "key", "digest", "lo")
+
+
+def suffix_array(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(a, b, key, digest, lo, hi, m, part): suffixes with their rank (a, b), in ranges `part` of the order of ORDER.
+
+    A row stands for the m lines from place lo to place hi of a document.
+    """
+    keyed = docs.select(docs[key_col].alias("key"), F.xxhash64(docs[text_col]).alias("digest"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
+    ranked = materialise(keyed.select("key", "digest", F.inline(_ranked_windows(F.col("text"), min_words))), "line-suffixes")
+    return ranked.repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id())
+
+
+def later_copies(suffixes: DataFrame) -> DataFrame:
+    """(key, digest, lo, hi) of the suffixes whose longest common prefix with their predecessor is all of their m lines."""
+    me = F.struct(*(F.col(c) for c in ORDER))
+    own = Window.partitionBy("part").orderBy(*ORDER)
+    # lcp: lines in common with the predecessor, as far as they matter; a repeated row is no predecessor of its like
+    common = lambda before: F.when((before["a"] == F.col("a")) & (before["b"] == F.col("b")) & ~before.eqNullSafe(me), F.col("m")).otherwise(0)
+    ordered = suffixes.withColumns({"before": F.lag(me).over(own), "last": F.lead("a").over(own).isNull()})
+    ordered = ordered.withColumns({"lcp": common(F.col("before")), "edge": F.col("before").isNull()})
+    found = materialise(ordered.where("lcp = m or edge or last").drop("part"), "line-copies")
+    # the edges of ranges: two rows at most for each, whatever the corpus
+    edges = found.where("edge or last").withColumn("before", F.lag(me).over(Window.orderBy(*ORDER)))
+    across = edges.where("edge").withColumn("lcp", common(F.col("before"))).where("lcp = m")
+    return found.where("lcp = m").select("key", "digest", "lo", "hi").union(across.select("key", "digest", "lo", "hi"))
+
+
 def repeated_lines(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, digest, cut): for each document with later copies of runs, the places of its lines to delete."""
-    keyed = docs.select(docs[key_col].alias("key"), F.xxhash64(docs[text_col]).alias("digest"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
-    windows = materialise(keyed.select("key", "digest", F.inline(_ranked_windows(F.col("text"), min_words))), "line-windows")
-    intervals = (
-        windows.groupBy("a", "b")
-        .agg(F.min(F.struct("key", "digest", "s")).alias("first"), F.max(F.struct("key", "digest", "s")).alias("last"))
-        .where(F.col("first") != F.col("last"))
-        .select("a", "b", "first")
-    )
-    later = windows.join(intervals, ["a", "b"]).where(~F.struct("key", "digest", "s").eqNullSafe(F.col("first")))
     cut = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("lo", "hi")), lambda x: F.sequence(x["lo"], x["hi"]))))
-    return later.groupBy("key", "digest").agg(cut.alias("cut"))
+    return later_copies(suffix_array(docs, key_col, text_col, min_words)).groupBy("key", "digest").agg(cut.alias("cut"))
 
 
 def dedup_lines(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
