@@ -29,11 +29,20 @@ def fresh(name: str, df: DataFrame) -> str:
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared folder that spark.checkpoint.dir names."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below the shared folder that spark.checkpoint.dir names, deleted when the application's JVM ends.
+
+    Where that isn't set, a local master (tests) has LOCAL_SCRATCH; a cluster has none that all can see, so it is a ValueError.
+    """
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = LOCAL_SCRATCH
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/corpusmill-{context.applicationId}"
+    at = context._jvm.org.apache.hadoop.fs.Path(own)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

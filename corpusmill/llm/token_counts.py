@@ -2,8 +2,13 @@
 
 A ledger is a folder of batches. A batch holds signed totals by source, language and tokenizer version: inserts count +1, deletes -1,
 a revised count -1 for the old and +1 for the new row. Totals are additive, so the rollup is the sum of the batches
-and no document is ever counted again. A batch is written beside the ledger and put in place by one rename under its
-ID: a batch that is there already is left as it is, so a commit that is repeated, or cut off half-way and repeated, counts once.
+and no document is ever counted again.
+
+Commits. A batch is written beside the ledger and published by one rename to a name that no other writer can have (batch ID, time, a random part), so a
+rename never meets a folder that is there already. Of several folders with one batch ID the earliest counts and
+no other, whoever reads and whenever: a commit that is repeated, raced by another writer, or cut off half-way and repeated, counts once.
+A snapshot is published in the same way. It names the batches that it sums, from the one listing that it was made of, so a batch
+that lands meanwhile is not in it and is read beside it. Batches are never changed or deleted. The driver holds the names of batches, a few bytes for each commit.
 
 Counting is a map over the documents; totals combine in the map stage before their shuffle, which moves a row for each
 group and task whatever share of the rows a source has.
@@ -14,6 +19,8 @@ repeat count each; an empty change set commits an empty batch; groups that come
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,64 +89,75 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """Signed batches below a folder that driver and executors share."""
+    """Signed batches below a folder that driver and executors share. Without root it is a scratch folder, gone with the session."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root = spark, root or scratch_dir(spark, "token-ledger")
+        self.spark, self.root = spark, (root or scratch_dir(spark, "token-ledger")).rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _at(self, *parts: str):
-        return self._path("/".join([self.root, *parts]))
-
     def _names(self, folder: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(folder))) if self._fs.exists(self._at(folder)) else []
+        at = self._path(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _publish(self, folder: str, name: str, write) -> str:
+        """write(path) beside the folder, then one rename into it under a name of its own; returns that name."""
+        own = f"{name}--{time.time_ns():020d}-{uuid.uuid4().hex}"
+        staged = f"{self.root}/staged/{own}"
+        write(staged)
+        self._fs.mkdirs(self._path(f"{self.root}/{folder}"))
+        if not self._fs.rename(self._path(staged), self._path(f"{self.root}/{folder}/{own}")):
+            raise OSError(f"could not put {own} in place")
+        return own
+
+    def _published(self) -> dict[str, str]:
+        """Batch ID -> the folder that counts."""
+        return {n.rpartition("--")[0]: n for n in reversed(self._names("batches"))}
 
     def batches(self) -> list[str]:
-        return self._names("batches")
+        return sorted(self._published())
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Adds the batch unless one of that ID is there or in a snapshot; says whether it did."""
-        if not batch_id.replace("-", "").replace("_", "").isalnum():
+        """Adds the batch unless one of that ID is there or in a snapshot; says whether it is this one that counts."""
+        if not batch_id.replace("-", "").replace("_", "").isalnum() or "--" in batch_id:
             raise ValueError(f"not a batch ID: {batch_id}")
-        if batch_id in self.batches() or batch_id in self._snapshot()[1]:
+        if batch_id in self._published() or batch_id in self._snapshot()[1]:
             return False
-        staged = scratch_dir(self.spark, f"staged-{batch_id}")
         totals = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        totals.write.parquet(staged)
-        self._fs.mkdirs(self._at("batches"))
-        if self._fs.exists(self._at("batches", batch_id)):  # another writer was first
-            return False
-        if not self._fs.rename(self._path(staged), self._at("batches", batch_id)):
-            raise OSError(f"could not put batch {batch_id} in place")
-        return True
+        own = self._publish("batches", batch_id, totals.write.parquet)
+        return self._published()[batch_id] == own
 
-    def _snapshot(self) -> tuple[str | None, list[str]]:
+    def _snapshot(self) -> tuple[str | None, set[str]]:
         names = self._names("snapshots")
         if not names:
-            return None, []
-        listed = self.spark.read.text(f"{self.root}/snapshots/{names[-1]}/covers").collect()
-        return names[-1], [r.value for r in listed]
+            return None, set()
+        listed = self.spark.read.text(f"{self.root}/snapshots/{names[-1]}/covers").collect()  # a name for each batch
+        return names[-1], {r.value for r in listed}
 
-    def totals(self) -> DataFrame:
-        snapshot, covered = self._snapshot()
-        paths = [f"{self.root}/batches/{b}" for b in self.batches() if b not in covered]
+    def _sum(self, snapshot: str | None, folders: list[str]) -> DataFrame:
+        paths = [f"{self.root}/batches/{b}" for b in folders]
         paths += [f"{self.root}/snapshots/{snapshot}/totals"] if snapshot else []
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         summed = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return summed.where("n_docs <> 0 or n_tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        snapshot, covered = self._snapshot()
+        return self._sum(snapshot, [f for b, f in self._published().items() if b not in covered])
+
     def compact(self) -> None:
         """Folds all batches into a snapshot that names them; the batches stay and are read no more."""
         last, covered = self._snapshot()
-        names = sorted({*covered, *self.batches()})
-        staged = scratch_dir(self.spark, "staged-snapshot")
-        self.totals().write.parquet(f"{staged}/totals")
-        self.spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.text(f"{staged}/covers")
-        self._fs.mkdirs(self._at("snapshots"))
-        if not self._fs.rename(self._path(staged), self._at("snapshots", f"{int(last or 0) + 1:012d}")):
-            raise OSError("could not put the snapshot in place")
+        published = self._published()
+        totals = self._sum(last, [f for b, f in published.items() if b not in covered])
+        names = sorted(covered | set(published))
+
+        def write(path: str) -> None:
+            totals.write.parquet(f"{path}/totals")
+            self.spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.text(f"{path}/covers")
+
+        self._publish("snapshots", f"{int(last.partition('--')[0]) + 1 if last else 1:012d}", write)
 
 
 def op9_token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
