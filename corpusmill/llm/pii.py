@@ -10,7 +10,7 @@ shuffle, no skew.
 Spans by pattern always stay; the field adds spans that touch none of them (secrets, phone numbers without a country, ...).
 
 Defined cases: a null or empty text has no spans; repeated rows are searched alike; whole texts are read, however long, in time that
-grows with their length; an empty table stays empty. Other columns are carried through by redact(), whatever their names.
+grows with their length and with some 30 bytes for each atom near a digit; an empty table stays empty. Other columns are carried through by redact(), whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 import math
 import random
 import re
+from array import array
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +42,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _ATOM = re.compile(r"[^\W_]+|[^\s]")
 _HOT = re.compile(r"[0-9@]")
+_REPEATED = re.compile(r"([a9 ])\1+")
+_LETTER = re.compile(r"[^\W\d_]")
+#: ASCII digits as 9, letters as a, white space as a blank.
+_SHAPE = {c: "9" if chr(c).isdigit() else "a" if chr(c).isalpha() else " " for c in range(128) if chr(c).isalnum() or chr(c).isspace()}
 
 
 def luhn(digits: str) -> bool:
@@ -83,10 +89,10 @@ def _bucket(n: int) -> int:
     return n if n < 6 else 6 + (n > 7) + (n > 9) + (n > 11) + (n > 15) + (n > 19) + (n > 27) + (n > 39)
 
 
-@lru_cache(maxsize=65536)
 def _span_features(span: str) -> tuple[str, ...]:
     digits = "".join(_DIGIT.findall(span))
-    shape = re.sub(r"([a9 ])\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"\s", " ", re.sub("[0-9]", "9", span))))[:24]
+    plain = span.translate(_SHAPE)
+    shape = _REPEATED.sub(r"\1", plain if plain.isascii() else _LETTER.sub("a", re.sub(r"\s", " ", plain)))[:24]
     out = [f"shape={shape}", f"digits={_bucket(len(digits))}", f"size={_bucket(len(span))}", f"ends={span[0].isalnum():d}{span[-1].isalnum():d}"]
     if "@" in span:
         out.append(f"at={span.count('@')},{'.' in span.rpartition('@')[2]}")
@@ -138,30 +144,82 @@ class Field:
 
     def __init__(self):
         self.w: dict[tuple[int, str], float] = {}
+        self._made, self._spans = None, {}
 
     def score(self, k: int, features: tuple[str, ...]) -> float:
         w = self.w
         return sum(w.get((k, f), 0.0) for f in features)
 
-    def best(self, window: Window) -> list[tuple[int, int, str]]:
-        """Spans (start, end, kind) of the most probable segmentation."""
+    def _vectors(self) -> tuple[dict[str, tuple[float, ...]], list[list[float]]]:
+        """Weights by feature, a number for each kind, and those of a kind behind another."""
         m = len(KINDS) + 1
-        turn = [[self.w.get((k, f"<{p}"), 0.0) for p in range(m)] for k in range(m)]
-        table: list[list[tuple[float, int, int]]] = [[(0.0 if k == 0 else -1e18, -1, 0) for k in range(m)]]
-        for segments in window.ends[1:]:
-            row = [(-1e18, -1, 0)] * m
-            for i, k, features in segments:
-                own = self.score(k, features)
-                s, p = max((table[i][p][0] + turn[k][p], p) for p in range(m))
-                if s + own > row[k][0]:
-                    row[k] = (s + own, i, p)
-            table.append(row)
-        j, out = len(window.atoms), []
-        k = max(range(m), key=lambda k: table[j][k][0])
+        if self._made is None:
+            by: dict[str, list[float]] = {}
+            for (k, f), w in self.w.items():
+                by.setdefault(f, [0.0] * m)[k] = w
+            self._made = {f: tuple(v) for f, v in by.items()}, [[self.w.get((k, f"<{p}"), 0.0) for p in range(m)] for k in range(m)]
+        return self._made
+
+    def best(self, text: str, atoms: array) -> list[tuple[int, int, str]]:
+        """Spans (start, end, kind) of the most probable segmentation of a stretch of atoms (start, end, start, end, ...).
+
+        The scores of the last MAX_ATOMS ends are all that the recursion looks back on; of the others two bytes for each kind are
+        kept, from which the best path is read at the end. Features are made as they are needed.
+        """
+        vectors, turn = self._vectors()
+        m, n = len(KINDS) + 1, len(atoms) // 2
+        none = (0.0,) * m
+        kinds = range(1, m)
+        spans = self._spans
+        add = lambda features: [sum(x) for x in zip(none, *(vectors[f] for f in features if f in vectors))]
+        lengths, before = [bytearray(n + 1) for _ in range(m)], [bytearray(n + 1) for _ in range(m)]
+        now = [0.0] + [-1e18] * (m - 1)
+        open_: deque = deque(maxlen=MAX_ATOMS)  # (place, start in the text, score of each kind so far and the kind before it) of atoms where a segment may begin
+        chain, hot_at = 0, -1
+        left: deque = deque(maxlen=3)
+        word, last_end = "", -2
+        for j in range(n):
+            a, b = atoms[2 * j], atoms[2 * j + 1]
+            glued, previous = last_end == a, word
+            if a - last_end > 1:
+                chain = j
+            word, last_end = text[a:b], b
+            hot = bool(_HOT.search(word))
+            hot_at = j if hot else hot_at
+            plain = word.isalnum()
+            came = [max((now[p] + turn[k][p], p) for p in range(m)) for k in range(m)]
+            if plain or word in "+(":
+                near = f"glued={j > 0 and glued and previous}"
+                lead = f"left={next((w for w in reversed(left) if w.isalpha()), '')}"
+                mark = f"mark={''.join(w for w in list(left)[-2:] if not w.isalnum())}"
+                own = add((near, lead, mark))
+                open_.append((j, a, [c[0] + o for c, o in zip(came, own)], [c[1] for c in came]))
+            now = [came[0][0] + vectors.get(f"word={'9' if hot else 'a' if plain else word}", none)[0]] + [-1e18] * (m - 1)
+            lengths[0][j + 1], before[0][j + 1] = 1, came[0][1]
+            if plain and hot_at >= chain:
+                follows = 2 * j + 2 < len(atoms) and atoms[2 * j + 2] == b
+                right = add((f"right={follows and text[atoms[2 * j + 2] : atoms[2 * j + 3]]}",))
+                for i, start, scores, came_from in open_:
+                    if i < chain or i > hot_at or j - i >= MAX_ATOMS:
+                        continue
+                    span = text[start:b]
+                    own = spans.get(span)
+                    if own is None:
+                        own = add(_span_features(span))
+                        if len(span) <= 64 and len(spans) < 100_000:
+                            spans[span] = own
+                    for k in kinds:
+                        x = scores[k] + own[k] + right[k]
+                        if x > now[k]:
+                            now[k] = x
+                            lengths[k][j + 1], before[k][j + 1] = j + 1 - i, came_from[k]
+            left.append(word.lower() if b - a <= 64 else word[:64].lower())
+        j, out = n, []
+        k = max(range(m), key=lambda k: now[k])
         while j > 0:
-            _, i, p = table[j][k]
+            i, p = j - lengths[k][j], before[k][j]
             if k:
-                out.append((window.atoms[i][0], window.atoms[j - 1][1], KINDS[k - 1]))
+                out.append((atoms[2 * i], atoms[2 * j - 1], KINDS[k - 1]))
             j, k = i, p
         return out[::-1]
 
@@ -205,6 +263,7 @@ class Field:
                     before = k
         for key, g in step.items():
             self.w[key] = self.w.get(key, 0.0) * (1 - 1e-4) + rate * g
+        self._made, self._spans = None, {}
 
 
 def train_sentences(n: int = 420, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
@@ -257,11 +316,8 @@ def train_sentences(n: int = 420, seed: int = 11) -> list[tuple[str, list[tuple[
     return out
 
 
-def windows(text: str) -> Iterator[Window]:
-    """Stretches of atoms within MARGIN of one with a digit or @."""
-    stretch: list[tuple[int, int]] = []
-    recent: list[tuple[int, int]] = []
-    quiet = 0
+def windows(text: str) -> Iterator[array]:
+    """Stretches of atoms (start, end, start, end, ...) within MARGIN of one with a digit or @."""
     at = 0
     while m := _HOT.search(text, at):
         # atoms begin anew near the next digit: far enough back for MARGIN atoms
@@ -270,21 +326,24 @@ def windows(text: str) -> Iterator[Window]:
             back = max(at, text.rfind(" ", at, back))
             if back <= at:
                 break
-        stretch, recent, quiet = [], [], 0
-        end = len(text)
+        stretch, recent = array("q"), deque(maxlen=MARGIN)
+        quiet, end = 0, len(text)
         for a in _ATOM.finditer(text, back):
             span = a.span()
             if _HOT.search(text, *span):
-                stretch += recent + [span]
-                recent, quiet = [], 0
+                for x in recent:
+                    stretch.extend(x)
+                stretch.extend(span)
+                recent, quiet = deque(maxlen=2 * MARGIN), 0
             else:
-                recent = (recent + [span])[-(MARGIN if not stretch else 2 * MARGIN) :]
+                recent.append(span)
                 quiet += 1
                 if stretch and quiet >= 2 * MARGIN:
                     end = span[1]
                     break
-        stretch += recent[:MARGIN]
-        yield Window(text, stretch)
+        for x in list(recent)[:MARGIN]:
+            stretch.extend(x)
+        yield stretch
         at = end
 
 
@@ -312,7 +371,7 @@ def find(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list[tupl
     extra = []
     taken = sorted((a, b) for a, b, _ in base)
     for w in windows(text):
-        for s in field.best(w):
+        for s in field.best(text, w):
             if not any(a < s[1] and s[0] < b for a, b in _near(taken, s)):
                 extra.append(s)
     return base, sorted([*base, *extra], key=order)
