@@ -42,15 +42,19 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _ATOM = re.compile(r"[^\W_]+|[^\s]")
 _HOT = re.compile(r"[0-9@]")
+_DIGITS = re.compile("[0-9]+")
+_NOT_GROUPED = re.compile(r"[^0-9\s().+-]")
 _REPEATED = re.compile(r"([a9 ])\1+")
 _LETTER = re.compile(r"[^\W\d_]")
+_NO_DIGIT = {c: None for c in range(128) if not 48 <= c < 58}
+_FEW = "012345"
 #: ASCII digits as 9, letters as a, white space as a blank.
 _SHAPE = {c: "9" if chr(c).isdigit() else "a" if chr(c).isalpha() else " " for c in range(128) if chr(c).isalnum() or chr(c).isspace()}
 
 
 def luhn(digits: str) -> bool:
-    twice = "0246813579"
-    return sum(int(d) if i % 2 == 0 else int(twice[int(d)]) for i, d in enumerate(reversed(digits))) % 10 == 0
+    back = [int(d) for d in reversed(digits)]
+    return (sum(back[::2]) + sum(2 * d - 9 * (d > 4) for d in back[1::2])) % 10 == 0
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -90,22 +94,22 @@ def _bucket(n: int) -> int:
 
 
 def _span_features(span: str) -> tuple[str, ...]:
-    digits = "".join(_DIGIT.findall(span))
+    digits = span.translate(_NO_DIGIT) if span.isascii() else "".join(_DIGIT.findall(span))
     plain = span.translate(_SHAPE)
     shape = _REPEATED.sub(r"\1", plain if plain.isascii() else _LETTER.sub("a", re.sub(r"\s", " ", plain)))[:24]
     out = [f"shape={shape}", f"digits={_bucket(len(digits))}", f"size={_bucket(len(span))}", f"ends={span[0].isalnum():d}{span[-1].isalnum():d}"]
     if "@" in span:
         out.append(f"at={span.count('@')},{'.' in span.rpartition('@')[2]}")
     if len(digits) > 11:
-        out.append(f"luhn={len(digits) < 20 and luhn(digits)},{len(digits) == sum(c not in ' -' for c in span)}")
+        out.append(f"luhn={len(digits) < 20 and luhn(digits)},{len(digits) == len(span) - span.count(' ') - span.count('-')}")
     if span.count(".") == 3 and not span.strip("0123456789."):
         out.append(f"quad={all(len(p) < 4 and p and int(p) < 256 for p in span.split('.'))}")
     if span.isalnum() and digits and len(digits) < len(span):
         hexed = not span.lower().strip("0123456789abcdef")
         out.append(f"mixed={hexed},{_bucket(len(span))}")
-    groups = re.findall("[0-9]+", span)
-    if len(groups) > 1 and not re.search(r"[^0-9\s().+-]", span):
-        out.append("groups=" + "-".join(str(min(len(g), 5)) for g in groups[:6]))
+    groups = _DIGITS.findall(span)
+    if len(groups) > 1 and not _NOT_GROUPED.search(span):
+        out.append("groups=" + "-".join([_FEW[min(len(g), 5)] for g in groups[:6]]))
     return tuple(out)
 
 
@@ -171,7 +175,11 @@ class Field:
         none = (0.0,) * m
         kinds = range(1, m)
         spans = self._spans
-        add = lambda features: [sum(x) for x in zip(none, *(vectors[f] for f in features if f in vectors))]
+
+        def add(features: tuple[str, ...]) -> list[float]:
+            known = [vectors[f] for f in features if f in vectors]
+            return [*map(sum, zip(*known))] if known else [0.0] * m
+
         lengths, before = [bytearray(n + 1) for _ in range(m)], [bytearray(n + 1) for _ in range(m)]
         now = [0.0] + [-1e18] * (m - 1)
         open_: deque = deque(maxlen=MAX_ATOMS)  # (place, start in the text, score of each kind so far and the kind before it) of atoms where a segment may begin

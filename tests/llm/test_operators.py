@@ -369,6 +369,40 @@ def test_classifier_on_held_out_labels(spark, sf_dir):
     assert np.mean([got[i] for i, q in rest.items() if q == 1]) > 0.95
 
 
+def test_views_teach_each_other(spark):
+    """Labelled texts know one vocabulary. Only the source says what the others are, and the text view learns theirs from it."""
+    r = random.Random(31)
+    pick = lambda stem, n: " ".join(f"{stem}{r.randint(0, 30)}" for _ in range(n))
+    docs, labels = [], []
+    for i in range(900):
+        good, old = i % 2, i < 200
+        docs.append((i, pick(("bad", "fine")[good] if old else ("junk", "prose")[good], 60), "en", ("dump", "library")[good], 300))
+        labels += [(i, good)] * old
+    docs += [(1000 + i, pick(("junk", "prose")[i % 2], 60), "en", "unseen", 300) for i in range(100)]  # which metadata can't tell
+    d, k = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+    def right(rounds):
+        got = {x.doc_id: x.text_score for x in quality_classifier.op8_quality_classifier(d, k, rounds=rounds).collect()}
+        return np.mean([(got[1000 + i] > 0.5) == bool(i % 2) for i in range(100)])
+
+    alone, taught = right(0), right(quality_classifier.ROUNDS)
+    assert alone < 0.8 and taught > 0.95
+
+
+def test_only_labelled_rows_come_to_the_driver(spark, monkeypatch):
+    """One ID on most rows, labelled and not: max_labelled rows are gathered, and cells."""
+    docs = [(1, f"text {i % 7} words", "en", "s", 10) for i in range(400)] + [(i, f"other {i}", "en", "t", 10) for i in range(2, 60)]
+    labels = [(i, i % 2) for i in range(1, 40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "co_train", lambda x, y, teach, rounds: seen.append((x.shape, teach(np.zeros(quality_classifier.N_TEXT + 1) + 9, np.zeros(quality_classifier.N_META + 1) + 9))))
+    assert quality_classifier.op8_quality_classifier(d, spark.createDataFrame(labels, "doc_id long, quality int"), max_labelled=20).where("kept").count() == len(docs)
+    (n, _), teach = seen[0]
+    assert n == 20
+    for means, said, counts in teach:  # every document that isn't in the sample is counted, repeated rows and all
+        assert len(means) <= 2 * quality_classifier.CELLS and set(said) == {1.0} and counts.sum() in (len(docs) - 20, len(docs) - 419)
+
+
 def test_classifier_without_labels_keeps_all(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").where("false")
     assert quality_classifier.op8_quality_classifier(table(spark, sf_dir, "documents"), labels).where("not kept").count() == 0
