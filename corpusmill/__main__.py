@@ -1,8 +1,9 @@
-"""python -m corpusmill compile|metrics|profile|dry-run …: the plans from a shell."""
+"""python -m corpusmill compile|infer|metrics|profile|build|dry-run …: the plans from a shell."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import logging
 import sys
@@ -14,19 +15,30 @@ from corpusmill.plans import build
 from corpusmill.sources import readers
 
 
+def factory(name: str):
+    """The function `module:name` that makes a model in a worker (batch of prompts -> batch of answers)."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="corpusmill")
     parser.add_argument("--log-level", default="INFO")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, args in {"compile": ("predictions", "--out", "--errors", "--classpath"), "metrics": ("prompts", "predictions", "--model", "--n", "--flat"), "profile": ("table",), "build": ("config",), "dry-run": ("config",)}.items():
+    for name, args in {"compile": ("predictions", "--out", "--errors", "--classpath", "--java-dir"), "infer": ("prompts", "model", "--out", "--label", "--run", "--n", "--batch", "--score"), "metrics": ("prompts", "predictions", "--model", "--n", "--flat"), "profile": ("table",), "build": ("config",), "dry-run": ("config",)}.items():
         p = commands.add_parser(name)
         for a in args:
-            p.add_argument(a, **({"action": "store_true"} if a == "--flat" else {"default": ""} if a.startswith("--") else {}))
+            p.add_argument(a, **({"action": "store_true"} if a in ("--flat", "--score") else {"default": ""} if a.startswith("--") else {}))
     a = parser.parse_args(argv)
     logging.basicConfig(level=a.log_level, format="%(asctime)s %(levelname)s %(message)s")
     spark = SparkSession.builder.appName("corpusmill").getOrCreate()
     if a.command == "compile":
-        build.compile_report(spark, a.predictions, a.out or None, a.errors or None, a.classpath)[0].show()
+        build.compile_report(spark, a.predictions, a.out or None, a.errors or None, a.classpath, a.java_dir or None)[0].show()
+    elif a.command == "infer":
+        path, scores = build.infer(readers.read_table(spark, a.prompts), factory(a.model), a.out or ".", a.label or a.model.rpartition(":")[2], a.run or "1", int(a.n) if a.n else None, int(a.batch or 128), a.score)
+        logging.info("predictions are in %s", path)
+        if scores is not None:
+            scores.show(truncate=False)
     elif a.command == "metrics":
         predictions = readers.read_predictions(spark, a.predictions).withColumnRenamed("original_idx", "idx")
         build.evaluate(readers.read_table(spark, a.prompts), predictions, a.model or "chatml", cascade=not a.flat, n=int(a.n) if a.n else None).show(truncate=False)

@@ -36,9 +36,27 @@ def exact_match(ev: DataFrame) -> DataFrame:
     return ev.agg(_ratio(strip(F.col("prediction")) == strip(F.col("reference"))).alias("score"), F.lit(None).cast("long").alias("passed"))
 
 
+def _common(a: Column, b: Column, part) -> Column:
+    """The greatest n for which part(a, n) = part(b, n), by halving steps; part: the first or the last n characters."""
+    room = F.least(F.length(a), F.length(b))
+    grown = lambda n, step: F.when((n + step <= room) & (part(a, n + step) == part(b, n + step)), n + step).otherwise(n)
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(22, -1, -1))), F.lit(0), grown)
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance in characters. What two texts begin and end with alike costs nothing and is cut before the quadratic part."""
+
+    def cut(n: Column) -> Column:
+        x, y = F.substr(a, n + 1), F.substr(b, n + 1)
+        last = lambda c, m: F.substr(c, F.length(c) - m + 1)
+        return let(F.struct(x.alias("x"), y.alias("y")), lambda p: let(_common(p["x"], p["y"], last), lambda m: F.levenshtein(F.substr(p["x"], F.lit(1), F.length(p["x"]) - m), F.substr(p["y"], F.lit(1), F.length(p["y"]) - m))))
+
+    return F.when(a == b, 0).otherwise(let(_common(a, b, lambda c, m: F.substr(c, F.lit(1), m)), cut))
+
+
 def edit_distance(ev: DataFrame) -> DataFrame:
     """Mean Levenshtein distance in characters."""
-    return ev.agg(_ratio(F.levenshtein("prediction", "reference")).alias("score"), F.lit(None).cast("long").alias("passed"))
+    return ev.agg(_ratio(distance(F.col("prediction"), F.col("reference"))).alias("score"), F.lit(None).cast("long").alias("passed"))
 
 
 # --- BLEU ------------------------------------------------------------------------------------------------------------
@@ -195,49 +213,89 @@ def coverage(ev: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Metric:
+    """compute: of a frame. survives: which rows pass, for a gate. mean: what a row contributes, for a metric that is a mean over rows; such
+    metrics are all computed in one pass."""
+
     compute: Callable[[DataFrame], DataFrame]
     survives: Callable[[], Column] | None = None
+    mean: Callable[[], Column] | None = None
+
+
+def _compiled() -> Column:
+    return F.col("status").isin("HARD_PASS", "SOFT_PASS")
 
 
 REGISTRY: dict[str, Metric] = {
-    "parse_rate": Metric(parse_rate, lambda: F.col("parse_ok")),
-    "compile_rate": Metric(compile_rate, lambda: F.col("status").isin("HARD_PASS", "SOFT_PASS")),
-    "coverage": Metric(coverage),
+    "parse_rate": Metric(parse_rate, lambda: F.col("parse_ok"), lambda: F.col("parse_ok")),
+    "compile_rate": Metric(compile_rate, _compiled, _compiled),
+    "coverage": Metric(coverage, mean=lambda: F.coalesce("coverage", F.lit(0.0))),
     "bleu": Metric(corpus_bleu),
-    "edit_distance": Metric(edit_distance),
-    "exact_match": Metric(exact_match),
+    "edit_distance": Metric(edit_distance, mean=lambda: distance(F.col("prediction"), F.col("reference"))),
+    "exact_match": Metric(exact_match, mean=lambda: strip(F.col("prediction")) == strip(F.col("reference"))),
     "codebleu": Metric(codebleu),
 }
 
 
-def register_metric(name: str, compute: Callable[[DataFrame], DataFrame], survives: Callable[[], Column] | None = None) -> None:
-    REGISTRY[name] = Metric(compute, survives)
+def register_metric(name: str, compute: Callable[[DataFrame], DataFrame], survives: Callable[[], Column] | None = None, mean: Callable[[], Column] | None = None) -> None:
+    REGISTRY[name] = Metric(compute, survives, mean)
+
+
+def _said(e: Exception) -> str:
+    return f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"
 
 
 def run_metrics(ev: DataFrame, names: list[str] | None = None, cascade: bool = True) -> DataFrame:
     """A row for each metric: metric, score, passed, n_in, pct_total (of all rows, for gates), error.
 
-    With cascade, a gate narrows the rows of the metrics behind it; nothing is collected but one row of figures for
-    each metric. A metric that fails has its error in place of a score and the others go on.
+    With cascade, a gate narrows the rows of the metrics behind it: its flag joins their condition. Counts, gates and all metrics that are means come from
+    one aggregation; any other metric is a job of its own over the rows of its condition. A metric that fails has its error in place of a score and the others go on.
     """
-    spark, rows = ev.sparkSession, []
-    ev = ev.persist()
+    spark, names = ev.sparkSession, list(names or REGISTRY)
+    for name in names:
+        if name not in REGISTRY:
+            raise ValueError(f"unknown metric: {name}")
+    errors: dict[str, str] = {}
+    rows_in: dict[str, Column] = {}
+    alive = F.lit(True)
+    for name in names:
+        rows_in[name], metric = alive, REGISTRY[name]
+        try:
+            metric.compute(ev)  # a column that isn't there is found without a job
+            if cascade and metric.survives is not None:
+                alive = alive & F.coalesce(metric.survives(), F.lit(False))
+        except Exception as e:  # noqa: BLE001  isolates metrics from each other
+            errors[name] = _said(e)
+
+    def sums(wanted: list[str]) -> list[Column]:
+        out = [F.count("*").alias("total")]
+        for i, name in enumerate(names):
+            out.append(F.count_if(rows_in[name]).alias(f"n{i}"))
+            if name in wanted:
+                metric = REGISTRY[name]
+                out.append(_ratio(F.when(rows_in[name], metric.mean().cast("double"))).alias(f"s{i}"))
+                out.append((F.lit(None).cast("long") if metric.survives is None else F.count_if(rows_in[name] & F.coalesce(metric.survives(), F.lit(False)))).alias(f"p{i}"))
+        return out
+
+    single = [n for n in names if n not in errors and REGISTRY[n].mean is None]
+    means = [n for n in names if n not in errors and REGISTRY[n].mean is not None]
+    ev = ev.persist() if single else ev
+    rows = []
     try:
-        total = ev.count()
-        now = ev
-        for name in names or REGISTRY:
-            if name not in REGISTRY:
-                raise ValueError(f"unknown metric: {name}")
-            metric = REGISTRY[name]
-            n_in = now.count()
-            try:
-                r = metric.compute(now).first()
-                passed = r["passed"]
-                rows.append((name, float(r["score"]), passed, n_in, None if passed is None else (100.0 * passed / total if total else 0.0), None))
-                if cascade and metric.survives is not None:
-                    now = now.where(metric.survives())
-            except Exception as e:  # noqa: BLE001  isolates metrics from each other
-                rows.append((name, None, None, n_in, None, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"))
+        try:
+            found = ev.agg(*sums(means)).first().asDict()
+        except Exception:  # noqa: BLE001  one of the means fails on the rows: each for itself
+            found, single, means = ev.agg(*sums([])).first().asDict(), single + means, []
+        for i, name in enumerate(names):
+            n_in, score, passed = found[f"n{i}"], found.get(f"s{i}"), found.get(f"p{i}")
+            if name in single:
+                try:
+                    r = REGISTRY[name].compute(ev.where(rows_in[name])).first()
+                    score, passed = float(r["score"]), r["passed"]
+                except Exception as e:  # noqa: BLE001
+                    errors[name] = _said(e)
+            total = found["total"]
+            pct = None if passed is None else (100.0 * passed / total if total else 0.0)
+            rows.append((name, None, None, n_in, None, errors[name]) if name in errors else (name, score, passed, n_in, pct, None))
     finally:
         ev.unpersist()
     return spark.createDataFrame(rows, T.StructType(schemas.METRIC.fields))

@@ -16,7 +16,7 @@ from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import gates, java
@@ -77,89 +77,86 @@ class JavaTool:
         self.close()
 
 
-def _mapped(df: DataFrame, columns: list[str], ddl: str, work: Callable[[JavaTool, pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _answered(df: DataFrame, inputs: dict[str, Column], fields: dict[str, str], work: Callable[[Callable[..., list[str]], dict], tuple]) -> DataFrame:
+    """df with the columns `fields`, the helper's answers for each row. inputs: what work(ask, row of inputs) sees.
+
+    Rows go through in place, whatever their other columns are, without a join; a JVM starts with the first question of a task.
+    """
+    rows = df.select(*(df[c].alias(f"c{i}") for i, c in enumerate(df.columns)), *(c.alias(f"in_{n}") for n, c in inputs.items()))
+    own, names, types = len(df.columns), [*inputs], _arrow_types(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = None
+
+        def ask(mode: str, *args: str) -> list[str]:
+            nonlocal tool
+            tool = tool or JavaTool()
+            return tool.ask(mode, *args)
+
         try:
-            for pdf in frames:
-                if len(pdf):
-                    tool = tool or JavaTool()
-                    yield work(tool, pdf)
+            for batch in batches:
+                values = zip(*(batch.column(own + k).to_pylist() for k in range(len(names))))
+                answers = [work(ask, dict(zip(names, v))) for v in values]
+                columns = [*zip(*answers)] if answers else [()] * len(fields)
+                yield pa.record_batch([*batch.columns[:own], *(pa.array(list(c), t) for c, t in zip(columns, types))], names=[*batch.schema.names[:own], *fields])
         finally:
             if tool:
                 tool.close()
 
-    return _spread(df.select(*columns)).mapInPandas(run, ddl)
+    ddl = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields)), *(f"{n} {t}" for n, t in fields.items())])
+    return rows.mapInArrow(run, ddl).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)), *fields)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """df on all cores if it has fewer partitions: a few files would leave cores idle while each row costs milliseconds."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def _arrow_types(fields: dict[str, str]) -> list[pa.DataType]:
+    return [{"boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[t] for t in fields.values()]
 
 
 def parse_java(ev: DataFrame, code_col: str = "prediction") -> DataFrame:
-    """ev with parse_ok: whether the code, in a class of its own if it names none, is Java by syntax.
-
-    Rows go through in place, without a join; only those that pass the cheap tests reach the parser.
-    """
+    """ev with parse_ok: whether the code, in a class of its own if it names none, is Java by syntax. Only what passes the cheap tests reaches the parser."""
     code = F.when(~gates.trivially_invalid(F.col(code_col)), gates.to_parse(F.col(code_col)))
-    rows = _spread(ev.select(*(ev[c].alias(f"c{i}") for i, c in enumerate(ev.columns)), code.alias("code")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = None
-        try:
-            for batch in batches:
-                ok = []
-                for c in batch.column(batch.num_columns - 1).to_pylist():
-                    tool = tool or (JavaTool() if c is not None else None)
-                    ok.append(c is not None and tool.ask("parse", c)[0] == "1")
-                yield pa.record_batch([*batch.columns[:-1], pa.array(ok, pa.bool_())], names=[*batch.schema.names[:-1], "parse_ok"])
-        finally:
-            if tool:
-                tool.close()
+    return _answered(ev, {"code": code}, {"parse_ok": "boolean"}, lambda ask, x: (x["code"] is not None and ask("parse", x["code"])[0] == "1",))
 
-    ddl = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(ev.schema.fields)), "parse_ok boolean"])
-    return rows.mapInArrow(run, ddl).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(ev.columns)), "parse_ok")
 
-
-def compile_java(ev: DataFrame, code_col: str = "prediction", idx: str = "idx", classpath: str = "", messages_only: bool = False) -> DataFrame:
-    """idx, status, msg, fixed_src for each row: cheap rejects, repair, import fence, stubs and then the compiler."""
+def with_status(ev: DataFrame, code_col: str = "prediction", classpath: str = "", messages_only: bool = False) -> DataFrame:
+    """ev with status, msg and fixed_src: cheap rejects, repair, import fence, stubs and then the compiler, each row in place."""
     src = F.coalesce(F.col(code_col), F.lit(""))
     bad = gates.trivially_bad(src)
-    prepared = ev.select(F.col(idx).alias("idx"), src.alias("raw"), bad.alias("bad"), F.when(~bad, gates.repaired(src)).alias("fixed"))
-    fenced = prepared.withColumn("outside", F.when(~F.col("bad"), java.disallowed_imports(F.col("fixed"))))
-    rejected = fenced.where("bad or size(outside) > 0").select(
-        "idx", F.lit("HARD_FAIL").alias("status"), F.when(F.col("bad"), "trivial reject").otherwise(F.concat(F.lit("disallowed import(s): "), F.array_join("outside", ", "))).alias("msg"),
-        F.when(F.col("bad"), F.col("raw")).otherwise(F.col("fixed")).alias("fixed_src"),
-    )
-    ready = fenced.where("not bad and size(outside) = 0").select("idx", "fixed", java.stubs(F.col("fixed")).alias("stubs"))
-    kind = ready.schema["idx"].dataType.simpleString()
+    fixed = F.when(~bad, gates.repaired(src))
+    outside = F.when(fixed.isNotNull(), java.disallowed_imports(fixed))
     given = [] if classpath else [x for kv in JUNIT_STUBS.items() for x in kv]
 
-    def work(tool: JavaTool, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for i, fixed, stubs in zip(pdf["idx"], pdf["fixed"], pdf["stubs"]):
-            own = [x for s in stubs if not s["path"].startswith(("org/junit/", "org/hamcrest/")) for x in (s["path"], s["stub_src"])]
-            code, said = tool.ask("compile", classpath, "GenTest.java", fixed, *own, *given)
-            rows.append((i, int(code), said, fixed))
-        return pd.DataFrame(rows, columns=["idx", "code", "stderr", "fixed_src"])
+    def work(ask, x: dict) -> tuple:
+        if x["stubs"] is None:
+            return None, None
+        own = [y for s in x["stubs"] if not s["path"].startswith(("org/junit/", "org/hamcrest/")) for y in (s["path"], s["stub_src"])]
+        code, said = ask("compile", classpath, "GenTest.java", x["fixed"], *own, *given)
+        return int(code), said
+
+    held = {n: f"{n}_{k}" for k, n in enumerate(("fixed", "outside"))}  # names that ev doesn't have
+    while set(held.values()) & set(ev.columns):
+        held = {n: h + "_" for n, h in held.items()}
+    rows = ev.select("*", fixed.alias(held["fixed"]), outside.alias(held["outside"]))
+    done = _answered(rows, {"fixed": F.col(held["fixed"]), "stubs": F.when(F.col(held["fixed"]).isNotNull() & (F.size(held["outside"]) == 0), java.stubs(F.col(held["fixed"])))}, {"java_code_": "int", "java_said_": "string"}, work)
+    code, said, fixed, outside = F.col("java_code_"), F.col("java_said_"), F.col(held["fixed"]), F.col(held["outside"])
+    fenced = F.concat(F.lit("disallowed import(s): "), F.array_join(outside, ", "))
+    return done.select(
+        *ev.columns,
+        F.when(code.isNull(), "HARD_FAIL").otherwise(gates.compile_status(code, said, messages_only)).alias("status"),
+        F.when(code.isNotNull(), gates.compile_message(code, said)).when(fixed.isNull(), "trivial reject").otherwise(fenced).alias("msg"),
+        F.coalesce(fixed, F.col(code_col), F.lit("")).alias("fixed_src"),
+    )
+
 
-    compiled = _mapped(ready, ["idx", "fixed", "stubs"], f"idx {kind}, code int, stderr string, fixed_src string", work)
-    judged = compiled.select("idx", gates.compile_status(F.col("code"), F.col("stderr"), messages_only).alias("status"), gates.compile_message(F.col("code"), F.col("stderr")).alias("msg"), "fixed_src")
-    return rejected.unionByName(judged)
+def compile_java(ev: DataFrame, code_col: str = "prediction", idx: str = "idx", classpath: str = "", messages_only: bool = False) -> DataFrame:
+    """idx, status, msg, fixed_src for each row."""
+    return with_status(ev.select(F.col(idx).alias("idx"), F.col(code_col).alias("prediction")), classpath=classpath, messages_only=messages_only).drop("prediction")
 
 
 def code_matches(ev: DataFrame, idx: str = "idx") -> DataFrame:
     """idx, tree_hit, tree_all, flow_hit, flow_all: subtrees and value flows of the reference that the prediction has."""
-    kind = ev.schema[idx].dataType.simpleString()
-    rows = ev.select(idx, *(gates.to_parse(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("prediction", "reference")))
-
-    def work(tool: JavaTool, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [list(map(int, tool.ask("match", p, r)[0].split())) for p, r in zip(pdf["prediction"], pdf["reference"])]
-        return pd.concat([pdf[[idx]].reset_index(drop=True), pd.DataFrame(found, columns=["tree_hit", "tree_all", "flow_hit", "flow_all"])], axis=1)
-
-    return _mapped(rows, [idx, "prediction", "reference"], f"{idx} {kind}, tree_hit bigint, tree_all bigint, flow_hit bigint, flow_all bigint", work)
+    texts = {c: gates.to_parse(F.coalesce(F.col(c), F.lit(""))) for c in ("prediction", "reference")}
+    fields = dict.fromkeys(("tree_hit", "tree_all", "flow_hit", "flow_all"), "bigint")
+    return _answered(ev.select(idx, "prediction", "reference"), texts, fields, lambda ask, x: tuple(map(int, ask("match", x["prediction"], x["reference"])[0].split()))).drop("prediction", "reference")
 
 
 # --- generation ------------------------------------------------------------------------------------------------------
@@ -206,7 +203,7 @@ def run_coverage(tests: DataFrame, junit_classpath: str, agent_jar: str, cli_jar
         for pdf in frames:
             yield pd.DataFrame({"idx": pdf["idx"], "report": [_covered(r, junit_classpath, agent_jar, cli_jar, timeout_s) for r in pdf.itertuples()]})
 
-    return tests.select("idx", "test_src", "test_path", "focal_src", "focal_path").mapInPandas(run, "idx bigint, report string")
+    return tests.select(F.col("idx").cast("bigint").alias("idx"), "test_src", "test_path", "focal_src", "focal_path").mapInPandas(run, "idx bigint, report string")
 
 
 def _covered(row, junit: str, agent: str, cli: str, limit: int) -> str | None:

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import java, java_scan
 from corpusmill.functions import text as tx
 from corpusmill.operators import metrics, prep, profile, workers
 from corpusmill.sources import readers, writers
@@ -21,6 +22,26 @@ def fingerprint(config: dict, **inputs) -> str:
     return hashlib.sha256(json.dumps([config, inputs], sort_keys=True, default=str).encode()).hexdigest()
 
 
+def contents(df: DataFrame) -> list:
+    """Schema, rows and a sum over all rows that doesn't depend on their order."""
+    r = df.select(F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("h")).first()
+    return [df.schema.json(), r.n, str(r.h)]
+
+
+def identity(tokenizer) -> list:
+    """What kind of tokenizer it is, and its parameters."""
+    known = {k: getattr(v, "__qualname__", v) for k, v in vars(tokenizer).items()}
+    return [type(tokenizer).__module__, type(tokenizer).__qualname__, getattr(tokenizer, "version", None), known]
+
+
+def input_version(spark: SparkSession, config: dict, raw: DataFrame | None) -> list:
+    """What the raw rows and the registry are now: contents of a frame, sizes and times of files."""
+    registry = config.get("registry")
+    indexed = [readers.versions(spark, p) for m in readers.read_registry(spark, registry).values() for p in m.values()] if registry else []
+    own = contents(raw) if raw is not None else [readers.versions(spark, p) for p in config["paths"].values()]
+    return [own, readers.versions(spark, registry) if registry else None, indexed]
+
+
 def _by_split(df: DataFrame, names: dict[str, str], apply: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """apply(rows, function name), once for all splits that share a function."""
     groups: dict[str, list[str]] = {}
@@ -49,22 +70,25 @@ def tokenize(processed: DataFrame, tokenizer, config: dict) -> DataFrame:
 def build_datasets(spark: SparkSession, config: dict, tokenizer, raw: DataFrame | None = None) -> DataFrame:
     """Tokenized splits: raw -> gate and prompts -> written -> indices shared by all models -> tokens -> written.
 
-    Each written table has a manifest; it is used again if that names the same configuration and input, and made anew if not.
+    Each written table has a manifest that names configuration, tokenizer and input as they were: the contents of a given frame, sizes and times of files.
+    A table is used again if nothing of that has changed, and made anew if it has; tokens are made anew whenever prompts were.
     """
     root = config["output_dir"].rstrip("/")
-    print_ = fingerprint({k: v for k, v in config.items() if not k.startswith("need_")}, raw=raw.schema.json() if raw is not None else config.get("paths"))
+    settings = {k: v for k, v in config.items() if not k.startswith("need_")}
+    print_ = fingerprint(settings, tokenizer=identity(tokenizer), inputs=input_version(spark, config, raw))
     done = writers.read_manifest(spark, f"{root}/processed_manifest")
-    if config.get("need_special_processing", True) or not done or done["fingerprint"] != print_:
+    anew = config.get("need_special_processing", True) or not done or done["fingerprint"] != print_
+    if anew:
         src = raw if raw is not None else readers.read_splits(spark, config["paths"])
         writers.write_splits(process(src, tokenizer, config), f"{root}/processed")
         writers.write_manifest(spark, f"{root}/processed_manifest", {"fingerprint": print_, "rows": readers.read_processed(spark, f"{root}/processed").count()})
     processed = readers.read_processed(spark, f"{root}/processed")
     if config.get("registry"):
-        index = readers.read_registered_index(spark, readers.read_registry(config["registry"]))
+        index = readers.read_registered_index(spark, readers.read_registry(spark, config["registry"]))
         processed = prep.fairness_filter(processed, prep.shared_index(index))
     rows = processed.count()
     done = writers.read_manifest(spark, f"{root}/tokenized_manifest")
-    if config.get("need_tokenization") or not done or (done["fingerprint"], done["rows"]) != (print_, rows):
+    if anew or config.get("need_tokenization") or not done or (done["fingerprint"], done["rows"]) != (print_, rows):
         writers.write_tokenized(tokenize(processed, tokenizer, config), f"{root}/tokenized")
         writers.write_manifest(spark, f"{root}/tokenized_manifest", {"fingerprint": print_, "rows": rows})
     return readers.read_tokenized(spark, f"{root}/tokenized")
@@ -97,24 +121,59 @@ def evaluation_frame(prompts: DataFrame, predictions: DataFrame, model: str = "c
     return metrics.align(prep.first_rows(predictions, n), prep.first_rows(prompts, n).select("idx", ref.alias("reference")))
 
 
-def evaluate(prompts: DataFrame, predictions: DataFrame, model: str = "chatml", names: list[str] | None = None, cascade: bool = True, n: int | None = None, classpath: str = "") -> DataFrame:
-    """A row for each metric. Parsing and compiling run only if a metric asks for them."""
+def evaluate(prompts: DataFrame, predictions: DataFrame, model: str = "chatml", names: list[str] | None = None, cascade: bool = True, n: int | None = None, classpath: str = "", coverage: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """A row for each metric. Parsing and compiling run only if a metric asks for them, each in place; coverage: (idx, coverage) as coverage_of() gives it.
+
+    partitions: over how many the rows are dealt before Java work; by default they stay as they are.
+    """
     ev = evaluation_frame(prompts, predictions, model, n)
+    ev = ev.repartition(partitions) if partitions else ev
     wanted = list(names or metrics.REGISTRY)
-    if "coverage" in wanted and "coverage" not in predictions.columns:
+    if coverage is not None:
+        ev = ev.join(coverage.select("idx", "coverage"), "idx", "left")
+    elif "coverage" not in ev.columns and "coverage" in wanted:
         wanted.remove("coverage")
     if "parse_rate" in wanted:
         ev = workers.parse_java(ev)
     if "compile_rate" in wanted:
-        ev = ev.join(workers.compile_java(ev, classpath=classpath).select("idx", "status"), "idx", "left")
+        ev = workers.with_status(ev, classpath=classpath)
     return metrics.run_metrics(ev, wanted, cascade)
 
 
-def compile_report(spark: SparkSession, predictions_path: str, out: str | None = None, errors: str | None = None, classpath: str = "") -> tuple[DataFrame, DataFrame]:
+def coverage_tests(tests: DataFrame, focal: DataFrame) -> DataFrame:
+    """(idx, test_src, test_path, focal_src, focal_path, focal_name, class_name) of tests (original_idx, prediction) and focal sources (idx, src)."""
+    pairs = metrics.gather(tests, focal)
+    renamed = java.uniquify_test(F.col("original_idx"), F.col("prediction"), generated_only=True)
+    fixed = java_scan.normalize_focal(F.col("src"))
+    rows = pairs.select(F.col("original_idx").alias("idx"), renamed.alias("t"), fixed.alias("focal_src"))
+    name = F.regexp_extract("focal_src", "\\bclass\\s+(\\w+)", 1)
+    return rows.select(
+        "idx", F.col("t.src").alias("test_src"), F.col("t.rel_path").alias("test_path"), "focal_src", F.concat(java.package_path(F.col("focal_src")), name, F.lit(".java")).alias("focal_path"),
+        java.focal_method_name(F.col("focal_src")).alias("focal_name"), name.alias("class_name"),
+    )
+
+
+def coverage_of(pairs: DataFrame, reports: DataFrame) -> DataFrame:
+    """(idx, coverage) of every row of pairs (idx, focal_name, class_name): line coverage of its focal method by its report (idx, report); 0 without one."""
+    counters = readers.coverage_methods(reports.where("report is not null").select(F.col("idx").alias("test_idx"), "report"))
+    return metrics.focal_coverage(counters, pairs.select(F.col("idx").alias("test_idx"), "focal_name", "class_name")).withColumnRenamed("test_idx", "idx")
+
+
+def run_coverage(tests: DataFrame, focal: DataFrame, junit_classpath: str, agent_jar: str, cli_jar: str, allow_execution: bool = False, save_reports: str | None = None, timeout_s: int = 30) -> DataFrame:
+    """(idx, coverage) of tests that are compiled and run under the coverage agent; a test of which any step fails has 0."""
+    pairs = coverage_tests(tests, focal)
+    reports = workers.run_coverage(pairs, junit_classpath, agent_jar, cli_jar, allow_execution, timeout_s)
+    if save_reports:  # written once, so that tests don't run again for the figures
+        writers.write_reports(reports, save_reports)
+        reports = tests.sparkSession.read.parquet(save_reports)
+    return coverage_of(pairs, reports)
+
+
+def compile_report(spark: SparkSession, predictions_path: str, out: str | None = None, errors: str | None = None, classpath: str = "", java_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(summary by status, results) of a predictions file; both written where paths are given. Results keep original_idx."""
     results = workers.compile_java(readers.read_predictions(spark, predictions_path), idx="original_idx", classpath=classpath).persist()
     if out:
-        writers.write_corrected_tests(results, out)
+        writers.write_corrected_tests(results, out, java_dir=java_dir)
     if errors:
         writers.write_failures(results, errors)
     return metrics.status_counts(results), results

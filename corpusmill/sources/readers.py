@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from corpusmill import schemas
-from corpusmill.functions.text import is_blank
+from corpusmill.functions.text import is_blank, lstrip
 
 SPLITS = ("train", "eval", "test")
 
@@ -29,8 +30,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 def is_array(spark: SparkSession, path: str) -> bool:
     """Whether the first line that isn't blank opens an array."""
-    first = spark.read.text(path).where(~is_blank(F.col("value"))).limit(1).collect()
-    return bool(first) and first[0].value.lstrip().startswith("[")
+    first = spark.read.text(path).where(~is_blank(F.col("value"))).select(F.substring(lstrip(F.col("value")), 1, 1).alias("value")).limit(1).collect()
+    return bool(first) and first[0].value == "["
 
 
 def read_splits(spark: SparkSession, paths: dict[str, str], schema: T.StructType | None = None) -> DataFrame:
@@ -53,12 +54,18 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Values of a JSON array or of JSON lines, as strings, with their position; blank lines don't count."""
-    whole = spark.read.text(path, wholetext=True)
+    """Values of a JSON array or of JSON lines, as strings, with their position in their file; blank lines don't count.
+
+    Lines are read in splits. A line's position is its place in its split plus the lines of the splits before it, of which there is one count each.
+    """
     if is_array(spark, path):
-        return whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "value"))
-    rows = F.filter(F.split("value", "\n"), lambda x: ~is_blank(x))
-    return whole.select(F.posexplode(rows).alias("pos", "value"))
+        return spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "value"))
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")]
+    rows = spark.read.text(path).select("value", *split).where(~is_blank(F.col("value"))).withColumn("place", F.monotonically_increasing_id())
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = rows.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    firsts = firsts.select("file", "at", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(firsts, ["file", "at"]).select((F.col("place") + F.col("shift")).cast("int").alias("pos"), "value")
 
 
 def explode_predictions(text: DataFrame, col: str = "value") -> DataFrame:
@@ -96,38 +103,56 @@ def read_tests(spark: SparkSession, path: str) -> DataFrame:
     return schemas.require(read_table(spark, path), schemas.PREDICTIONS, path).select("prediction", "original_idx")
 
 
-def read_coverage_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(report, pos, method_name, covered, missed): methods of coverage reports in document order, line counters only."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("report"), F.regexp_replace("value", "(?s)<!DOCTYPE.*?>", "").alias("x"))
-    parts = text.select("report", F.posexplode(F.regexp_extract_all("x", F.lit("(?s)<method\\b[^>]*?(?:/>|>.*?</method>)"), F.lit(0))).alias("pos", "m"))
+def coverage_methods(reports: DataFrame, xml_col: str = "report") -> DataFrame:
+    """The other columns of reports, and (pos, method_name, covered, missed) of each method in document order; line counters only."""
+    keep = [c for c in reports.columns if c != xml_col]
+    clean = F.regexp_replace(xml_col, "(?s)<!DOCTYPE.*?>", "")
+    parts = reports.select(*keep, F.posexplode(F.regexp_extract_all(clean, F.lit("(?s)<method\\b[^>]*?(?:/>|>.*?</method>)"), F.lit(0))).alias("pos", "m"))
     counter = F.regexp_extract("m", '<counter\\b[^>]*type="LINE"[^>]*>', 0)
     number = lambda n: F.regexp_extract(counter, f'\\b{n}="([0-9]+)"', 1).cast("bigint")
-    named = parts.where(counter != "").select("report", F.col("pos").cast("bigint").alias("pos"), _unescaped(F.regexp_extract("m", '\\A<method\\b[^>]*?\\bname="([^"]*)"', 1)).alias("method_name"), number("covered").alias("covered"), number("missed").alias("missed"))
-    return named
+    return parts.where(counter != "").select(*keep, F.col("pos").cast("bigint").alias("pos"), _unescaped(F.regexp_extract("m", '\\A<method\\b[^>]*?\\bname="([^"]*)"', 1)).alias("method_name"), number("covered").alias("covered"), number("missed").alias("missed"))
+
+
+def read_coverage_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(report, pos, method_name, covered, missed): methods of the coverage reports in a folder; report is the file's path."""
+    return coverage_methods(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("report"), "value"), "value")
 
 
 def _unescaped(x):
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")), x)
 
 
-def read_registry(path: str) -> dict[str, dict[str, str]]:
-    """model -> split -> path, of the small YAML file `models: {name: {processed_train: path, ...}}`."""
-    out: dict[str, dict[str, str]] = {}
-    model = None
-    with open(path, encoding="utf-8") as lines:
-        for raw in lines:
-            line = raw.split(" #")[0].rstrip()
-            if not line.strip() or line.strip().startswith("#"):
-                continue
-            depth, (key, _, value) = len(line) - len(line.lstrip()), line.strip().partition(":")
-            value = value.strip().strip("'\"")
-            if depth == 0:
-                inside = key == "models"
-            elif inside and not value:
-                model = out.setdefault(key, {})
-            elif inside and model is not None and key.startswith("processed_"):
-                model[key.removeprefix("processed_")] = value
-    return out
+def read_registry(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
+    """model -> split -> path, of the small YAML file `models: {name: {processed_train: path, ...}}`, wherever Spark can read it.
+
+    With PyYAML installed any YAML of that form is read; without it, mappings by indentation.
+    """
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small file
+    try:
+        import yaml
+    except ImportError:
+        models = _mappings(text).get("models") or {}
+    else:
+        models = (yaml.safe_load(text) or {}).get("models") or {}
+    return {m: {k.removeprefix("processed_"): v for k, v in (paths or {}).items() if k.startswith("processed_")} for m, paths in models.items()}
+
+
+def _mappings(text: str) -> dict:
+    """Nested mappings of plain strings, by indentation."""
+    root: dict = {}
+    open_: list[tuple[int, dict]] = [(-1, root)]
+    for raw in text.splitlines():
+        line = raw.split(" #")[0].rstrip()
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        depth, (key, _, value) = len(line) - len(line.lstrip()), line.strip().partition(":")
+        while open_[-1][0] >= depth:
+            open_.pop()
+        value = value.strip().strip("'\"")
+        open_[-1][1][key.strip("'\"")] = value or {}
+        if not value:
+            open_.append((depth, open_[-1][1][key.strip("'\"")]))
+    return root
 
 
 def read_registered_index(spark: SparkSession, registry: dict[str, dict[str, str]]) -> DataFrame:
@@ -136,9 +161,24 @@ def read_registered_index(spark: SparkSession, registry: dict[str, dict[str, str
     return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], "model string, split string, idx bigint")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, size and time of all files at or below a path: what tells whether an input has changed without reading it."""
+    p, fs = _file_system(spark, path)
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
 
 
 def safe_count(spark: SparkSession, path: str) -> int | None:

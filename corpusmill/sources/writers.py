@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
+import posixpath
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +32,39 @@ def predictions_array(df: DataFrame) -> DataFrame:
     return df.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("idx", "prediction"))), lambda x: x["prediction"])).alias("value"))
 
 
-def write_corrected_tests(results: DataFrame, path: str, files: int | None = None) -> None:
-    """idx, status, fixed_src, log as JSON lines in the order of idx: ranges of idx over files, sorted in each (one file with files=1)."""
+def write_corrected_tests(results: DataFrame, path: str, files: int | None = None, java_dir: str | None = None) -> None:
+    """idx, status, fixed_src, log as JSON lines in the order of idx: ranges of idx over files, sorted in each (one file with files=1).
+    With java_dir also a file GenTest<idx>.java for each row."""
     rows = results.select("idx", "status", "fixed_src", F.col("msg").alias("log"))
     rows = rows.coalesce(1).sortWithinPartitions("idx") if files == 1 else rows.orderBy("idx")
     rows.write.mode("overwrite").json(path)
+    if java_dir:
+        write_java_files(results.select(F.concat(F.lit("GenTest"), F.col("idx").cast("string"), F.lit(".java")).alias("rel_path"), F.col("fixed_src").alias("src")), java_dir)
 
 
-def write_java_files(df: DataFrame, root: str, path_col: str = "rel_path", src_col: str = "src") -> None:
-    """A row as a text file each, in a folder for each path, written by Spark's writer and so to any store."""
-    df.select(F.col(path_col).alias("path"), F.col(src_col).alias("value")).write.mode("overwrite").partitionBy("path").text(root)
+def write_java_files(df: DataFrame, root: str, path_col: str = "rel_path", src_col: str = "src") -> int:
+    """A file root/<path> for each row, with its source as it is, written by the tasks; returns how many.
+
+    root: a folder that all executors share, as a path or URI of a store that Arrow opens. A path that leads out of it is a ValueError.
+    """
+    uri = root if "://" in root else f"file://{os.path.abspath(root.removeprefix('file:'))}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path, src in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = posixpath.normpath(posixpath.join(base, path))
+                if not at.startswith(base.rstrip("/") + "/"):
+                    raise ValueError(f"{path} leads out of {root}")
+                store.create_dir(posixpath.dirname(at), recursive=True)
+                with store.open_output_stream(at) as out:
+                    out.write((src or "").encode())
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = df.select(F.col(path_col).alias("path"), F.col(src_col).alias("src")).where("path is not null")
+    return rows.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_failures(results: DataFrame, path: str) -> None:

@@ -106,9 +106,10 @@ def test_coverage_xml(spark, tmp_path):
     assert sorted(map(tuple, metrics.focal_coverage(counters, focal).collect())) == [(1, 75.0), (2, 75.0)]
 
 
-def test_registry_yaml(tmp_path):
+def test_registry_yaml(spark, tmp_path):
     (tmp_path / "m.yaml").write_text("# models\nmodels:\n  A:\n    processed_train: /a/train.json\n    processed_test: '/a/test.json'  # x\n  B:\n    processed_train: /b/train.json\n")
-    assert readers.read_registry(str(tmp_path / "m.yaml")) == {"A": {"train": "/a/train.json", "test": "/a/test.json"}, "B": {"train": "/b/train.json"}}
+    text = (tmp_path / "m.yaml").read_text()
+    assert readers.read_registry(spark, str(tmp_path / "m.yaml")) == {m: {k.removeprefix("processed_"): v for k, v in x.items()} for m, x in readers._mappings(text)["models"].items()} == {"A": {"train": "/a/train.json", "test": "/a/test.json"}, "B": {"train": "/b/train.json"}}
 
 
 def frame(spark, rows):
@@ -138,6 +139,9 @@ def test_failing_metric_is_isolated(spark):
     ev = frame(spark, [("a", "a")])
     rows = {r.metric: r for r in metrics.run_metrics(ev, ["parse_rate", "exact_match"]).collect()}
     assert rows["parse_rate"].error and rows["exact_match"].score == 1.0
+    broken = ev.withColumn("parse_ok", F.raise_error(F.lit("no")).cast("boolean"))
+    rows = {r.metric: r for r in metrics.run_metrics(broken, ["exact_match", "parse_rate"], cascade=False).collect()}
+    assert rows["parse_rate"].error and rows["exact_match"].score == 1.0
     with pytest.raises(ValueError):
         metrics.run_metrics(ev, ["nothing"])
 
@@ -167,6 +171,111 @@ def test_build_reuses_and_rebuilds(spark, tmp_path):
         build.build_datasets(spark, config | {"processing_functions": {"train": "no_such"}, "output_dir": str(tmp_path / "other")}, tk.WhitespaceTokenizer(), raw)
 
 
+def test_changed_inputs_are_noticed(spark, tmp_path):
+    """Other texts, as many rows: new tokens, however the caches are asked to be used; another tokenizer likewise."""
+    frame = lambda word: spark.createDataFrame([(i, "train", f"int {word}{i}() {{ return {i}; }}", "class T { }") for i in range(6)], "idx long, split string, src string, target string")
+    ids = lambda df: sorted(tuple(r.input_ids) for r in df.collect())
+    for special in (True, False):
+        config = {"output_dir": str(tmp_path / f"out{special}"), "max_input_len": 40, "need_special_processing": special}
+        one = ids(build.build_datasets(spark, config, tk.WhitespaceTokenizer(), frame("f")))
+        stamp = (tmp_path / f"out{special}" / "tokenized" / "_SUCCESS").stat().st_mtime_ns
+        assert ids(build.build_datasets(spark, config, tk.WhitespaceTokenizer(), frame("f").repartition(3))) == one
+        assert special or (tmp_path / f"out{special}" / "tokenized" / "_SUCCESS").stat().st_mtime_ns == stamp  # used again
+        two = ids(build.build_datasets(spark, config, tk.WhitespaceTokenizer(), frame("g")))
+        assert two != one and len(two) == 6
+        assert ids(build.build_datasets(spark, config, tk.WhitespaceTokenizer(vocabulary=100), frame("g"))) != two
+    paths = {"train": str(tmp_path / "raw.json")}
+    config = {"output_dir": str(tmp_path / "files"), "max_input_len": 40, "need_special_processing": False, "paths": paths}
+    seen = []
+    for word in ("f", "gg"):
+        (tmp_path / "raw.json").write_text(json.dumps([{"idx": 0, "src": f"int {word}()", "target": "class T { }"}]))
+        seen.append(ids(build.build_datasets(spark, config, tk.WhitespaceTokenizer())))
+    assert seen[0] != seen[1]
+
+
+def test_json_lines_in_splits(spark, tmp_path):
+    """Positions are those in the file, however it is split, and blank lines don't count."""
+    lines = [json.dumps({"prediction": f"p{i} " + "x" * (i % 50)}) for i in range(3000)]
+    (tmp_path / "p.jsonl").write_text("\n\n".join(lines) + "\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        df = readers.read_json_lines(spark, str(tmp_path / "p.jsonl"))
+        assert sorted((r.pos, r.value) for r in df.collect()) == [*enumerate(lines)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_distance_is_levenshtein(spark):
+    import random
+
+    r = random.Random(3)
+    pairs = [("", ""), ("a", ""), ("abc", "abc"), ("aaa", "aa"), ("é日本x", "日本x"), (None, "a")]
+    pairs += [("".join(r.choice("ab é") for _ in range(r.randint(0, 12))), "".join(r.choice("ab é") for _ in range(r.randint(0, 12)))) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a string, b string").select(metrics.distance(F.col("a"), F.col("b")).alias("x"), F.levenshtein("a", "b").alias("y"))
+    assert all(r.x == r.y for r in df.collect())
+
+
+def test_focal_names(spark):
+    sources = ["class A { public A(int x) { } private Map<String, List<Integer>> pick(int a) throws E, F { if (a) { } else if (b(1)) { } } }", "class B { int[] run() { new Foo(1) { }; } }", "class C { void setX() { } synchronized <T> T go(T t) { } }", "class D { int f(); }", ""]
+    assert column(spark, sources, java.focal_method_name) == ["pick", "run", "go", "unknownMethod", "unknownMethod"]
+    assert column(spark, ["void", "int", " List<A> ", "Listing", "Map.Entry", "int[]", "MyOptional", "Foo", "Iterable<X>", "Iterables"], java.default_return) == [java.default_statement(x) for x in ("void", "int", "List", "Listing", "Map.Entry", "int[]", "MyOptional", "Foo", "Iterable", "Iterables")]
+
+
+def test_normalize_reads_strings_and_comments():
+    out = java_scan.normalize("class A { /* } */ String s = \"}\"; // {\n int f(); @Override public int g(int a) { return '}'; } static { } <K, V> Map<K, V> m(K k) throws E , F; abstract void h(); int[] xs = {1, 2}; Runnable r = () -> { }; }")
+    assert "int f() { return 0; }" in out and "<K, V> Map<K, V> m(K k) throws E , F { return new java.util.HashMap<>(); }" in out and "abstract void h() {}" in out
+    assert "{1, 2}; Runnable r = () -> { };" in out and "return '}'; }" in out and 'String s = "}";' in out and java_scan.normalize(out) == out
+
+
+COVERAGE_JAVA = {
+    "org/junit/runner/JUnitCore.java": "package org.junit.runner; public class JUnitCore { public static void main(String[] a) throws Exception { for (String n : a) for (var m : Class.forName(n).getDeclaredMethods()) if (m.isAnnotationPresent(org.junit.Test.class)) { m.setAccessible(true); var k = Class.forName(n).getDeclaredConstructor(); k.setAccessible(true); m.invoke(k.newInstance()); } } }",
+    "org/junit/Test.java": "package org.junit; import java.lang.annotation.*; @Retention(RetentionPolicy.RUNTIME) public @interface Test {}",
+    "Agent.java": "public class Agent { public static void premain(String a) throws Exception { java.nio.file.Files.writeString(java.nio.file.Path.of(a.substring(9)), \"ran\"); } }",
+    "Cli.java": "public class Cli { public static void main(String[] a) throws Exception { java.nio.file.Files.readString(java.nio.file.Path.of(a[1])); java.nio.file.Files.writeString(java.nio.file.Path.of(a[5]), \"<report><method name=\\\"twice\\\"><counter type=\\\"LINE\\\" missed=\\\"1\\\" covered=\\\"3\\\"/></method></report>\"); } }",
+}
+
+
+def test_coverage_from_tests_to_scores(spark, tmp_path):
+    """Tests are compiled and run under an agent, its reports become coverage, coverage becomes a metric. Runner, agent and report tool are stand-ins."""
+    import subprocess
+
+    for name, text in COVERAGE_JAVA.items():
+        (tmp_path / "src" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / name).write_text(text)
+    subprocess.run(["javac", "-d", str(tmp_path / "out"), *(str(tmp_path / "src" / n) for n in COVERAGE_JAVA)], check=True)
+    for jar, key, main in (("agent", "Premain-Class", "Agent"), ("cli", "Main-Class", "Cli")):
+        (tmp_path / f"{jar}.mf").write_text(f"{key}: {main}\n")
+        subprocess.run(["jar", "cfm", str(tmp_path / f"{jar}.jar"), str(tmp_path / f"{jar}.mf"), "-C", str(tmp_path / "out"), f"{main}.class"], check=True)
+    good = "import org.junit.Test;\npublic class GeneratedTest { @Test public void t() { if (new Twice().twice(2) != 4) throw new RuntimeException(); } }"
+    tests = spark.createDataFrame([(1, good), (2, good.replace("4", "5")), (3, "class GeneratedTest { int x = ; }")], "original_idx long, prediction string")
+    focal = spark.createDataFrame([(i, "class Twice { int twice(int a) { return 2 * a; } void other(); }") for i in (1, 2, 3)], "idx long, src string")
+    got = build.run_coverage(tests, focal, str(tmp_path / "out"), str(tmp_path / "agent.jar"), str(tmp_path / "cli.jar"), allow_execution=True, save_reports=str(tmp_path / "reports"))
+    assert {r.idx: r.coverage for r in got.collect()} == {1: 75.0, 2: 0.0, 3: 0.0}
+    assert spark.read.parquet(str(tmp_path / "reports")).count() == 1
+    prompts = spark.createDataFrame([(i, "p", "r") for i in (1, 2, 3)], "idx long, prompt string, reference string")
+    scores = build.evaluate(prompts, tests.withColumnRenamed("original_idx", "idx"), names=["coverage", "exact_match"], coverage=got)
+    assert {r.metric: (r.score, r.n_in) for r in scores.collect()} == {"coverage": (25.0, 3), "exact_match": (0.0, 3)}
+
+
+def test_codebleu_of_equals_and_of_others(spark):
+    code = "class A { int f(int a) { int b = a + 1; return b; } }"
+    same, other = metrics.codebleu(frame(spark, [(code, code)])).first(), metrics.codebleu(frame(spark, [("class Z { }", code)])).first()
+    assert same.score > 0.999 and (same.ngram, same.weighted_ngram, same.syntax, same.dataflow) == pytest.approx((1, 1, 1, 1))
+    assert other.score < 0.3 and other.dataflow == 0.0
+    renamed = metrics.codebleu(frame(spark, [(code.replace("b", "c"), code)])).first()
+    assert renamed.syntax == pytest.approx(1) and renamed.ngram < 1
+
+
+def test_shell_commands(spark, tmp_path, monkeypatch, capsys):
+    from corpusmill import __main__ as shell
+
+    (tmp_path / "p.json").write_text(json.dumps([{"idx": i, "prompt": f"prompt {i}", "reference": "x"} for i in range(4)]))
+    assert shell.main(["infer", str(tmp_path / "p.json"), "corpusmill.operators.workers:echo_model", "--out", str(tmp_path / "out"), "--label", "m", "--n", "3", "--score"]) == 0
+    assert spark.read.json(str(tmp_path / "out" / "label=m")).count() == 3
+    assert "exact_match" in capsys.readouterr().out
+
+
 def test_infer_and_compile_report(spark, tmp_path):
     raw = spark.createDataFrame([(i, f"prompt {i}", "class GeneratedTest { }") for i in range(5)], "idx long, prompt string, reference string")
     path, scores = build.infer(raw, workers.echo_model, str(tmp_path), "m", "1", n=3, score=True)
@@ -176,6 +285,9 @@ def test_infer_and_compile_report(spark, tmp_path):
     assert {r.status: r.n for r in summary.collect()} == {"HARD_FAIL": 1, "HARD_PASS": 1}
     assert {r.idx: r.status for r in results.collect()} == {4: "HARD_FAIL", 1: "HARD_PASS"}
     assert spark.read.json(str(tmp_path / "errors")).first().idx == 4
-    writers.write_java_files(results.select(F.concat(F.lit("T"), "idx").alias("rel_path"), F.col("fixed_src").alias("src")), str(tmp_path / "java"))
+    build.compile_report(spark, str(tmp_path / "p.json"), str(tmp_path / "fixed"), java_dir=str(tmp_path / "java"))
+    assert {p.name: p.read_text() for p in (tmp_path / "java").iterdir()} == {f"GenTest{r.idx}.java": r.fixed_src for r in results.collect()}
+    with pytest.raises(Exception, match="leads out"):
+        writers.write_java_files(spark.createDataFrame([("../x.java", "")], "rel_path string, src string"), str(tmp_path / "java"))
     with pytest.raises(PermissionError):
         workers.run_coverage(raw, "", "", "")
