@@ -5,11 +5,12 @@ hash join among the digests of the known licences. The unit is the entire text o
 notices as lines of their own in a longer text, each entire line is looked up the same way. No part of a text is
 matched loosely, so prose about licences is no licence.
 
-Only built-in functions touch the texts. The table of known digests is joined without a hint: small tables are
-broadcast by their measured size, larger ones are shuffled. Only digests that were found move on from the line lookup.
+Only built-in functions touch the texts. The table of known digests is counted: up to BROADCAST_ROWS of them (some 10 MB) are broadcast, so
+digests stay in their task and only finds are shuffled, however often a line occurs; beyond that lines are dealt by digest and a salt, so a
+line that a third of all documents share is spread over SALTS keys.
 
 Defined cases: null and blank texts (and lines) have no digest and match nothing; repeated rows are looked up alike; several notices in
-a document are reported each once, sorted; an empty table of documents or licences gives no finds. Other columns are not read.
+a document are reported each once, sorted; documents that share an id are told apart by their texts; an empty table of documents or licences gives no finds. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import fresh, let
-from corpusmill.llm.licenses import NOTICES, TEXTS
+from corpusmill.llm.licenses import DIGESTS, NOTICES, TAGS, TEXTS
+
+BROADCAST_ROWS, SALTS = 100_000, 32
 
 #: Spellings that licence matching guidelines hold to be the same.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("per cent", "percent"), ("copyright owner", "copyright holder"))
 COPYRIGHT_LINE = "(?im)^[^a-z\\n]*(copyright|\\(c\\)|©)[^a-z\\n]*[0-9(©][^\\n]*$|^[^a-z\\n]*all rights reserved[^a-z\\n]*$"
 
 #: Titles of the licences whose whole texts are known, as a line of their own.
-TITLE_LINE = "(?i:[^a-z0-9\\n]*(?:the )?(?:(?:mit|expat|isc|zlib|zlib/libpng|simplified bsd|freebsd|(?:bsd[ -])?[02][ -]clause(?: bsd)?(?: \"simplified\")?|bsd[ -]zero[ -]clause|zero[ -]clause bsd)(?: licen[cs]e)?|0bsd)(?: \\([a-z0-9 -]+\\))?[^a-z0-9\\n]*)"
+TITLE_LINE = "(?i:[^a-z0-9\\n]*(?:the )?(?:(?:mit|expat|isc|zlib|zlib/libpng|simplified bsd|freebsd|new bsd|modified bsd|(?:bsd[ -])?[023][ -]clause(?: bsd)?(?: \"(?:simplified|new|revised)\")?|bsd[ -]zero[ -]clause|zero[ -]clause bsd)(?: licen[cs]e)?|0bsd)(?: \\([a-z0-9 -]+\\))?[^a-z0-9\\n]*)"
 #: A holder without a year; lines of a licence text that begin with the copyright holder are none.
 YEARLESS_LINE = "[^A-Za-z\\n]*(?:(?i:copyright)(?i: by)? (?!(?i:holders?|owners?|notices?|laws?|licen[cs]es?|and|or|is)\\b)(?:[A-Z]|the )[^\\n]*|©[^\\n]*)"
 #: Such lines at the head of a text, with more behind them.
@@ -46,33 +49,55 @@ def digest(text: Column) -> Column:
     return let(canonical(text), lambda c: F.when(c != "", F.sha2(c, 256)))
 
 
+def _pairs() -> list[tuple[str, str]]:
+    """(name, text) of everything that comes with the library."""
+    tags = [(t, f"SPDX-License-Identifier: {t}") for t in TAGS]
+    return [(k, t) for k, ts in NOTICES.items() for t in ts] + tags + list(TEXTS.items())
+
+
 def known_licenses(spark: SparkSession, texts=None) -> DataFrame:
-    """(license, digest) of (name, text) pairs; by default of the texts and notices that come with the library."""
-    pairs = texts if texts is not None else [(k, t) for group in (NOTICES, {k: [v] for k, v in TEXTS.items()}) for k, ts in group.items() for t in ts]
-    rows = spark.createDataFrame(list(pairs), "license string, text string")
-    return rows.select("license", digest(F.col("text")).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    """(license, digest) of (name, text) pairs; by default of the texts, notices and digests that come with the library."""
+    rows = spark.createDataFrame(_pairs() if texts is None else list(texts), "license string, text string")
+    found = rows.select("license", digest(F.col("text")).alias("digest")).where("digest is not null")
+    if texts is None:
+        found = found.union(spark.createDataFrame([(k, d) for k, ds in DIGESTS.items() for d in ds], "license string, digest string"))
+    return found.groupBy("digest").agg(F.min("license").alias("license"))
+
+
+def digests_of(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, digest) of the licence files in a folder."""
+    files = spark.read.text(folder, wholetext=True)
+    return files.select(F.substring_index(F.input_file_name(), "/", -1).alias("name"), digest(F.col("value")).alias("digest"))
+
+
+def _look_up(rows: DataFrame, known: DataFrame, how: str, few: bool) -> DataFrame:
+    """rows (id, text_hash, digest) with the license of their digest."""
+    if few:
+        return rows.join(F.broadcast(known), "digest", how)
+    dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id", "text_hash"), F.lit(SALTS)).cast("int")).join(dealt, ["digest", "salt"], how).drop("salt")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_digest, text_license (of the entire text), line_licenses (of entire lines, sorted), for each row of docs."""
+    """id, text_hash, text_digest, text_license (of the entire text), line_licenses (of entire lines, sorted), for each row of docs."""
     known = known_licenses(docs.sparkSession) if known is None else known
+    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
     # a line of a licence text says so only as a whole text, a notice as a line, too
-    lines = src.select("id", "text_hash", F.explode(F.split("text", "\n")).alias("line")).select("id", "text_hash", digest(F.col("line")).alias("digest"))
-    noted = lines.join(known, "digest").groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("license")).alias("line_licenses"))
+    lines = src.select("id", "text_hash", F.explode(F.split("text", "\n")).alias("line")).select("id", "text_hash", digest(F.col("line")).alias("digest")).where("digest is not null")
+    noted = _look_up(lines, known, "inner", few).groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("license")).alias("line_licenses"))
     noted = noted.select(F.col("id").alias("noted_id"), F.col("text_hash").alias("noted_hash"), "line_licenses")
-    whole = src.select("id", "text_hash", digest(F.col("text")).alias("text_digest"))
-    whole = whole.join(known.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license")), "text_digest", "left")
+    whole = _look_up(src.select("id", "text_hash", digest(F.col("text")).alias("digest")), known, "left", few).withColumnsRenamed({"digest": "text_digest", "license": "text_license"})
     out = whole.join(noted, F.col("id").eqNullSafe(F.col("noted_id")) & (F.col("text_hash") == F.col("noted_hash")), "left")
-    return out.select("id", "text_digest", "text_license", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
+    return out.select("id", "text_hash", "text_digest", "text_license", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
 
 
-def drop_licensed(docs: DataFrame, refused: list[str], **options) -> DataFrame:
+def drop_licensed(docs: DataFrame, refused: list[str], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those under one of the refused licences."""
-    name = fresh("refused_id", docs)
-    found = scan_licenses(docs, **options).where(F.col("text_license").isin(refused) | F.arrays_overlap("line_licenses", F.array(*map(F.lit, refused))))
-    ids = found.select(F.col("id").alias(name)).distinct()
-    return docs.join(ids, docs[options.get("id_col", "doc_id")].eqNullSafe(ids[name]), "left_anti")
+    found = scan_licenses(docs, id_col=id_col, text_col=text_col, **options).where(F.col("text_license").isin(refused) | F.arrays_overlap("line_licenses", F.array(*map(F.lit, refused))))
+    name, digest_of = fresh("refused_id", docs), fresh("refused_hash", docs)
+    gone = found.select(F.col("id").alias(name), F.col("text_hash").alias(digest_of)).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[name]) & (F.xxhash64(docs[text_col]) == gone[digest_of]), "left_anti")
 
 
 def op5_license_scan(docs: DataFrame) -> DataFrame:
@@ -86,10 +111,11 @@ def _sql_digest(text: str) -> str:
     return f"CASE WHEN trim({plain}) <> '' THEN sha256(trim({plain})) END"
 
 
-_PAIRS = ", ".join("({}, {})".format(*("'" + x.replace("'", "''") + "'" for x in p)) for p in [(k, t) for k, ts in NOTICES.items() for t in ts] + list(TEXTS.items()))
+_quoted = lambda pairs: ", ".join("({}, {})".format(*("'" + x.replace("'", "''") + "'" for x in p)) for p in pairs)
+_PAIRS, _KNOWN = _quoted(_pairs()), _quoted([(k, d) for k, ds in DIGESTS.items() for d in ds])
 
 ORACLE = f"""
-WITH known AS (SELECT digest, min(license) AS license FROM (SELECT license, {_sql_digest('t')} AS digest FROM (VALUES {_PAIRS}) AS v(license, t)) GROUP BY digest),
+WITH known AS (SELECT digest, min(license) AS license FROM (SELECT license, {_sql_digest('t')} AS digest FROM (VALUES {_PAIRS}) AS v(license, t) UNION ALL FROM (VALUES {_KNOWN}) AS v(license, digest)) GROUP BY digest),
 lines AS (SELECT doc_id, {_sql_digest('l')} AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)),
 noted AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses FROM lines JOIN known USING (digest) GROUP BY doc_id),
 whole AS (SELECT doc_id, {_sql_digest('text')} AS text_digest FROM documents)
