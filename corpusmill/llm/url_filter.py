@@ -1,11 +1,11 @@
 """URL filters: rules for hosts and paths, and logistic regression on hashed character n-grams for the rest.
 
-The model is trained on the driver from a small labelled URL table (a parameter; by default a table built from a few
-dozen words), its 2**16 weights are broadcast, and each URL is judged in its own task: no shuffle, no skew. Host and path are cut
+The model is trained on the driver from a small labelled URL table (a parameter; by default a table of names made of
+two words, of kinds that block lists hold and of ordinary ones), its 2**16 weights are broadcast, and each URL is judged in its own task: no shuffle, no skew. Host and path are cut
 out by built-in functions and only they go to Python.
 
 Defined cases: a null URL, or one without ://, has an empty host and path, fits no rule, and as it has no n-grams gets the model's
-intercept, which allows; repeated rows are judged alike; an empty table stays empty; other columns are not read.
+intercept, which allows, as most labelled URLs are good; repeated rows are judged alike; an empty table stays empty; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,32 +25,52 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-BAD_WORDS = "spam farm cheap pills casino win bets free adult x porn ads track viagra poker lottery loans replica xxx slots jackpot payday click bonus".split()
-GOOD_WORDS = "news science library garden school museum weather travel recipe history music forum review journal river city guide theatre kitchen market".split()
+#: What names of sites are made of, by kind: a word that tells the kind, and one that goes with it. The kinds are those of public block lists.
+BAD = {
+    "gambling": ("casino poker slots roulette bingo jackpot betting lottery", "online bonus club royal spins win"),
+    "drugs": ("viagra cialis pills steroids meds pharmacy", "cheap online discount buy generic"),
+    "adult": ("porn xxx sex adult escort webcam", "tube videos live cams chat girls"),
+    "money": ("loans payday credit crypto bitcoin cash", "fast instant easy free giveaway doubler"),
+    "counterfeits": ("replica fake outlet", "watches handbags sneakers rolex"),
+    "malware": ("crack keygen warez torrent codec cleaner", "download free serials update pro"),
+    "phishing": ("verify login account password", "secure confirm update alert"),
+    "advertising": ("ads popunder banner tracking click traffic", "server network exchange media pixel"),
+    "link farms": ("spam backlinks seo link", "farm cheap bulk blog"),
+}
+GOOD = {
+    "news": ("news weather daily journal magazine radio", "report today weekly archive online"),
+    "science": ("science astronomy climate medical history research", "society lectures notes institute review"),
+    "public": ("city village national public health tax", "library museum council office register transport"),
+    "schools": ("school university language math music", "course club department forum"),
+    "shops": ("book bike tea flower furniture shoe", "store shop market workshop online"),
+    "hobbies": ("garden travel recipe chess sailing hiking bird photo", "club guide forum blog gallery"),
+    "software": ("python linux kernel database compiler font", "docs wiki mailing review download update"),
+    "places": ("harbour island castle lake mountain", "tours hotel ferry map"),
+}
 #: Frequent letter pairs of European languages, for made-up names that say nothing.
 PAIRS = "th er on an re he in ed nd ha at en es of or nt ea ti to it st le is ou ar as de ve la al se co me ri ro ic ne ch ng il".split()
 
 
 @lru_cache(maxsize=1)
 def labelled_urls() -> tuple[tuple[str, str, int], ...]:
-    """(host, path, 1 for bad): pairs of telling words, of plain words and made-up names, all under the same suffixes
-    and with the same paths, so that only the names can be learned. About 800 rows."""
+    """(host, path, 1 for bad): every pair of words of a kind, with and without a hyphen and in either order, and made-up names that say nothing, all
+    under the same suffixes and with the same paths, so that only names can be learned. About 1,000 rows."""
     n = len(PAIRS)
-    bad = [f"{a}-{b}" for i, a in enumerate(BAD_WORDS) for b in (BAD_WORDS[i ^ 1], BAD_WORDS[(i + 5) % len(BAD_WORDS)], BAD_WORDS[(i + 11) % len(BAD_WORDS)], "online", "best")]
-    good = [f"{a}{'-' * (k % 2)}{GOOD_WORDS[(i + k) % len(GOOD_WORDS)]}" for i, a in enumerate(GOOD_WORDS) for k in range(1, 6)]
-    made = [PAIRS[i] + PAIRS[(i * 3 + k * 7) % n] + PAIRS[(i + k * k) % n] * (k % 2) + ("", "ing", "tion", "ble", "ment")[k % 5] for i in range(n) for k in range(14)]
-    made += [f"{a}{b}" for a in ("best", "online") for b in PAIRS]
+    made = [PAIRS[i] + PAIRS[(i * 3 + k * 7) % n] + PAIRS[(i + k * k) % n] * (k % 2) + ("", "ing", "tion", "ble", "ment")[k % 5] for i in range(n) for k in range(12)]
     out = []
-    for label, names in ((1, bad), (0, good + made)):
-        for k, name in enumerate(names):
-            top = ("example.com", "example.net", "example.org")[k % 3]
-            path = f"/{('en', 'fr', 'de', 'es')[k // 3 % 4]}/{k * 7919 % 100000}{('', '.html', '/')[k // 5 % 3]}"
-            out.append((f"{('', 'www.', 'blog.', 'm.')[k // 2 % 4]}{name}.{top}", path, label))
-    return tuple(out)
+    for label, kinds in ((1, BAD), (0, GOOD)):
+        pairs = [(a, b) for first, second in kinds.values() for a in first.split() for b in second.split()]
+        out += [(("{0}-{1}", "{1}{0}", "{0}{1}", "{1}-{0}")[k % 4].format(*pair), label) for k, pair in enumerate(pairs)]
+    rows = []
+    for k, (name, label) in enumerate([*out, *((m, 0) for m in made)]):
+        top = ("example.com", "example.net", "example.org")[k % 3]
+        path = f"/{('en', 'fr', 'de', 'es')[k // 3 % 4]}/{k * 7919 % 100000}{('', '.html', '/')[k // 5 % 3]}"
+        rows.append((f"{('', 'www.', 'blog.', 'm.')[k // 2 % 4]}{name}.{top}", path, label))
+    return tuple(rows)
 
 
 def _grams(host: str, path: str) -> np.ndarray:
-    """Buckets of the character n-grams of host labels (without sub-domain words that say nothing) and path."""
+    """Buckets of the character n-grams of host and path, each with marks for its ends."""
     import xxhash
 
     found = set()
@@ -74,7 +94,7 @@ def train(rows=None, rounds: int = 400, rate: float = 2.0, decay: float = 3e-4)
         z = scale * np.bincount(row, weights[col], len(rows)) + intercept
         error = 1 / (1 + np.exp(-z)) - y
         weights -= rate * (np.bincount(col, (error * scale)[row], BUCKETS) / len(rows) * 10 + decay * weights)
-        intercept -= rate * 0.1 * (error.mean() + 0.5 * (intercept + 1))  # drawn to -1: what the model knows nothing of is allowed
+        intercept -= rate * 0.1 * error.mean()
     return weights, float(intercept)
 
 
@@ -100,7 +120,7 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return reduce(lambda a, b: F.coalesce(a, b), cases) if cases else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled=None, threshold: float = 0.4) -> DataFrame:
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled=None, threshold: float = 0.5) -> DataFrame:
     """id, host, path, rule, verdict (allow or block), bad_score for each row of pages."""
     shared = pages.sparkSession.sparkContext.broadcast(train(labelled))
 
