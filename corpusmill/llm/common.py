@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.sources.scratch import scratch_dir
+
 #: ASCII white space that parts words, as a character class for Java and RE2.
 SPACE_CLASS = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE_CLASS}]+"
 
-#: Used only where spark.checkpoint.dir is unset, that is in local tests.
-LOCAL_SCRATCH = "/tmp/corpusmill-scratch"
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -28,23 +24,6 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared folder that spark.checkpoint.dir names, deleted when the application's JVM ends.
-
-    Where that isn't set, a local master (tests) has LOCAL_SCRATCH; a cluster has none that all can see, so it is a ValueError.
-    """
-    context = spark.sparkContext
-    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = LOCAL_SCRATCH
-    own = f"{root.rstrip('/')}/corpusmill-{context.applicationId}"
-    at = context._jvm.org.apache.hadoop.fs.Path(own)
-    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return f"{own}/{label}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends there and lost executors cost no recomputation."""
     path = scratch_dir(df.sparkSession, label)
@@ -55,3 +34,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+
+
+#: A key is heavy if it has one row in HEAVY or more, so there are at most HEAVY heavy keys, whatever the table.
+HEAVY = 1000
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows joined to table, which has one row for each value of key and says in column `weight` how many of the rows have it.
+
+    Heavy keys, HEAVY at most by their weight, are broadcast, so their rows stay where they are; of the others none has more than a
+    HEAVY-th of the rows, and they are shuffled.
+    """
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    heavy = F.col(weight) * HEAVY >= max(total, HEAVY * HEAVY)
+    light = rows
+    out = None
+    some = table.where(heavy)
+    if not some.isEmpty():
+        out = rows.join(F.broadcast(some), key)
+        light = rows.join(F.broadcast(some.select(key)), key, "left_anti")
+    rest = light.join(table.where(~heavy), key)
+    return (rest if out is None else out.unionByName(rest)).drop(weight)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialise
+from corpusmill.llm.common import HEAVY, materialise
 
 #: Labels and edges are two short columns; a task takes so many rows.
 ROWS_PER_TASK = 500_000
@@ -17,15 +17,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round takes the least label among the neighbours, hands the least that any member heard to the node that the member
     pointed at, and then takes the label of the label, so whole trees move at once and a path of n nodes takes about log n
     rounds whatever the order of its labels. Labels only fall, and rounds go on until none does. Labels live in the shared folder; the driver sees only counts and whether a round changed
-    any. All steps are aggregations with a combiner or joins against one row for each node, so a node with very many
+    any. All steps are aggregations with a combiner or joins against one row for each node, which is broadcast for nodes with a large share of the edges, so a node with very many
     edges is not gathered anywhere.
     """
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "cc-edges")
-    tasks = both.count() // ROWS_PER_TASK + 1
+    # nodes with a large share of the edges, HEAVY at most; their edges stay where they are in each round
+    edges, total = both.select("a", F.col("b").alias("node")), both.count()
+    heavy = materialise(both.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") * HEAVY >= max(total, HEAVY * HEAVY)).select("node").coalesce(1), "cc-heavy")
+    some = not heavy.isEmpty()
+    tasks = total // ROWS_PER_TASK + 1
+
+    def met(labels: DataFrame) -> DataFrame:
+        """The edges with the labels of their far ends."""
+        if not some:
+            return edges.join(labels, "node")
+        light = edges.join(F.broadcast(heavy), "node", "left_anti").join(labels, "node")
+        return light.unionByName(edges.join(F.broadcast(labels.join(F.broadcast(heavy), "node", "left_semi")), "node"))
+
     keep = lambda df: materialise(df.coalesce(tasks), "cc-labels")
     labels = keep(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
     while True:
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
+        heard = met(labels).groupBy("a").agg(F.min("label").alias("heard"))
         near = keep(labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("label", "heard").alias("label"), F.col("label").alias("old")))
         told = near.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("told"))
         hooked = near.join(told, near["node"] == told["root"], "left").select("node", F.least("label", "told").alias("label"), "old")

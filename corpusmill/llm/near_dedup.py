@@ -16,6 +16,9 @@ of the first n - ceil(t * n) + 1, and of the smaller set one of still fewer, wit
 buckets with several components take part, and only pairs across components.
 Every candidate is verified on the full sets, so no link is taken on trust and none within the buckets is lost.
 
+Keys. Rows meet the one row of their bucket, class or component by look_up(): a key that holds a large share of the rows is
+broadcast (there are at most a thousand such keys at any size), any other one is shuffled.
+
 Bounds: the order of shingles comes from a table of 2**20 counters, the only thing that is broadcast (8 MB at most, whatever the
 corpus). Sets are never shuffled; candidate texts are.
 
@@ -33,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import fresh, materialise
+from corpusmill.llm.common import HEAVY, fresh, look_up, materialise
 from corpusmill.llm.components import connected_components, join_components, relabel
 
 UNIVERSE_BITS = 20
 BANDS, ROWS = 48, 6
 CHUNK = 2048
+SALTS = 32
 
 
 @lru_cache(maxsize=1)
@@ -174,10 +178,16 @@ def _prefixer(size: int, percent: int, counts):
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are as similar as percent."""
-    first = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
+    """The pairs (a, b) of classes whose full sets are as similar as percent. A class with a large share of the pairs is met in
+    SALTS places: its text is copied to each, its pairs are dealt over them."""
+    total = pairs.count()
+    heavy = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") * HEAVY >= max(total, HEAVY * HEAVY)).select("a", F.lit(SALTS).alias("salts"))
+    heavy = F.broadcast(materialise(heavy.coalesce(1), "heavy-classes"))  # HEAVY rows at most
+    dealt = pairs.join(heavy, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    first = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")).join(heavy, "a", "left")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     second = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+    joined = dealt.join(second, "b").join(first, ["a", "salt"]).select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
     return joined.mapInArrow(_verifier(size, percent), "a binary, b binary")
 
 
@@ -194,14 +204,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         src.mapInArrow(_sketcher(size, bands, rows), f"id {id_type}, text_hash bigint, n bigint, digest binary, bands array<bigint>"), "sketches"
     )
     known = sketches.where("digest is not null")
-    owners = known.groupBy("digest").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "text_hash")).alias("owner"))
-    owners = materialise(owners.select("digest", "least_id", F.col("owner.id").alias("id"), F.col("owner.text_hash").alias("text_hash")), "classes")
+    # copies have the same bands, so a class is one combined row and its copies are never gathered
+    owners = known.groupBy("digest").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "text_hash")).alias("owner"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = materialise(owners.select("digest", "least_id", F.col("owner.id").alias("id"), F.col("owner.text_hash").alias("text_hash"), "copies", "bands"), "classes")
+    owners = classes.drop("bands")
 
-    banded = known.join(owners.select("digest", "id", "text_hash").withColumnRenamed("id", "own").withColumnRenamed("text_hash", "own_hash"), "digest")
-    banded = banded.where(F.col("id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("own_hash"))).dropDuplicates(["digest"])
-    banded = banded.select("digest", "n", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialise(banded.join(sizes, "key"), "buckets")  # only buckets of two classes or more
+    banded = classes.select("digest", F.explode("bands").alias("key"))
+    sizes = materialise(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumn("weight", F.col("size")), "bucket-sizes")
+    members = materialise(look_up(banded, sizes, "key", "weight"), "buckets")  # only buckets of two classes or more
 
     wanted = owners.join(members.select("digest").distinct(), "digest", "left_semi")
     src_rows = src.withColumnRenamed("id", "src_id").withColumnRenamed("text_hash", "src_hash")
@@ -210,15 +220,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the hub of a bucket is its class with the most company over all buckets: in a group of copies, what they were copied from
     company = members.groupBy("digest").agg(F.sum("size").alias("company"))
-    hubs = members.select("key", "digest").join(company, "digest").groupBy("key").agg(F.max(F.struct("company", "digest")).alias("hub"))
-    star = members.join(hubs.select("key", F.col("hub.digest").alias("hub")), "key").where("digest != hub")
+    hubs = members.select("key", "digest", "size").join(company, "digest").groupBy("key").agg(F.max(F.struct("company", "digest")).alias("hub"), F.max("size").alias("weight"))
+    hubs = materialise(hubs.select("key", F.col("hub.digest").alias("hub"), "weight"), "hubs")
+    star = look_up(members.select("key", "digest"), hubs, "key", "weight").where("digest != hub")
     star = materialise(star.groupBy("digest", "hub").agg(F.count("*").alias("shared")), "star-pairs")
     nearest = star.groupBy("digest").agg(F.max(F.struct("shared", "hub")).alias("most")).select("digest", F.col("most.hub").alias("hub"))
+    nearest = materialise(nearest, "nearest-hubs")
     links = materialise(_verify(nearest.select(F.col("hub").alias("a"), F.col("digest").alias("b")), texts, size, percent), "links")
     labels = connected_components(links)
 
     rest = relabel(relabel(star.join(nearest, ["digest", "hub"], "left_anti"), labels, "digest", "x"), labels, "hub", "y").where("x != y")
-    more = materialise(_verify(rest.select(F.col("hub").alias("a"), F.col("digest").alias("b")), texts, size, percent), "links")
+    rest = materialise(rest.select(F.col("hub").alias("a"), F.col("digest").alias("b")), "further-hubs")
+    more = materialise(_verify(rest, texts, size, percent), "links")
     labels = join_components(labels, more)
 
     mixed = relabel(members, labels, "digest", "part")
@@ -241,14 +254,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     enough = F.least(F.expr("n_a - pos_a"), F.expr("n_b - pos_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     fits = larger & enough & (F.col("part_a") != F.col("part_b")) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     pairs = one.join(two, "shingle").where(fits).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
-    last = materialise(_verify(pairs, texts, size, percent), "links")
+    last = materialise(_verify(materialise(pairs, "residual-pairs"), texts, size, percent), "links")
     labels = join_components(labels, last)
 
-    classes = relabel(owners.select("digest", "least_id"), labels, "digest", "part")
-    least = classes.groupBy("part").agg(F.min("least_id").alias("component"))
-    classes = classes.join(least, "part").select("digest", "component")
-    out = sketches.select("id", "text_hash", "n", "digest").join(classes, "digest", "left")
-    return out.select("id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("digest").isNotNull(), F.col("component")), F.col("id")).alias("component"), F.col("digest").alias("class"))
+    parts = relabel(owners.select("digest", "least_id", "copies"), labels, "digest", "part")
+    least = materialise(parts.groupBy("part").agg(F.min("least_id").alias("component"), F.count("*").alias("weight")), "components")
+    final = materialise(look_up(parts, least, "part", "weight").select("digest", "component", F.col("copies").alias("weight")), "class-components")
+    own = sketches.select("id", "text_hash", "n", "digest")
+    out = look_up(own.where("digest is not null"), final, "digest", "weight")
+    out = out.unionByName(own.where("digest is null").withColumn("component", F.col("id")))
+    return out.select("id", "text_hash", F.col("n").alias("n_shingles"), "component", F.col("digest").alias("class"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -264,3 +279,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def op4_near_dedup(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs.select("doc_id", "text"), size=2, percent=80)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+#: DuckDB: all pairs that share a shingle, and what can be reached by links. For small tables only.
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least AS component_id, least = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS least FROM reach GROUP BY x) USING (doc_id)
+"""

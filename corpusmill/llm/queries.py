@@ -22,4 +22,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_decontaminate": decontaminate.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_near_dedup": near_dedup.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
