@@ -24,6 +24,20 @@ def hard_docs(spark, words):
     return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
 
 
+@pytest.fixture(scope="session")
+def harder_docs(hard_docs, spark, words):
+    """hard_docs with 2 MB of blanks, alone and inside a good document, a dump of numbers, and a benchmark item in full."""
+    r = random.Random(17)
+    good = " ".join(words(r, 120))
+    rows = [(12, " " * 2_000_000), (13, good + " " * 2_000_000 + " ".join(words(r, 120))), (14, " ".join(str(r.randint(0, 9_999)) for _ in range(8_000))), (15, "x " + LONG_ITEM + " y"), (16, "<|endoftext|> " + good)]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    return hard_docs.unionByName(more, allowMissingColumns=True)
+
+
+#: 60,000 different words.
+LONG_ITEM = " ".join(f"w{i}" for i in range(60_000))
+
+
 @pytest.fixture(scope="session")
 def no_docs(hard_docs):
     return hard_docs.where("false")

@@ -267,6 +267,61 @@ def test_near_duplicates_are_exact(spark, words):
     assert five == {i: c for i, (_, c, _) in brute_components(docs, 5, 80).items()}
 
 
+def test_near_duplicates_of_ten_thousand_documents():
+    """All links of the documents at sf0.1 by inverted lists of shingles, against the operator."""
+    import os
+
+    from pyspark.sql import SparkSession
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no larger tables here")
+    session = SparkSession.getActiveSession()
+    docs = [(i, t) for i, t in rows(session, folder, "documents", "doc_id", "text")]
+    number, postings, owned = {}, [], []
+    for k, (_, t) in enumerate(docs):
+        ws = (t or "").encode().lower().split()
+        own = {tuple(ws[j : j + 2]) for j in range(max(1, len(ws) - 1))} if ws else set()
+        owned.append([number.setdefault(x, len(number)) for x in own])
+        postings += [[] for _ in range(len(number) - len(postings))]
+        for x in owned[-1]:
+            postings[x].append(k)
+    size = np.array([len(x) for x in owned])
+    postings = [np.array(x) for x in postings]
+    up = list(range(len(docs)))
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for k, own in enumerate(owned):
+        if own:
+            both = np.bincount(np.concatenate([postings[x] for x in own]), minlength=len(docs))
+            for j in np.flatnonzero((100 * both >= 80 * (size + size[k] - both)) & (both > 0)).tolist():
+                a, b = top(k), top(j)
+                up[max(a, b)] = min(a, b)
+    least = defaultdict(list)
+    for k, (i, _) in enumerate(docs):
+        least[top(k)].append(i)
+    want = {i: min(group) for group in least.values() for i in group}
+    got = {x.doc_id: x.component_id for x in near_dedup.op4_near_dedup(table(session, folder, "documents")).collect()}
+    assert got == want
+
+
+def test_heavy_keys_are_looked_up_in_place(spark, monkeypatch):
+    from corpusmill.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 4)
+    keys = [1] * 60 + [2] * 30 + list(range(3, 13)) + [None]
+    data = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    counts = Counter(k for k in keys if k is not None)
+    right = spark.createDataFrame([(k, f"v{k}", n) for k, n in counts.items()], "k long, v string, n long")
+    out = common.look_up(data, right, "k", "n")
+    assert sorted((x.k, x.i, x.v) for x in out.collect()) == sorted((k, i, f"v{k}") for i, k in enumerate(keys) if k is not None)
+    assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 1
+
+
 def test_circulant_signature_estimates(words):
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 1 << 63, 1000, dtype=np.uint64))
@@ -355,10 +410,53 @@ def test_rows_that_repeat_are_one_document(spark, words):
 # --- 7, 8, 9, 10 -----------------------------------------------------------------------------------------------------
 
 
-def test_url_model_learns_words():
+def held_out(part_of):
+    """Precision and recall over rows of the labelled table, each judged by a model that was trained without its part."""
+    labelled = url_filter.labelled_urls()
+    parts = [part_of(k, h) for k, (h, _, _) in enumerate(labelled)]
+    right = blocked = bad = 0
+    for f in sorted(set(parts)):
+        weights, bias = url_filter.train([r for r, p in zip(labelled, parts) if p != f])
+        for (h, p, y), part in zip(labelled, parts):
+            if part == f:
+                said = url_filter.score(h, p, weights, bias) >= 0.5
+                right, blocked, bad = right + (said and y == 1), blocked + said, bad + y
+    return right / blocked, right / bad
+
+
+def test_url_model_on_held_out_names():
+    """New names of known words; and new words, of which character n-grams can know little."""
+    precision, recall = held_out(lambda k, h: k % 5)
+    print(f"new names: precision {precision:.3f}, recall {recall:.3f}")
+    assert precision > 0.9 and recall > 0.75
+    words = [w for kinds in (url_filter.BAD, url_filter.GOOD) for first, _ in kinds.values() for w in first.split()]
+    precision, recall = held_out(lambda k, h: next((i for i, w in enumerate(words) if w in h), k) % 5)
+    print(f"new words: precision {precision:.3f}, recall {recall:.3f}")
+
+
+def test_verdicts_of_all_pages(spark, sf_dir):
+    """Every page against plain Python: where the host ends, which rule is the longest that fits, what the model says of the rest."""
     weights, bias = url_filter.train()
-    held = [("www.bets-casino.example.org", 1), ("m.cheap-slots.example.net", 1), ("blog.spam-pills.example.com", 1), ("free-poker.example.com", 1), ("cityguide.example.com", 0), ("thation.example.net", 0), ("m.garden-museum.example.org", 0), ("www.riverfood.example.com", 0)]
-    assert [url_filter.score(h, "/en/7", weights, bias) >= 0.4 for h, _ in held] == [bool(y) for _, y in held]
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    want = {}
+    for i, url in rows(spark, sf_dir, "pages", "page_id", "url"):
+        rest = (url or "").partition("://")[2]
+        host = re.split("[/?#]", rest)[0].translate(LOWER)
+        path = re.split("[?#]", rest[len(host) :])[0]
+        fits = [(h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, "block" if url_filter.score(host, path, weights, bias) >= 0.5 else "allow"))
+        want[i] = (host, path, rule, verdict)
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.op7_url_filter(table(spark, sf_dir, "pages")).collect()}
+    assert got == want and {v for *_, v in got.values()} == {"allow", "block"}
+
+
+def test_hard_urls(spark):
+    """An empty table, very long URLs, repeated rows, further columns of the same names."""
+    long = "http://" + "a" * 100_000 + ".example.org/" + "b/" * 100_000
+    pages = spark.createDataFrame([(1, long, "x", "y"), (1, long, "x", "y"), (2, None, None, None)], "page_id long, url string, host string, c0 string")
+    got = [tuple(x) for x in url_filter.op7_url_filter(pages).collect()]
+    assert len(got) == 3 and sorted(len(x[2]) for x in got) == [0, 200_001, 200_001]
+    assert url_filter.op7_url_filter(pages.where("false")).count() == 0
 
 
 def test_classifier_on_held_out_labels(spark, sf_dir):
