@@ -82,20 +82,20 @@ def _grams(host: str, path: str) -> np.ndarray:
 
 
 def train(rows=None, rounds: int = 400, rate: float = 2.0, decay: float = 3e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept by gradient descent on the mean log loss, with n-grams of equal norm for each URL."""
+    """Weights by gradient descent on the mean log loss, with n-grams of equal norm for each URL. The intercept is the log odds of
+    the labels, so a URL of which the model knows nothing is as likely bad as a labelled one."""
     rows = list(labelled_urls() if rows is None else rows)
     grams = [_grams(h, p) for h, p, _ in rows]
     row = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
     col = np.concatenate(grams)
     scale = 1 / np.sqrt(np.bincount(row, minlength=len(rows)).clip(1))
     y = np.array([r[2] for r in rows], float)
-    weights, intercept = np.zeros(BUCKETS), 0.0
+    weights, intercept = np.zeros(BUCKETS), float(np.log(max(y.sum(), 0.5) / max(len(y) - y.sum(), 0.5)))
     for _ in range(rounds):
         z = scale * np.bincount(row, weights[col], len(rows)) + intercept
         error = 1 / (1 + np.exp(-z)) - y
         weights -= rate * (np.bincount(col, (error * scale)[row], BUCKETS) / len(rows) * 10 + decay * weights)
-        intercept -= rate * 0.1 * error.mean()
-    return weights, float(intercept)
+    return weights, intercept
 
 
 def score(host: str, path: str, weights: np.ndarray, intercept: float) -> float:
