@@ -11,8 +11,8 @@ All texts with the same shingle set are one class (a copy costs one row, not a p
 Links. Not all pairs of a bucket are made. A bucket's hub is its class with the most company over all buckets. A class is
 compared with the hub that it shares most buckets with, then with its other hubs that are not yet in its component. For
 what could still be missed (two classes of a bucket, neither or only one linked to its hub) the residual step uses an exact prefix filter with
-positions: with the shingles of each class in one global order, rarest first, two sets of similarity t share one
-of the first n - ceil(t * n) + 1, and of the smaller set one of still fewer, with enough behind it. Only classes of
+positions: with the shingles of each class in one global order, rarest first, two sets of similarity t share MEETINGS
+of the first n - ceil(t * n) + MEETINGS, and of the smaller set of still fewer, with enough behind the last of them. Only classes of
 buckets with several components take part, and only pairs across components.
 Every candidate is verified on the full sets, so no link is taken on trust and none within the buckets is lost.
 
@@ -43,6 +43,8 @@ UNIVERSE_BITS = 20
 BANDS, ROWS = 48, 6
 CHUNK = 2048
 SALTS = 32
+#: How many shingles of their prefixes two sets of the residual step must have in common.
+MEETINGS = 3
 
 
 @lru_cache(maxsize=1)
@@ -156,7 +158,7 @@ def _counter(size: int):
 
 
 def _prefixer(size: int, percent: int, counts):
-    """For each set the first n - ceil(percent / 100 * n) + 1 of its shingles, rarest first, with their place in that order."""
+    """For each set the first n - ceil(percent / 100 * n) + MEETINGS of its shingles, rarest first, with their place in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
@@ -164,7 +166,7 @@ def _prefixer(size: int, percent: int, counts):
         for batch in batches:
             owners, ns, places, shingles = [], [], [], []
             for i, s in enumerate(shingle_sets(batch.column(batch.num_columns - 1), size)):
-                take = len(s) + (-percent * len(s)) // 100 + 1
+                take = len(s) + (-percent * len(s)) // 100 + MEETINGS
                 rare = table[(s >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)]
                 first = s[np.lexsort((s, rare))[:take]].view(np.int64)
                 owners.append(np.full(len(first), i, np.int64))
@@ -246,14 +248,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rare = materialise(residual.select("digest", "part", "text").mapInArrow(_prefixer(size, percent, counts), "digest binary, part binary, n bigint, pos bigint, shingle bigint"), "prefixes")
     split = rare.groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("shingle")
     rare = rare.join(split, "shingle", "left_semi")
-    # the smaller set of a pair need only be met in a shorter prefix; what is left behind the shingle must suffice for the overlap
+    # the smaller set of a pair need only be met in a shorter prefix
     one = rare.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("digest", "part", "n", "pos")))
-    two = rare.where(F.col("pos") < F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}") + 1)
+    two = rare.where(F.col("pos") < F.col("n") - F.expr(f"({2 * percent} * n + {99 + percent}) div {100 + percent}") + MEETINGS)
     two = two.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("digest", "part", "n", "pos")))
     larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("digest_a") > F.col("digest_b")))
-    enough = F.least(F.expr("n_a - pos_a"), F.expr("n_b - pos_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    fits = larger & enough & (F.col("part_a") != F.col("part_b")) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    pairs = one.join(two, "shingle").where(fits).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
+    fits = larger & (F.col("part_a") != F.col("part_b")) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    met = one.join(two, "shingle").where(fits).groupBy(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), "n_a", "n_b")
+    met = met.agg(F.count("*").alias("m"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
+    overlap = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
+    # all common shingles up to the last one met are among those met; what is left behind it must suffice for the rest
+    enough = F.col("m") + F.least(F.expr("n_a - pos_a"), F.expr("n_b - pos_b")) - 1 >= overlap
+    pairs = met.where((F.col("m") >= F.least(F.lit(MEETINGS), overlap)) & enough).select("a", "b")
     last = materialise(_verify(materialise(pairs, "residual-pairs"), texts, size, percent), "links")
     labels = join_components(labels, last)
 
