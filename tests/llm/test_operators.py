@@ -192,11 +192,15 @@ def test_packing_round_trip(spark, sf_dir):
     assert len(places) <= math.ceil(total / 1024) * 1.03 + 1
 
 
-def test_packed_ids_are_the_tokens(spark):
-    from corpusmill.llm.tokens import encoder
+def test_packed_ids_are_those_of_the_file(spark):
+    """The file's added token is one ID wherever it stands."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    out = packing.pack(spark.createDataFrame([(1, "hello <|endoftext|> world")], "doc_id long, text string")).first()
-    assert list(np.frombuffer(out.ids, "<u4")) == [*encoder()("hello <|endoftext|> world"), 2] and 50256 not in np.frombuffer(out.ids, "<u4")
+    texts = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a <|endoftext| b", ""]
+    want = [[*e.ids, 2] for e in Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)]
+    out = packing.pack(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert {x.id: np.frombuffer(x.ids, "<u4").tolist() for x in out} == dict(enumerate(want)) and 50256 in want[0]
 
 
 # --- 3 ---------------------------------------------------------------------------------------------------------------
