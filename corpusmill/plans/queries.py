@@ -226,14 +226,14 @@ c AS (SELECT idx, split, n, gram, count(*) FILTER (side = 'p') AS np, count(*) F
 
 @query(f"{_GRAMS} SELECT split, n::INTEGER AS n, sum(least(np, nr))::BIGINT AS correct, sum(np)::BIGINT AS total FROM c GROUP BY split, n", "predictions")
 def bleu_ngram_stats(spark, d):
-    return metrics.bleu_ngram_stats(view(spark, d, "predictions"), by=["split"])
+    return metrics.bleu_ngram_stats(_dealt(view(spark, d, "predictions")), by=["split"])
 
 
 @query(f"""{_GRAMS}, s AS (SELECT split, n, sum(least(np, nr))::DOUBLE AS correct, sum(np)::DOUBLE AS total FROM c GROUP BY split, n),
 l AS (SELECT split, sum(len(w)) FILTER (side = 'p')::DOUBLE AS sys, sum(len(w)) FILTER (side = 'r')::DOUBLE AS ref FROM t GROUP BY split)
 SELECT l.split, round(100 * CASE WHEN sys < ref THEN exp(1 - ref / sys) ELSE 1 END * exp(avg(ln(correct / total))), 6) AS score FROM s JOIN l USING (split) GROUP BY l.split, sys, ref""", "predictions")
 def corpus_bleu(spark, d):
-    return metrics.corpus_bleu(view(spark, d, "predictions"), metrics.whitespace_tokens, ["split"]).select("split", F.round("score", 6).alias("score"))
+    return metrics.corpus_bleu(_dealt(view(spark, d, "predictions")), metrics.whitespace_tokens, ["split"]).select("split", F.round("score", 6).alias("score"))
 
 
 _N = "(length(prediction) - length(replace(prediction, '{0}', '')))"
