@@ -6,10 +6,12 @@ time limit for each. Whatever can be decided by column expressions is decided be
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import struct
 import subprocess
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -36,14 +38,30 @@ JUNIT_STUBS = {
 }
 
 
+def _helper_classes(java: str) -> str:
+    """The folder of the helper's classes, compiled once for a user and machine; renamed into place whole, whoever is first."""
+    source = Path(__file__).with_name("JavaTool.java")
+    version = hashlib.sha256(source.read_bytes() + java.encode()).hexdigest()[:16]
+    home = Path(tempfile.gettempdir()) / f"corpusmill-java-{os.getuid()}-{version}"
+    if home.is_dir() and home.stat().st_uid == os.getuid():
+        return str(home)
+    own = tempfile.mkdtemp(prefix="corpusmill-java-")
+    subprocess.run([str(Path(java).with_name("javac")) if os.path.dirname(java) else "javac", "-proc:none", "-d", own, str(source)], check=True, capture_output=True)
+    try:
+        os.rename(own, home)
+    except OSError:
+        return own if not home.is_dir() or home.stat().st_uid != os.getuid() else str(home)
+    return str(home)
+
+
 class JavaTool:
     """A running helper JVM."""
 
     def __init__(self, java_bin: str | None = None):
         found = java_bin or (os.path.join(os.environ["JAVA_HOME"], "bin", "java") if os.environ.get("JAVA_HOME") else shutil.which("java"))
-        source = Path(__file__).with_name("JavaTool.java")
         self.known: dict[tuple[str, ...], list[str]] = {}
-        self.process = subprocess.Popen([found, "-Xmx512m", "-XX:+UseSerialGC", "-XX:TieredStopAtLevel=1", str(source)], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+        options = ["-Xmx512m", "-XX:+UseSerialGC", "-XX:TieredStopAtLevel=1", "-cp", _helper_classes(found), "JavaTool"]
+        self.process = subprocess.Popen([found, *options], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
 
     def ask(self, mode: str, *args: str, timeout_ms: int = TIMEOUT_MS) -> list[str]:
         key = (mode, *args)
@@ -207,8 +225,6 @@ def run_coverage(tests: DataFrame, junit_classpath: str, agent_jar: str, cli_jar
 
 
 def _covered(row, junit: str, agent: str, cli: str, limit: int) -> str | None:
-    import tempfile
-
     with tempfile.TemporaryDirectory() as top:
         root = Path(top)
         files = []
