@@ -29,6 +29,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shingles of five words at 0.8, the default of stages."""
     return near.drop_near_duplicates(docs)
 
 
@@ -42,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("line_dedup", dedup_lines), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("best_fit_packing", pack)]
 
-#: Tokenising and packing have no SQL; tests hold the stages against brute force.
+#: Tokenising and packing have no SQL; test_pipeline_against_its_stages holds all rows against brute force, on top of op3's and op6's SQL.
 ORACLE_SQL = None
 
 
