@@ -658,16 +658,43 @@ def test_windows_cover_every_hot_atom():
         assert all(any(a <= m.start() < b for a, b in seen) for m in re.finditer("[0-9@]", text))
 
 
-def test_pipeline_leaves_one_of_each(spark, sf_dir):
+def test_pipeline_against_its_stages(spark, sf_dir):
+    """Every row of run(): what the quality rules and line dedup leave (each has SQL of its own), then near dedup, decontamination and packing by brute force."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
-    out = {x.doc_id for x in corpus_pipeline.run(spark, sf_dir).collect()}
-    docs = dict(rows(spark, sf_dir, "documents", "doc_id", "text"))
-    good = {x.doc_id for x in quality_rules.op3_quality_rules(table(spark, sf_dir, "documents")).where("kept").collect()}
-    assert out <= good
-    kept, seen = set(), {}
-    for i in sorted(good):
-        kept |= {i} if seen.setdefault(docs[i], i) == i else set()
-    assert out <= kept and len(out) > 0.5 * len(kept)
-    items = rows(spark, sf_dir, "benchmark", "item_id", "text")
-    assert not any(brute_contamination(docs[i], items)[-1] for i in list(out)[:25])
+    kept = quality_rules.op3_quality_rules(table(spark, sf_dir, "documents")).where("kept").select("doc_id")
+    good = table(spark, sf_dir, "documents").join(kept, "doc_id", "left_semi")
+    texts = {x.doc_id: x.text for x in line_dedup.op6_line_dedup(good).collect() if x.n_removed_lines == 0 or x.text.split()}
+    groups = brute_components(list(texts.items()), 5, 80)
+    texts = {i: t for i, t in texts.items() if groups[i][2]}
+    windows = set()
+    for _, t in rows(spark, sf_dir, "benchmark", "item_id", "text"):
+        own = alnum(t)
+        n = min(10, len(own))
+        windows |= {tuple(own[k : k + n]) for k in range(len(own) - n + 1)} if n else set()
+    sizes = {len(w) for w in windows}
+
+    def clean(t):
+        own = alnum(t)
+        return not any(tuple(own[k : k + n]) in windows for n in sizes for k in range(len(own) - n + 1))
+
+    texts = {i: t for i, t in texts.items() if clean(t)}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = set()
+    for i, t in texts.items():
+        ids, at, piece = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4"), 0, 0
+        while at < len(ids):
+            n = (len(ids) - 1) % 1024 + 1 if at == 0 else 1024
+            want.add((i, piece, at, n, zlib.crc32(ids[at : at + n].tobytes())))
+            at, piece = at + n, piece + 1
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {(x.doc_id, x.piece, x.start, x.length, zlib.crc32(x.ids)) for x in got} == want and len(got) == len(want) > 100
+    places = defaultdict(list)
+    for x in got:
+        places[x.sequence_id].append((x.offset, x.length))
+    for spans in places.values():
+        ends = [0, *(o + n for o, n in sorted(spans))]
+        assert [o for o, _ in sorted(spans)] == ends[:-1] and ends[-1] <= 1024
