@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, license_scan, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts, url_filter
+from corpusmill.llm import decontaminate, license_scan, line_dedup, log_replay, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts, url_filter
 from corpusmill.llm.common import table
 
 
@@ -10,6 +10,7 @@ def queries():
     return {
         "op1_decontaminate": lambda spark, d: decontaminate.op1_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op10_pii": lambda spark, d: pii.op10_pii(table(spark, d, "documents")),
+        "op12_log_replay": lambda spark, d: log_replay.op12_log_replay(table(spark, d, "documents"), table(spark, d, "labels")),
         "op2_best_fit_packing": lambda spark, d: packing.op2_best_fit_packing(table(spark, d, "documents")),
         "op3_quality_rules": lambda spark, d: quality_rules.op3_quality_rules(table(spark, d, "documents")),
         "op4_near_dedup": lambda spark, d: near_dedup.op4_near_dedup(table(spark, d, "documents")),
@@ -22,4 +23,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_decontaminate": decontaminate.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_near_dedup": near_dedup.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op12_log_replay": log_replay.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_near_dedup": near_dedup.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
