@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, license_scan, line_dedup, log_replay, merkle, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts, url_filter
+from corpusmill.llm import decontaminate, license_scan, line_dedup, log_replay, merkle, near_dedup, packing, pii, quality_classifier, quality_rules, repeats, token_counts, url_filter
 from corpusmill.llm.common import table
 
 
@@ -10,6 +10,7 @@ def queries():
     return {
         "op1_decontaminate": lambda spark, d: decontaminate.op1_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op10_pii": lambda spark, d: pii.op10_pii(table(spark, d, "documents")),
+        "op11_repeated_passages": lambda spark, d: repeats.op11_repeated_passages(table(spark, d, "documents")),
         "op12_log_replay": lambda spark, d: log_replay.op12_log_replay(table(spark, d, "documents"), table(spark, d, "labels")),
         "op13_merkle_manifest": lambda spark, d: merkle.op13_merkle_manifest(table(spark, d, "documents")),
         "op2_best_fit_packing": lambda spark, d: packing.op2_best_fit_packing(table(spark, d, "documents")),
@@ -24,4 +25,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_decontaminate": decontaminate.ORACLE, "op12_log_replay": log_replay.ORACLE, "op13_merkle_manifest": merkle.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_near_dedup": near_dedup.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op11_repeated_passages": repeats.ORACLE, "op12_log_replay": log_replay.ORACLE, "op13_merkle_manifest": merkle.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_near_dedup": near_dedup.ORACLE, "op5_license_scan": license_scan.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
