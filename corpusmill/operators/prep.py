@@ -128,9 +128,43 @@ def kept_percent(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("pct", F.when(F.col("n_before") > 0, F.round(F.col("n_after") * F.lit(100.0).cast("double") / F.col("n_before"), 6)).otherwise(F.lit(0.0)))
 
 
+#: First rows up to so many are picked by heaps, one for each partition; more are cut off at an index that counts find.
+HEAP_ROWS = 10_000
+CELLS = 1024
+
+
 def first_rows(df: DataFrame, n: int | None, by: str = "idx") -> DataFrame:
-    """The rows with an index below n: the same on every run."""
-    return df if n is None else df.where(F.col(by) < n)
+    """The n rows with the least index (all if there are fewer), whatever gaps the index has: the same on every run if no index repeats.
+
+    Nothing is sorted as a whole. Rows without an index come last and are taken only if the others don't suffice.
+    """
+    if n is None:
+        return df
+    if n <= HEAP_ROWS:
+        return df.orderBy(F.col(by).asc_nulls_last()).limit(n)
+    last = nth_index(df, n, by)
+    if last is None:  # fewer rows with an index than asked for
+        return df.where(F.col(by).isNotNull()).unionByName(df.where(F.col(by).isNull()).limit(n - df.where(F.col(by).isNotNull()).count()))
+    below = df.where(F.col(by) < last)
+    return below.unionByName(df.where(F.col(by) == last).limit(n - below.count()))
+
+
+def nth_index(df: DataFrame, n: int, by: str = "idx") -> int | None:
+    """The n-th least index, by counts in ever smaller cells: CELLS numbers a round, as many rounds as the range has digits to that base."""
+    low, high, there = df.agg(F.min(by), F.max(by), F.count(by)).first()
+    if there < n:
+        return None
+    left = n
+    while low < high:
+        size = -(-(high - low + 1) // CELLS)
+        cell = F.floor((F.col(by).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(size).cast("decimal(20,0)")).cast("int")
+        counts = {r.cell: r["count"] for r in df.where(F.col(by).between(low, high)).groupBy(cell.alias("cell")).count().collect()}
+        at = 0
+        while left > counts.get(at, 0):
+            left -= counts.get(at, 0)
+            at += 1
+        low, high = low + at * size, min(high, low + (at + 1) * size - 1)
+    return low
 
 
 def with_index(df: DataFrame, order: list[Column | str] | None = None) -> DataFrame:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions import java, java_scan
 from corpusmill.functions import text as tx
 from corpusmill.operators import metrics, prep, profile, workers
-from corpusmill.sources import readers, writers
+from corpusmill.sources import publish, readers, writers
 
 DEFAULT_PROCESSING = {"train": "prompts_with_target", "eval": "prompts_with_target", "test": "prompts_only"}
 DEFAULT_TOKENIZERS = {"train": "tokenize", "eval": "tokenize", "test": "tokenize_for_inference"}
@@ -22,26 +24,12 @@ def fingerprint(config: dict, **inputs) -> str:
     return hashlib.sha256(json.dumps([config, inputs], sort_keys=True, default=str).encode()).hexdigest()
 
 
-def contents(df: DataFrame) -> list:
-    """Schema, rows and a sum over all rows that doesn't depend on their order."""
-    r = df.select(F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("h")).first()
-    return [df.schema.json(), r.n, str(r.h)]
-
-
 def identity(tokenizer) -> list:
     """What kind of tokenizer it is, and its parameters."""
     known = {k: getattr(v, "__qualname__", v) for k, v in vars(tokenizer).items()}
     return [type(tokenizer).__module__, type(tokenizer).__qualname__, getattr(tokenizer, "version", None), known]
 
 
-def input_version(spark: SparkSession, config: dict, raw: DataFrame | None) -> list:
-    """What the raw rows and the registry are now: contents of a frame, sizes and times of files."""
-    registry = config.get("registry")
-    indexed = [readers.versions(spark, p) for m in readers.read_registry(spark, registry).values() for p in m.values()] if registry else []
-    own = contents(raw) if raw is not None else [readers.versions(spark, p) for p in config["paths"].values()]
-    return [own, readers.versions(spark, registry) if registry else None, indexed]
-
-
 def _by_split(df: DataFrame, names: dict[str, str], apply: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """apply(rows, function name), once for all splits that share a function."""
     groups: dict[str, list[str]] = {}
@@ -67,38 +55,131 @@ def tokenize(processed: DataFrame, tokenizer, config: dict) -> DataFrame:
     return out.drop("idx", "prompt", "reference")
 
 
+#: Hash buckets of each split, the grain of reuse.
+BUCKETS = 16
+
+
+def bucket_of(n: int) -> Column:
+    return F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int").alias("bucket")
+
+
+def _contents_of_units(df: DataFrame, n: int, also: list[str] = ()) -> dict[tuple[str, int], list]:
+    """(split, bucket) -> rows and a sum over all rows that doesn't depend on their order; splits times buckets are gathered."""
+    h = F.xxhash64(*sorted(c for c in df.columns if c != "split")).cast("decimal(38,0)")
+    units = df.groupBy("split", bucket_of(n).alias("bucket")).agg(F.count("*").alias("n"), F.sum(h).alias("h"))
+    return {(r.split, r.bucket): [r.n, str(r.h), *also] for r in units.collect()}
+
+
+class Store:
+    """Units of built rows by fingerprint, in folders that are written once and never change, and the builds that are made of them.
+
+    A unit is the rows of one split and hash bucket. Its data are written to a folder of the build that makes it, then its fingerprint is
+    claimed by a small file that names that folder (`publish_once`), so a unit is there whole or not at all and a lost build leaves
+    nothing that any other would read. A build is a list of units, published under the next number after all of them: readers of the latest
+    build see one build whole while the next is made.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def known(self, kind: str) -> set[str]:
+        return set(publish.names(self.spark, f"{self.root}/units/{kind}"))
+
+    def unit(self, kind: str, key: str) -> dict:
+        return json.loads(publish.read_text(self.spark, f"{self.root}/units/{kind}/{key}"))
+
+    def make(self, kind: str, df: DataFrame, keys: dict[tuple[str, int], str]) -> dict[str, dict]:
+        """Writes the rows of df (split, bucket, ...) as units of these keys, in one job, and claims them."""
+        path = f"{self.root}/data/{kind}-{uuid.uuid4().hex}"
+        place = self.spark.createDataFrame([(s, b, k) for (s, b), k in keys.items()], "split string, bucket int, unit string")
+        rows = df.join(F.broadcast(place), ["split", "bucket"])  # one row for each unit: splits times buckets
+        rows.write.partitionBy("unit").parquet(path)
+        counts = {r.unit: r["count"] for r in self.spark.read.parquet(path).groupBy("unit").count().collect()} if publish.names(self.spark, path) else {}
+        made = {}
+        for key in keys.values():
+            made[key] = {"path": f"{path}/unit={key}" if counts.get(key) else None, "rows": counts.get(key, 0)}
+            publish.publish_once(self.spark, f"{self.root}/units/{kind}/{key}", json.dumps(made[key]))
+        return made
+
+    def ensure(self, kind: str, keys: dict[tuple[str, int], str], make: Callable[[list], DataFrame], force: bool = False) -> dict[str, dict]:
+        """Key -> unit of all keys; make(splits and buckets) gives the rows of those that aren't there. `made` counts them."""
+        known = set() if force else self.known(kind)
+        units = {k: self.unit(kind, k) for k in keys.values() if k in known}
+        missing = {u: k for u, k in keys.items() if k not in units}
+        if missing:
+            units |= self.make(kind, make(list(missing)), missing)
+        return units
+
+    def read(self, units: Iterable[dict], schema: T.StructType) -> DataFrame:
+        paths = [u["path"] for u in units if u["path"]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def publish_build(self, content: dict) -> None:
+        """Makes a build the latest, unless it is that already."""
+        text = json.dumps(content, sort_keys=True)
+        while self.latest_text() != text:
+            there = publish.names(self.spark, f"{self.root}/builds")
+            publish.publish_once(self.spark, f"{self.root}/builds/{int(there[-1]) + 1 if there else 1:012d}", text)
+
+    def latest_text(self) -> str | None:
+        there = publish.names(self.spark, f"{self.root}/builds")
+        return publish.read_text(self.spark, f"{self.root}/builds/{there[-1]}") if there else None
+
+    def latest(self) -> dict:
+        text = self.latest_text()
+        if text is None:
+            raise FileNotFoundError(f"nothing has been built in {self.root}")
+        return json.loads(text)
+
+
+def read_build(spark: SparkSession, root: str, kind: str = "tokenized", split: str | None = None) -> DataFrame:
+    """The latest build's rows of a kind (`processed` or `tokenized`), of all splits or of one, whose units alone are then read."""
+    store = Store(spark, root)
+    content = store.latest()[kind]
+    units = [u for u in content["units"] if split in (None, u["split"])]
+    return store.read(units, T.StructType.fromJson(content["schema"])).drop("bucket")
+
+
 def build_datasets(spark: SparkSession, config: dict, tokenizer, raw: DataFrame | None = None) -> DataFrame:
     """Tokenized splits: raw -> gate and prompts -> written -> indices shared by all models -> tokens -> written.
 
-    Each written table has a manifest that names configuration, tokenizer and input as they were: the contents of a given frame, sizes and times of files.
-    A table is used again if nothing of that has changed, and made anew if it has; tokens are made anew whenever prompts were.
+    Rows are made in units of a split and a hash bucket of idx (`buckets` of the configuration, or BUCKETS). A unit's fingerprint is that of
+    the configuration, the tokenizer and the unit's input: its raw rows, and for tokens also the shared indices. A unit that is there is used again, so
+    of an input that changed in part only the changed buckets are made anew, and an earlier input is there at once. need_special_processing and
+    need_tokenization ask for prompts or tokens to be made anew. See `Store` for what a lost build leaves.
     """
-    root = config["output_dir"].rstrip("/")
-    settings = {k: v for k, v in config.items() if not k.startswith("need_")}
-    print_ = fingerprint(settings, tokenizer=identity(tokenizer), inputs=input_version(spark, config, raw))
-    done = writers.read_manifest(spark, f"{root}/processed_manifest")
-    anew = config.get("need_special_processing", True) or not done or done["fingerprint"] != print_
-    if anew:
-        src = raw if raw is not None else readers.read_splits(spark, config["paths"])
-        writers.write_splits(process(src, tokenizer, config), f"{root}/processed")
-        writers.write_manifest(spark, f"{root}/processed_manifest", {"fingerprint": print_, "rows": readers.read_processed(spark, f"{root}/processed").count()})
-    processed = readers.read_processed(spark, f"{root}/processed")
+    store, n = Store(spark, config["output_dir"]), config.get("buckets", BUCKETS)
+    src = raw if raw is not None else readers.read_splits(spark, config["paths"])
+    src = src if "idx" in src.columns else prep.with_index(src)
+    settings = [{k: v for k, v in config.items() if not k.startswith("need_") and k not in ("output_dir", "paths", "registry")}, identity(tokenizer), src.schema.json()]
+    anew = bool(config.get("need_special_processing"))
+    inside = lambda df, units: df.withColumn("bucket", bucket_of(n)).join(F.broadcast(spark.createDataFrame(units, "split string, bucket int")), ["split", "bucket"], "left_semi")
+
+    keys = {u: fingerprint({"unit": u, "settings": settings}, rows=c) for u, c in _contents_of_units(src, n).items()}
+    schemas_ = {"processed": T.StructType.fromJson(process(src, tokenizer, config).withColumn("bucket", F.lit(0)).schema.jsonValue())}
+    processed_units = store.ensure("processed", keys, lambda units: process(inside(src, units).drop("bucket"), tokenizer, config).withColumn("bucket", bucket_of(n)), anew)
+    processed = store.read(processed_units.values(), schemas_["processed"])
+
+    shared = {}
     if config.get("registry"):
-        index = readers.read_registered_index(spark, readers.read_registry(spark, config["registry"]))
-        processed = prep.fairness_filter(processed, prep.shared_index(index))
-    rows = processed.count()
-    done = writers.read_manifest(spark, f"{root}/tokenized_manifest")
-    if anew or config.get("need_tokenization") or not done or (done["fingerprint"], done["rows"]) != (print_, rows):
-        writers.write_tokenized(tokenize(processed, tokenizer, config), f"{root}/tokenized")
-        writers.write_manifest(spark, f"{root}/tokenized_manifest", {"fingerprint": print_, "rows": rows})
-    return readers.read_tokenized(spark, f"{root}/tokenized")
+        index = prep.shared_index(readers.read_registered_index(spark, readers.read_registry(spark, config["registry"])))
+        shared = _contents_of_units(index, n)
+        processed = prep.fairness_filter(processed, index)
+    some = {s for s, _ in shared}
+    token_keys = {u: fingerprint({"processed": k}, shared=shared.get(u) if u[0] in some else None, fair=u[0] in some) for u, k in keys.items()}
+    with_bucket = lambda df: tokenize(df, tokenizer, config)
+    schemas_["tokenized"] = with_bucket(processed).schema
+    token_units = store.ensure("tokenized", token_keys, lambda units: with_bucket(processed.join(F.broadcast(spark.createDataFrame(units, "split string, bucket int")), ["split", "bucket"], "left_semi")), anew or bool(config.get("need_tokenization")))
+    kinds = {"processed": (keys, processed_units), "tokenized": (token_keys, token_units)}
+    store.publish_build({kind: {"schema": schemas_[kind].jsonValue(), "units": [{"split": u[0], "bucket": u[1], **units[k]} for u, k in sorted(own.items())]} for kind, (own, units) in kinds.items()})
+    return store.read(token_units.values(), schemas_["tokenized"]).drop("bucket")
 
 
 def dry_run(spark: SparkSession, config: dict, tokenizer, raw: DataFrame | None = None, previews: int = 2) -> dict[str, DataFrame]:
     """Counts, token statistics and previews of a build, and whether indices are shared."""
     tokens = build_datasets(spark, config, tokenizer, raw)
-    processed = readers.read_processed(spark, f"{config['output_dir'].rstrip('/')}/processed")
-    shown = prep.first_rows(processed.orderBy("split", "idx").limit(previews), None).select("split", "idx", tx.preview(F.col("prompt")).alias("preview"))
+    processed = read_build(spark, config["output_dir"], "processed")
+    shown = processed.orderBy("split", "idx").limit(previews).select("split", "idx", tx.preview(F.col("prompt")).alias("preview"))
     shared = spark.createDataFrame([(bool(config.get("registry")),)], "fairness boolean")
     return {"counts": processed.groupBy("split").count(), "stats": profile.tokenized_stats(tokens.where("labels is not null"), ["split"]), "previews": shown, "fairness": shared}
 

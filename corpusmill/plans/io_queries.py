@@ -76,14 +76,42 @@ def json_lines_positions(spark, d):
     """Positions in one file, which is read in many splits."""
     path = f"{scratch_dir(spark, 'lines')}.jsonl"
     view(spark, d, "predictions").select(F.to_json(F.struct("prediction")).alias("value")).coalesce(1).write.text(path)
-    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
-    try:
-        rows = readers.read_json_lines(spark, path).select("pos")
-        rows.write.parquet(path + ".read")  # while the splits are small
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
-    return spark.read.parquet(path + ".read")
+    return _read_in_splits(spark, lambda small: readers.read_json_lines(small, path).select("pos"))
+
+
+def _read_in_splits(spark, read, size: int = 64 << 10):
+    """What read(session) gives in a session of its own, in which splits are small."""
+    small, path = spark.newSession(), scratch_dir(spark, "read")
+    small.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    small.conf.set("spark.sql.files.openCostInBytes", str(size))
+    read(small).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _array_file(df, label: str, before: str = "[", after: str = "]") -> str:
+    """The JSON texts `value` of df (idx, value) in one file, by idx, with commas and line breaks between them."""
+    path = f"{scratch_dir(df.sparkSession, label)}.json"
+    ends = df.agg(F.min("idx"), F.max("idx")).first()
+    text = F.concat(F.when(F.col("idx") == ends[0], before).otherwise(""), "value", F.when(F.col("idx") == ends[1], after).otherwise(" ,"))
+    df.select("idx", text.alias("text")).repartition(1).sortWithinPartitions("idx").select("text").write.text(path)
+    return path
+
+
+_SHAPES = "(VALUES ('columns'), ('objects'), ('strings'))"
+
+
+@query(f"SELECT shape, CASE WHEN shape = 'strings' THEN row_number() OVER (PARTITION BY shape ORDER BY idx) - 1 ELSE idx END AS original_idx, prediction FROM predictions, {_SHAPES} AS v(shape)", "predictions")
+def prediction_arrays_scan(spark, d):
+    """All predictions as one array of strings, of objects, and as an object of arrays, read in many splits."""
+    rows = view(spark, d, "predictions").select("idx", "prediction")
+    string = F.expr("substring(to_json(array(prediction)), 2, length(to_json(array(prediction))) - 2)")
+    files = {
+        "strings": _array_file(rows.select("idx", string.alias("value")), "strings", "[\n "),
+        "objects": _array_file(rows.select("idx", F.to_json(F.struct("prediction", F.col("idx").alias("original_idx"), F.array(F.lit("],{"), F.lit('"')).alias("more"))).alias("value")), "objects"),
+        "columns": _array_file(rows.select("idx", string.alias("value")).unionByName(rows.agg(F.max("idx").alias("last")).crossJoin(rows).select((F.col("last") + 1 + F.col("idx")).alias("idx"), F.concat(F.when(F.col("idx") == 0, '], "original_idx": [').otherwise(""), F.col("idx").cast("string")).alias("value"))), "columns", '{"prediction": [', "]}"),
+    }
+    read = lambda small: reduce(lambda a, b: a.unionByName(b), [readers.read_predictions(small, p).select(F.lit(k).alias("shape"), "original_idx", "prediction") for k, p in files.items()])
+    return _read_in_splits(spark, read)
 
 
 @query("SELECT prediction, idx AS original_idx FROM predictions", "predictions")
@@ -354,21 +382,51 @@ def process_by_registered_names(spark, d):
 _BUILT = f"SELECT split, list_transform(list_filter(regexp_split_to_array(p, '\\s+'), lambda t: t <> ''), lambda t: least(length(t), 99)) [1:64] AS ids FROM (SELECT split, CASE WHEN split = 'test' THEN {_sql_prompt(False)} ELSE {_sql_prompt(True)} END AS p FROM chat_pairs WHERE {_FITS})"
 
 
+class _Counted(_Lengths):
+    def count(self, text):
+        return WORDS.count(text)
+
+
 @query(f"SELECT split, count(*) AS n, sum(len(ids))::BIGINT AS n_tokens, sum(list_sum(ids))::BIGINT AS total, count(*) FILTER (split <> 'test') AS n_labels FROM ({_BUILT}) GROUP BY split", "chat_pairs")
 def build_tokens(spark, d):
     """Built twice: the second time prompts and tokens are used again."""
     config, raw = _config(spark), view(spark, d, "chat_pairs")
-
-    class Counted(_Lengths):
-        def count(self, text):
-            return WORDS.count(text)
-
     for _ in range(2):
-        out = build.build_datasets(spark, config, Counted(), raw)
+        out = build.build_datasets(spark, config, _Counted(), raw)
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
     return out.groupBy("split").agg(F.count("*").alias("n"), F.sum(total("attention_mask")).alias("n_tokens"), F.sum(total("input_ids")).alias("total"), F.count("labels").alias("n_labels"))
 
 
+_CHANGED = "(SELECT idx, split, src, CASE WHEN idx % 100 = 0 THEN target || ' changed' ELSE target END AS target FROM chat_pairs)"
+
+
+@query(f"SELECT split, count(*) AS n, sum(list_sum(ids))::BIGINT AS total, true AS same_as_full, true AS others_kept FROM ({_BUILT.replace('FROM chat_pairs', f'FROM {_CHANGED}')}) GROUP BY split", "chat_pairs")
+def incremental_build(spark, d):
+    """Built, then built again with one answer in a hundred changed: only the buckets of changed rows are made anew, and the tokens are those of a build from nothing."""
+    config, raw = _config(spark) | {"buckets": 64}, view(spark, d, "chat_pairs").select("idx", "split", "src", "target")
+    build.build_datasets(spark, config, _Counted(), raw)
+    store = build.Store(spark, config["output_dir"])
+    before = store.known("processed")
+    touched = F.col("idx") % 100 == 0
+    changed = raw.withColumn("target", F.when(touched, F.concat("target", F.lit(" changed"))).otherwise(F.col("target")))
+    out = build.build_datasets(spark, config, _Counted(), changed)
+    units = raw.where(touched).select("split", build.bucket_of(64)).distinct().count()
+    kept = len(store.known("processed") - before) == units
+    full = build.build_datasets(spark, config | {"output_dir": scratch_dir(spark, "full")}, _Counted(), changed)
+    same = out.exceptAll(full).isEmpty() and full.exceptAll(out).isEmpty()
+    total = F.sum(F.aggregate("input_ids", F.lit(0), lambda a, x: a + x))
+    return out.groupBy("split").agg(F.count("*").alias("n"), total.alias("total"), F.lit(same).alias("same_as_full"), F.lit(kept).alias("others_kept"))
+
+
+@query("SELECT n, idx FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY idx) AS k FROM (SELECT 3 * doc_id + 7 AS idx, unnest([1, 37, 400]) AS n FROM documents)) WHERE k <= n")
+def first_rows(spark, d):
+    """Of an index with gaps: by heaps, and by counts (the largest)."""
+    docs = view(spark, d, "documents").select((3 * F.col("doc_id") + 7).alias("idx"))
+    frames = [prep.first_rows(docs, n).select(F.lit(n).alias("n"), "idx") for n in (1, 37)]
+    last = prep.nth_index(docs, min(400, docs.count()))
+    return reduce(lambda a, b: a.unionByName(b), [*frames, docs.where(F.col("idx") <= last).select(F.lit(400).alias("n"), "idx")])
+
+
 @query(f"SELECT split, count(*) AS n FROM chat_pairs WHERE {_FITS} GROUP BY split", "chat_pairs")
 def dry_run_counts(spark, d):
     return build.dry_run(spark, _config(spark), WORDS, view(spark, d, "chat_pairs"))["counts"].withColumnRenamed("count", "n")

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from corpusmill import schemas
 from corpusmill.functions.text import is_blank, lstrip
+from corpusmill.sources import json_arrays
 
 SPLITS = ("train", "eval", "test")
 
@@ -56,10 +57,10 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Values of a JSON array or of JSON lines, as strings, with their position in their file; blank lines don't count.
 
-    Lines are read in splits. A line's position is its place in its split plus the lines of the splits before it, of which there is one count each.
+    Both are read in splits; see `json_arrays` for arrays. A line's position is its place in its split plus the lines of the splits before it, of which there is one count each.
     """
     if is_array(spark, path):
-        return spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "value"))
+        return json_arrays.read_elements(spark, path).select(F.col("pos").cast("int").alias("pos"), _one("value", "string").alias("value"))
     split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")]
     rows = spark.read.text(path).select("value", *split).where(~is_blank(F.col("value"))).withColumn("place", F.monotonically_increasing_id())
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,14 +87,36 @@ def explode_predictions(text: DataFrame, col: str = "value") -> DataFrame:
     return text.select(F.inline(F.filter(rows, lambda x: x["prediction"].isNotNull()))).select("original_idx", "prediction")
 
 
+def _one(value: str, kind: str):
+    """A column of JSON texts, each as a value of that type."""
+    return F.get(F.from_json(F.concat(F.lit("["), F.col(value), F.lit("]")), f"array<{kind}>"), F.lit(0))
+
+
+def read_prediction_array(spark: SparkSession, path: str) -> DataFrame:
+    """(original_idx, prediction) of a file as `explode_predictions` has them, read in splits."""
+    first = spark.read.text(path).where(~is_blank(F.col("value"))).select(F.substring(lstrip(F.col("value")), 1, 1).alias("value")).limit(1).collect()
+    opens = first[0].value if first else ""
+    if opens == "[":
+        rows = json_arrays.read_elements(spark, path)
+        is_object = F.col("value").startswith("{")
+        parsed = F.from_json(F.when(is_object, F.col("value")), "struct<prediction:string,original_idx:bigint>")
+        pair = [F.when(is_object, F.coalesce(parsed["original_idx"], F.col("pos"))).otherwise(F.col("pos")), F.when(is_object, parsed["prediction"]).otherwise(_one("value", "string"))]
+    elif opens == "{":
+        rows = json_arrays.read_columns(spark, path, ("prediction", "original_idx"))
+        pair = [F.coalesce(_one("original_idx", "bigint"), F.col("pos")), _one("prediction", "string")]
+    else:
+        return explode_predictions(spark.read.text(path, wholetext=True))  # one string
+    return rows.select(pair[0].alias("original_idx"), pair[1].alias("prediction")).where("prediction is not null")
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Predictions of a .json file of any shape, or of .jsonl objects. ValueError if there are none."""
+    """Predictions of a .json file of any shape, or of .jsonl objects, read in splits. ValueError if there are none."""
     if path.endswith(".jsonl"):
         rows = read_json_lines(spark, path)
         parsed = F.from_json("value", "struct<prediction:string,original_idx:bigint>")
         out = rows.select(F.coalesce(parsed["original_idx"], F.col("pos").cast("bigint")).alias("original_idx"), parsed["prediction"].alias("prediction")).where("prediction is not null")
     else:
-        out = explode_predictions(spark.read.text(path, wholetext=True))
+        out = read_prediction_array(spark, path)
     if out.isEmpty():
         raise ValueError(f"{path} holds no predictions")
     return out

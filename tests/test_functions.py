@@ -178,9 +178,10 @@ def test_changed_inputs_are_noticed(spark, tmp_path):
     for special in (True, False):
         config = {"output_dir": str(tmp_path / f"out{special}"), "max_input_len": 40, "need_special_processing": special}
         one = ids(build.build_datasets(spark, config, tk.WhitespaceTokenizer(), frame("f")))
-        stamp = (tmp_path / f"out{special}" / "tokenized" / "_SUCCESS").stat().st_mtime_ns
+        written = lambda: {p for p in (tmp_path / f"out{special}" / "data").iterdir() if p.name.startswith("tokenized")}
+        before = written()
         assert ids(build.build_datasets(spark, config, tk.WhitespaceTokenizer(), frame("f").repartition(3))) == one
-        assert special or (tmp_path / f"out{special}" / "tokenized" / "_SUCCESS").stat().st_mtime_ns == stamp  # used again
+        assert special == (written() > before) and (special or written() == before)  # used again
         two = ids(build.build_datasets(spark, config, tk.WhitespaceTokenizer(), frame("g")))
         assert two != one and len(two) == 6
         assert ids(build.build_datasets(spark, config, tk.WhitespaceTokenizer(vocabulary=100), frame("g"))) != two
@@ -291,3 +292,114 @@ def test_infer_and_compile_report(spark, tmp_path):
         writers.write_java_files(spark.createDataFrame([("../x.java", "")], "rel_path string, src string"), str(tmp_path / "java"))
     with pytest.raises(PermissionError):
         workers.run_coverage(raw, "", "", "")
+
+
+# --- builds ----------------------------------------------------------------------------------------------------------
+
+
+def _raw(spark, word, n=12):
+    return spark.createDataFrame([(i, "train" if i % 3 else "test", f"int {word}{i}() {{ return {i}; }}", f"class {word}{i} {{ }}") for i in range(n)], "idx long, split string, src string, target string")
+
+
+def _prompts(spark, root):
+    return sorted(r.prompt for r in build.read_build(spark, root, "processed").collect())
+
+
+def test_a_lost_build_serves_no_other_input(spark, tmp_path, monkeypatch):
+    """OLD is built; NEW is lost at every place a build can be lost at; then OLD is asked for again, then NEW."""
+    config = {"output_dir": str(tmp_path / "out"), "max_input_len": 80, "buckets": 2}
+    ids = lambda df: sorted(tuple(r.input_ids) for r in df.collect())
+    old, new = _raw(spark, "old"), _raw(spark, "brandnew")
+    want = {w: ids(build.build_datasets(spark, config | {"output_dir": str(tmp_path / w)}, tk.WhitespaceTokenizer(), _raw(spark, w))) for w in ("old", "brandnew")}
+    assert ids(build.build_datasets(spark, config, tk.WhitespaceTokenizer(), old)) == want["old"] != want["brandnew"]
+    seen = _prompts(spark, config["output_dir"])
+    real, calls = build.publish.publish_once, []
+
+    class Lost(Exception):
+        pass
+
+    for at in (0, 1, 2):
+        def dying(*args, at=at):
+            calls.append(args)
+            if len(calls) > at:
+                raise Lost
+            return real(*args)
+
+        calls.clear()
+        monkeypatch.setattr(build.publish, "publish_once", dying)
+        with pytest.raises(Lost):
+            build.build_datasets(spark, config, tk.WhitespaceTokenizer(), new)
+        monkeypatch.setattr(build.publish, "publish_once", real)
+        assert _prompts(spark, config["output_dir"]) == seen  # a reader of the latest build sees OLD, whole
+        assert ids(build.build_datasets(spark, config, tk.WhitespaceTokenizer(), old)) == want["old"]
+    reader = build.read_build(spark, config["output_dir"], "processed")
+    assert ids(build.build_datasets(spark, config, tk.WhitespaceTokenizer(), new)) == want["brandnew"]
+    assert sorted(r.prompt for r in reader.collect()) == seen != _prompts(spark, config["output_dir"])  # begun before NEW was there
+
+
+def test_only_changed_buckets_are_made_anew(spark, tmp_path):
+    config = {"output_dir": str(tmp_path / "out"), "max_input_len": 80, "buckets": 4}
+    raw = _raw(spark, "f", 60)
+    store = build.Store(spark, config["output_dir"])
+    build.build_datasets(spark, config, tk.WhitespaceTokenizer(), raw)
+    units = {kind: store.known(kind) for kind in ("processed", "tokenized")}
+    assert len(units["processed"]) == 8
+    changed = raw.withColumn("src", F.when(F.col("idx") == 7, F.lit("int g() { }")).otherwise(F.col("src")))
+    got = build.build_datasets(spark, config, tk.WhitespaceTokenizer(), changed)
+    assert all(len(store.known(kind) - before) == 1 for kind, before in units.items())
+    full = build.build_datasets(spark, config | {"output_dir": str(tmp_path / "full")}, tk.WhitespaceTokenizer(), changed)
+    assert got.exceptAll(full).isEmpty() and full.exceptAll(got).isEmpty()
+    one = build.read_build(spark, config["output_dir"], "tokenized", "test")
+    assert one.count() == 20 and {r.split for r in one.select("split").distinct().collect()} == {"test"}
+    fewer = build.build_datasets(spark, config, tk.WhitespaceTokenizer(), changed.where("idx < 30"))
+    assert fewer.count() == 30
+    assert build.build_datasets(spark, config, tk.WhitespaceTokenizer(), raw.where("false")).count() == 0
+
+
+def test_published_once(spark, tmp_path):
+    from corpusmill.sources import publish
+
+    at = str(tmp_path / "x" / "name")
+    assert publish.read_text(spark, at) is None and publish.names(spark, str(tmp_path / "x")) == []
+    assert publish.publish_once(spark, at, "é one") and not publish.publish_once(spark, at, "two")
+    assert publish.read_text(spark, at) == "é one" and publish.names(spark, str(tmp_path / "x")) == ["name"]
+
+
+def test_first_rows_of_an_index_with_gaps(spark, monkeypatch):
+    df = spark.createDataFrame([(i * i * 10**9 - 5,) for i in range(300)] + [(None,)], "idx long").repartition(5)
+    for limit in (10_000, 0):
+        monkeypatch.setattr(prep, "HEAP_ROWS", limit)
+        for n in (1, 5, 256, 300):
+            assert sorted(r.idx for r in prep.first_rows(df, n).collect()) == [i * i * 10**9 - 5 for i in range(n)]
+        assert prep.first_rows(df, 999).count() == 301 and prep.first_rows(df, None).count() == 301
+    same = spark.createDataFrame([(1,), (2,), (2,), (2,), (3,)], "idx long")
+    assert sorted(r.idx for r in prep.first_rows(same, 3).collect()) == [1, 2, 2]
+
+
+def test_arrays_in_splits(spark, tmp_path):
+    """Strings that hold brackets, commas and escapes, nested objects, blanks between, in splits of a hundred bytes; all shapes."""
+    import random
+
+    from corpusmill.sources import json_arrays
+
+    small, r = spark.newSession(), random.Random(1)
+    for key in ("maxPartitionBytes", "openCostInBytes"):
+        small.conf.set(f"spark.sql.files.{key}", "97")
+    pool = ['"', "\\", ",", "[", "]", "{", "}", "x", "é", "\n", " ", ":", "],", '\\"', '"]}']
+    strings = ["".join(r.choice(pool) for _ in range(r.randint(0, 60))) for _ in range(40)] + ["long " * 200]
+    shapes = {"strings": strings, "objects": [{"prediction": v, "original_idx": 3 * i, "z": [1, [2, {"q": v}]]} for i, v in enumerate(strings)], "none": [], "one": ["x,]"], "mixed": [None, 1, True, [], {}]}
+    for name, value in shapes.items():
+        for indent in (None, 1):
+            path = tmp_path / f"{name}{indent}.json"
+            path.write_text(json.dumps(value, indent=indent, ensure_ascii=False) + "\n")
+            got = sorted((x.pos, json.loads(x.value)) for x in json_arrays.read_elements(small, str(path)).collect())
+            assert got == list(enumerate(value)), (name, indent)
+    assert json_arrays.pieces(small, str(tmp_path / "strings1.json")).rdd.getNumPartitions() > 1
+    both = {x.original_idx: x.prediction for x in readers.read_predictions(small, str(tmp_path / "objects1.json")).collect()}
+    assert both == {3 * i: v for i, v in enumerate(strings)}
+    (tmp_path / "columns.json").write_text(json.dumps({"other": [["]"]], "original_idx": list(range(5, 46)), "prediction": strings}, indent=1))
+    assert {x.original_idx: x.prediction for x in readers.read_predictions(small, str(tmp_path / "columns.json")).collect()} == {i + 5: v for i, v in enumerate(strings)}
+    (tmp_path / "short.json").write_text(json.dumps({"prediction": ["a", None, "c"], "original_idx": [7]}))
+    assert sorted((x.original_idx, x.prediction) for x in readers.read_predictions(small, str(tmp_path / "short.json")).collect()) == [(2, "c"), (7, "a")]
+    (tmp_path / "single.json").write_text('"only, one"')
+    assert [(x.original_idx, x.prediction) for x in readers.read_predictions(small, str(tmp_path / "single.json")).collect()] == [(0, "only, one")]
