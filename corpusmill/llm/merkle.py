@@ -110,6 +110,9 @@ def roots(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _hand_down(low: int, high: int, fold: bool, key, nodes: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
     """Paths of a block's lowest nodes (level low) from the path of its top; with fold what a manifest says of each leaf."""
+    names = ["doc_id", "leaf", "subroot", "proof_sha256", "folded_root"] if fold else ["tree", "n", "index", "path"]
+    if nodes.empty:  # no documents: a tree over no sources
+        return pd.DataFrame(columns=names)
     n, up = int(nodes["n"].iloc[0]), list(above["path"].iloc[0])
     at = {(lv, i): d for lv, i, d in zip(nodes["level"].tolist(), nodes["index"].tolist(), nodes["digest"].tolist())}
     top = min(high, height(n))
@@ -129,7 +132,6 @@ def _hand_down(low: int, high: int, fold: bool, key, nodes: pd.DataFrame, above:
         for left, right in zip(path[::2], path[1::2]):
             folded = _sha(left + folded + right)
         out.append((row.doc_id, row.digest, subroot, _sha("".join(path)), folded))
-    names = ["doc_id", "leaf", "subroot", "proof_sha256", "folded_root"] if fold else ["tree", "n", "index", "path"]
     return pd.DataFrame(out, columns=names)
 
 

@@ -4,11 +4,11 @@ A ledger is a folder of batches. A batch holds signed totals by source, language
 a revised count -1 for the old and +1 for the new row. Totals are additive, so the rollup is the sum of the batches
 and no document is ever counted again.
 
-Commits. A batch is written beside the ledger and published by one rename to a name that no other writer can have (batch ID, time, a random part), so a
-rename never meets a folder that is there already. Of several folders with one batch ID the earliest counts and
-no other, whoever reads and whenever: a commit that is repeated, raced by another writer, or cut off half-way and repeated, counts once.
-A snapshot is published in the same way. It names the batches that it sums, from the one listing that it was made of, so a batch
-that lands meanwhile is not in it and is read beside it. Batches are never changed or deleted. The driver holds the names of batches, a few bytes for each commit.
+Commits. A batch is written whole to a folder that no other writer can have. Then its ID is claimed: one small file that names the folder and can be made
+only once (`publish_once`). Who claims the ID counts, for ever; a commit that is repeated, raced by another writer, overtaken, or cut off half-way and repeated, counts
+once, and what a returned commit said stays true. A snapshot is published in the same way, under the next number. It names the batches that it sums, from the one
+listing that it was made of, so a batch that lands meanwhile is not in it and is read beside it. Batches are never changed or deleted.
+The driver holds the names of batches, a few bytes for each commit.
 
 Counting is a map over the documents; totals combine in the map stage before their shuffle, which moves a row for each
 group and task whatever share of the rows a source has.
@@ -19,7 +19,6 @@ repeat count each; an empty change set commits an empty batch; groups that come
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -27,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WORD, materialise, scratch_dir, table
+from corpusmill.llm.common import WORD, fresh, materialise, scratch_dir
+from corpusmill.sources.publish import names, publish_once, read_text
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
@@ -60,15 +60,16 @@ def word_count(text: Column) -> Column:
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, keep: tuple[str, ...] = (), revised: Column | None = None) -> DataFrame:
     """A row for each document and tokenizer version: id, source, lang, the columns keep, tokenizer, tokens; with revised,
     a text, also revised_tokens, what it counts by the same version."""
-    words = docs.withColumn("n_words", word_count(F.col(text_col)))
-    own = [id_col, "source", "lang", *keep, "n_words"]
-    parts = {"byte_bpe_50k-1": "n_bpe", "words-1": "n_words"}
+    n_words, n_new, text_new = (fresh(n, docs) for n in ("n_words", "n_words_revised", "revised_text"))
+    words = docs.withColumn(n_words, word_count(F.col(text_col)))
+    own = [id_col, "source", "lang", *keep, n_words]
+    parts = {"byte_bpe_50k-1": ("n_bpe", "n_bpe_revised"), "words-1": (n_words, n_new)}
     if revised is not None:
-        words = words.withColumn("n_words_revised", word_count(revised)).withColumn("revised_text", F.when(~revised.eqNullSafe(F.col(text_col)), revised))
-        own.append("n_words_revised")
-    counted = bpe_counts(words, own, text_col, vocabulary, None if revised is None else "revised_text")
-    more = lambda n: [] if revised is None else [F.col(f"{n}_revised").alias("revised_tokens")]
-    each = F.array(*(F.struct(F.lit(k).alias("tokenizer"), F.col(n).alias("tokens"), *more(n)) for k, n in parts.items()))
+        words = words.withColumn(n_new, word_count(revised)).withColumn(text_new, F.when(~revised.eqNullSafe(F.col(text_col)), revised))
+        own.append(n_new)
+    counted = bpe_counts(words, own, text_col, vocabulary, None if revised is None else text_new)
+    more = lambda n: [] if revised is None else [F.col(n).alias("revised_tokens")]
+    each = F.array(*(F.struct(F.lit(k).alias("tokenizer"), F.col(n).alias("tokens"), *more(new)) for k, (n, new) in parts.items()))
     return counted.select(F.col(id_col).alias("id"), "source", "lang", *keep, F.inline(each))
 
 
@@ -93,71 +94,59 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root = spark, (root or scratch_dir(spark, "token-ledger")).rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str) -> list[str]:
-        at = self._path(f"{self.root}/{folder}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
-
-    def _publish(self, folder: str, name: str, write) -> str:
-        """write(path) beside the folder, then one rename into it under a name of its own; returns that name."""
-        own = f"{name}--{time.time_ns():020d}-{uuid.uuid4().hex}"
-        staged = f"{self.root}/staged/{own}"
-        write(staged)
-        self._fs.mkdirs(self._path(f"{self.root}/{folder}"))
-        if not self._fs.rename(self._path(staged), self._path(f"{self.root}/{folder}/{own}")):
-            raise OSError(f"could not put {own} in place")
-        return own
-
-    def _published(self) -> dict[str, str]:
-        """Batch ID -> the folder that counts."""
-        return {n.rpartition("--")[0]: n for n in reversed(self._names("batches"))}
+
+    def _publish(self, folder: str, name: str, write) -> bool:
+        """write(path) to a folder of its own, then claims the name for it; says whether it is now this folder's."""
+        own = f"{self.root}/data/{name}--{uuid.uuid4().hex}"
+        write(own)
+        return publish_once(self.spark, f"{self.root}/{folder}/{name}", own)
+
+    def _published(self, but: set[str] = frozenset()) -> dict[str, str]:
+        """Batch ID -> the folder that counts, of all batches but some."""
+        return {n: read_text(self.spark, f"{self.root}/batches/{n}") for n in names(self.spark, f"{self.root}/batches") if n not in but}
 
     def batches(self) -> list[str]:
-        return sorted(self._published())
+        return names(self.spark, f"{self.root}/batches")
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds the batch unless one of that ID is there or in a snapshot; says whether it is this one that counts."""
         if not batch_id.replace("-", "").replace("_", "").isalnum() or "--" in batch_id:
             raise ValueError(f"not a batch ID: {batch_id}")
-        if batch_id in self._published() or batch_id in self._snapshot()[1]:
+        if batch_id in self.batches():
             return False
         totals = changes.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        own = self._publish("batches", batch_id, totals.write.parquet)
-        return self._published()[batch_id] == own
+        return self._publish("batches", batch_id, totals.write.parquet)
 
-    def _snapshot(self) -> tuple[str | None, set[str]]:
-        names = self._names("snapshots")
-        if not names:
-            return None, set()
-        listed = self.spark.read.text(f"{self.root}/snapshots/{names[-1]}/covers").collect()  # a name for each batch
-        return names[-1], {r.value for r in listed}
+    def _snapshot(self) -> tuple[int, str | None, set[str]]:
+        """Number and folder of the last snapshot, and the batches in it."""
+        there = names(self.spark, f"{self.root}/snapshots")
+        if not there:
+            return 0, None, set()
+        folder = read_text(self.spark, f"{self.root}/snapshots/{there[-1]}")
+        return int(there[-1]), folder, {r.value for r in self.spark.read.text(f"{folder}/covers").collect()}  # a name for each batch
 
     def _sum(self, snapshot: str | None, folders: list[str]) -> DataFrame:
-        paths = [f"{self.root}/batches/{b}" for b in folders]
-        paths += [f"{self.root}/snapshots/{snapshot}/totals"] if snapshot else []
+        paths = folders + ([f"{snapshot}/totals"] if snapshot else [])
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         summed = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return summed.where("n_docs <> 0 or n_tokens <> 0")
 
     def totals(self) -> DataFrame:
-        snapshot, covered = self._snapshot()
-        return self._sum(snapshot, [f for b, f in self._published().items() if b not in covered])
+        _, snapshot, covered = self._snapshot()
+        return self._sum(snapshot, list(self._published(covered).values()))
 
     def compact(self) -> None:
         """Folds all batches into a snapshot that names them; the batches stay and are read no more."""
-        last, covered = self._snapshot()
-        published = self._published()
-        totals = self._sum(last, [f for b, f in published.items() if b not in covered])
-        names = sorted(covered | set(published))
+        number, last, covered = self._snapshot()
+        published = self._published(covered)
+        totals = self._sum(last, list(published.values()))
+        listed = sorted(covered | set(published))
 
         def write(path: str) -> None:
             totals.write.parquet(f"{path}/totals")
-            self.spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.text(f"{path}/covers")
+            self.spark.createDataFrame([(n,) for n in listed], "value string").coalesce(1).write.text(f"{path}/covers")
 
-        self._publish("snapshots", f"{int(last.partition('--')[0]) + 1 if last else 1:012d}", write)
+        self._publish("snapshots", f"{number + 1:012d}", write)
 
 
 def op9_token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
