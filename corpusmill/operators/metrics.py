@@ -6,9 +6,12 @@ A gate also has a Column that says which rows survive it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +29,12 @@ def align(predictions: DataFrame, references: DataFrame) -> DataFrame:
 
 def gather(tests: DataFrame, focal: DataFrame, idx: str = "original_idx") -> DataFrame:
     """Every test with its focal row; a ValueError if one has none."""
-    lost = tests.join(focal, tests[idx] == focal["idx"], "left_anti").count()
+    there = focal.select("*", F.lit(True).alias("there_"))
+    found = tests.join(there, tests[idx] == there["idx"], "left").drop(there["idx"])
+    lost = found.where("there_ is null").count()
     if lost:
         raise ValueError(f"{lost} tests have no focal method")
-    return tests.join(focal, tests[idx] == focal["idx"]).drop(focal["idx"])
+    return found.drop("there_")
 
 
 def exact_match(ev: DataFrame) -> DataFrame:
@@ -43,20 +48,103 @@ def _common(a: Column, b: Column, part) -> Column:
     return F.aggregate(F.array(*(F.lit(1 << k) for k in range(22, -1, -1))), F.lit(0), grown)
 
 
+#: Length of one text, times the other's, up to which the JVM's quadratic function is used.
+QUADRATIC = 1_000_000
+
+
 def distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance in characters. What two texts begin and end with alike costs nothing and is cut before the quadratic part."""
+    """Levenshtein distance in characters, exact for texts of any length.
+
+    What two texts begin and end with alike is cut. Short texts go through the JVM's quadratic program, others in Arrow batches through `long_distance`; a
+    Python column can't stand inside an aggregation, so select the distance before summing it.
+    """
 
     def cut(n: Column) -> Column:
         x, y = F.substr(a, n + 1), F.substr(b, n + 1)
         last = lambda c, m: F.substr(c, F.length(c) - m + 1)
-        return let(F.struct(x.alias("x"), y.alias("y")), lambda p: let(_common(p["x"], p["y"], last), lambda m: F.levenshtein(F.substr(p["x"], F.lit(1), F.length(p["x"]) - m), F.substr(p["y"], F.lit(1), F.length(p["y"]) - m))))
-
-    return F.when(a == b, 0).otherwise(let(_common(a, b, lambda c, m: F.substr(c, F.lit(1), m)), cut))
+        left = lambda c, m: F.substr(c, F.lit(1), F.length(c) - m)
+        return let(F.struct(x.alias("x"), y.alias("y")), lambda p: let(_common(p["x"], p["y"], last), lambda m: F.levenshtein(left(p["x"], m), left(p["y"], m))))
+
+    short = let(_common(a, b, lambda c, m: F.substr(c, F.lit(1), m)), cut)
+    long = F.length(a).cast("long") * F.length(b) > QUADRATIC
+    slow = F.pandas_udf(_long_distances, "int")(F.when(long & (a != b), a), F.when(long & (a != b), b))
+    return F.when(a == b, 0).when(long, slow).otherwise(short)
+
+
+def _long_distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else long_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
+#: Edits up to which the diagonals are followed; their cost is the square of the edits.
+FEW_EDITS = 256
+
+
+def long_distance(a: str, b: str) -> int:
+    """Levenshtein distance: by furthest reaching diagonals if there are few edits, else bit-parallel, a bit for each character of the shorter text."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    begin = _slide(x, y, 0, 0)
+    end = _slide(x[begin:][::-1], y[begin:][::-1], 0, 0)
+    a, b, x, y = (t[begin : len(t) - end] for t in (a, b, x, y))
+    found = _few_edits(x, y) if len(b) - len(a) <= FEW_EDITS else None
+    return _bit_parallel(a, b) if found is None else found
+
+
+def _slide(x: np.ndarray, y: np.ndarray, i: int, j: int) -> int:
+    """How many equal numbers follow from x[i] and y[j]."""
+    n, step, done = min(len(x) - i, len(y) - j), 64, 0
+    while done < n:
+        m = min(step, n - done)
+        other = x[i + done : i + done + m] != y[j + done : j + done + m]
+        at = int(other.argmax())
+        if other[at]:
+            return done + at
+        done, step = done + m, step * 4
+    return n
+
+
+def _few_edits(x: np.ndarray, y: np.ndarray) -> int | None:
+    """The distance if it is at most FEW_EDITS: reach[d] is how far into x the diagonal d (place in y less place in x) comes with so many edits."""
+    goal, reach = len(y) - len(x), {}
+    for edits in range(FEW_EDITS + 1):
+        now = {}
+        for d in range(-min(edits, len(x)), min(edits, len(y)) + 1):
+            if edits == 0:
+                i = 0
+            else:
+                i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
+            i = min(i, len(x), len(y) - d)
+            if i < 0 or i + d < 0:
+                continue
+            now[d] = i + _slide(x, y, i, i + d)
+        if now.get(goal) == len(x):
+            return edits
+        reach = now
+    return None
+
+
+def _bit_parallel(a: str, b: str) -> int:
+    """The columns of the quadratic program as differences, a bit for each character of a, which isn't longer."""
+    if not a:
+        return len(b)
+    where: dict[str, int] = {}
+    for c in set(a):
+        where[c] = int("".join("1" if x == c else "0" for x in reversed(a)), 2) if len(a) < 64 else int.from_bytes(np.packbits(np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32) == ord(c), bitorder="little").tobytes(), "little")
+    full, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0
+    for c in b:
+        eq = where.get(c, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        right_up, right_down = down | (full & ~(diagonal | up)), up & diagonal
+        score += 1 if right_up & top else -1 if right_down & top else 0
+        right_up, right_down = (right_up << 1 | 1) & full, right_down << 1 & full
+        up, down = right_down | (full & ~(diagonal | right_up)), right_up & diagonal
+    return score
 
 
 def edit_distance(ev: DataFrame) -> DataFrame:
     """Mean Levenshtein distance in characters."""
-    return ev.agg(_ratio(distance(F.col("prediction"), F.col("reference"))).alias("score"), F.lit(None).cast("long").alias("passed"))
+    return ev.select(distance(F.col("prediction"), F.col("reference")).alias("edits")).agg(_ratio(F.col("edits")).alias("score"), F.lit(None).cast("long").alias("passed"))
 
 
 # --- BLEU ------------------------------------------------------------------------------------------------------------
@@ -80,51 +168,67 @@ def whitespace_tokens(text: Column) -> Column:
     return F.filter(F.split(text, "\\s+"), lambda t: t != "")
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    """All n-grams in order. The test guards sequence(), which would count down."""
-    some = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), "\u0001"))
-    return F.when(F.size(tokens) >= n, some).otherwise(F.array().cast("array<string>"))
-
-
-def _matches(p: Column, r: Column, weight) -> Column:
-    """(correct, total): grams of p that r has, clipped by how often, and all grams of p. Both lists are sorted as one, so that
-    equal grams are neighbours and one pass counts them."""
-    w = (lambda g: weight(g).cast("double")) if weight else (lambda g: F.lit(1.0))
-    side = lambda grams, own: F.transform(grams, lambda g: F.struct(g.alias("g"), F.lit(own).alias("p")))
-    settled = lambda a: a["c"] + F.least(a["p"], a["r"]) * w(a["g"])
-    state = lambda g, p, r, c, t: F.struct(g.alias("g"), p.alias("p"), r.alias("r"), c.alias("c"), t.alias("t"))
+def _clipped(p: pa.Array, r: pa.Array, order: int, full: frozenset[str] | None, other: float) -> list[np.ndarray]:
+    """Of lists of tokens, row by row: correct_1, total_1, correct_2 and so on. Grams are numbered, so that equal numbers are equal grams.
 
-    def step(a: Column, x: Column) -> Column:
-        total = a["t"] + x["p"] * w(x["g"])
-        return F.when(a["g"] == x["g"], state(a["g"], a["p"] + x["p"], a["r"] + 1 - x["p"], a["c"], total)).otherwise(state(x["g"], x["p"], 1 - x["p"], settled(a), total))
-
-    zero = state(F.lit(""), F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0))
-    return F.aggregate(F.sort_array(F.concat(side(p, 1), side(r, 0))), zero, step, lambda a: F.struct(settled(a).alias("correct"), a["t"].alias("total")))
-
-
-def _bleu_sums(ev: DataFrame, tokenize: Callable[[Column], Column], by: list[str], order: int, weight) -> DataFrame:
-    """Lengths and n-gram counts of whole groups. Pairs are counted where they are; only sums are shuffled."""
-
-    def measured(p: Column, r: Column) -> Column:
-        parts = {f"m{n}": _matches(_grams(p, n), _grams(r, n), weight) for n in range(1, order + 1)}
-        return F.struct(F.size(p).alias("sys_len"), F.size(r).alias("ref_len"), *(c.alias(n) for n, c in parts.items()))
-
-    texts = [tokenize(F.coalesce(c, F.lit(""))) for c in ("prediction", "reference")]
-    pair = let(texts[0], lambda p: let(texts[1], lambda r: measured(p, r)))
+    full: tokens that weigh 1, if not all do; other single tokens then weigh `other`, longer grams 1.
+    """
+    rows = len(p)
+    words = pa.concat_arrays([p.flatten(), r.flatten()]).dictionary_encode()
+    code, names = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
+    lengths = np.concatenate([x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in (p, r)]).astype(np.int64)
+    row = np.repeat(np.arange(2 * rows), lengths)  # those of p, then those of r
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(code))  # tokens from here on in this row
+    weight = np.ones(len(names)) if full is None else np.array([1.0 if w in full else other for w in names.to_pylist()])
+    gram, out = code, []
+    if not len(code):
+        return [np.zeros(rows)] * (2 * order)
+    for n in range(1, order + 1):
+        if n > 1:
+            keep = np.flatnonzero(left >= n)
+            pair = np.full(len(code), -1)
+            pair[keep] = gram[keep] * (len(names) + 1) + code[keep + n - 1]
+            gram = np.full(len(code), -1)
+            gram[keep] = np.unique(pair[keep], return_inverse=True)[1]
+        some = left >= n
+        size = int(gram.max(initial=0)) + 1
+        key, count = np.unique(row[some] * size + gram[some], return_counts=True)
+        mine = key < rows * size  # keys of p; those of r are `rows` rows further
+        at, which = key[mine] // size, key[mine] % size
+        w = weight[which] if n == 1 else np.ones(len(which))
+        _, of_p, of_r = np.intersect1d(key[mine], key[~mine] - rows * size, assume_unique=True, return_indices=True)
+        hits = np.zeros(len(which))
+        hits[of_p] = np.minimum(count[mine][of_p], count[~mine][of_r])
+        out += [np.bincount(at, hits * w, rows), np.bincount(at, count[mine] * w, rows)]
+    return out
+
+
+def _bleu_sums(ev: DataFrame, tokenize: Callable[[Column], Column], by: list[str], order: int, full: frozenset[str] | None, other: float) -> DataFrame:
+    """Lengths and n-gram counts of whole groups. Pairs are counted where they are, a batch at once; only sums are shuffled."""
+    counts = [f"{c}_{n}" for n in range(1, order + 1) for c in ("correct", "total")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, r = batch.column(len(by)), batch.column(len(by) + 1)
+            sizes = [x.value_lengths().fill_null(0).cast(pa.int64()) for x in (p, r)]
+            columns = [*batch.columns[: len(by)], *sizes, *(pa.array(x, pa.float64()) for x in _clipped(p, r, order, full, other))]
+            yield pa.record_batch(columns, names=[*batch.schema.names[: len(by)], "sys_len", "ref_len", *counts])
+
+    tokens = ev.select(*(ev[c].alias(f"b{i}") for i, c in enumerate(by)), *(tokenize(F.coalesce(c, F.lit(""))).alias(c) for c in ("prediction", "reference")))
+    kinds = [f"b{i} {ev.schema[c].dataType.simpleString()}" for i, c in enumerate(by)]
+    each = tokens.mapInArrow(run, ", ".join([*kinds, "sys_len bigint, ref_len bigint", *(f"{c} double" for c in counts)]))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    sums = [total(f"x.{c}").cast("long").alias(c) for c in ("sys_len", "ref_len")]
-    sums += [total(f"x.m{n}.{c}").alias(f"{c}_{n}") for n in range(1, order + 1) for c in ("correct", "total")]
-    return ev.select(*by, pair.alias("x")).groupBy(*by).agg(*sums)
+    return each.groupBy(*(F.col(f"b{i}").alias(c) for i, c in enumerate(by))).agg(*(total(c).alias(c) for c in ("sys_len", "ref_len", *counts)))
 
 
-def bleu_ngram_stats(ev: DataFrame, tokenize: Callable[[Column], Column] = whitespace_tokens, by: list[str] = (), order: int = 4, weight: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(n, correct, total) for each order, counts clipped by pair. weight: of a gram, for weighted counts."""
-    kind = "double" if weight else "long"
+def bleu_ngram_stats(ev: DataFrame, tokenize: Callable[[Column], Column] = whitespace_tokens, by: list[str] = (), order: int = 4, full: frozenset[str] | None = None, other: float = 1.0) -> DataFrame:
+    """(n, correct, total) for each order, counts clipped by pair. With full, tokens that are not in it weigh `other`."""
+    kind = "long" if full is None else "double"
     rows = F.array(*(F.struct(F.lit(n).alias("n"), F.col(f"correct_{n}").cast(kind).alias("correct"), F.col(f"total_{n}").cast(kind).alias("total")) for n in range(1, order + 1)))
-    return _bleu_sums(ev, tokenize, by, order, weight).select(*by, F.inline(rows))
+    return _bleu_sums(ev, tokenize, by, order, full, other).select(*by, F.inline(rows))
 
 
-def corpus_bleu(ev: DataFrame, tokenize: Callable[[Column], Column] = tokens_13a, by: list[str] = (), order: int = 4, weight=None) -> DataFrame:
+def corpus_bleu(ev: DataFrame, tokenize: Callable[[Column], Column] = tokens_13a, by: list[str] = (), order: int = 4, full: frozenset[str] | None = None, other: float = 1.0) -> DataFrame:
     """0 to 100: geometric mean of the precisions (those without a match halved again and again) times the brevity penalty."""
     log_sum, zeros = F.lit(0.0), F.lit(0)
     for n in range(1, order + 1):
@@ -134,7 +238,7 @@ def corpus_bleu(ev: DataFrame, tokenize: Callable[[Column], Column] = tokens_13a
     longer = F.col("sys_len") >= F.col("ref_len")
     brevity = F.when(longer, F.lit(1.0)).otherwise(F.exp(1 - F.col("ref_len") / F.nullif("sys_len", F.lit(0)).cast("double")))
     score = F.when((F.col("correct_1") == 0) | log_sum.isNull(), F.lit(0.0)).otherwise(100 * brevity * F.exp(log_sum / order))
-    return _bleu_sums(ev, tokenize, by, order, weight).select(*by, score.alias("score"), F.lit(None).cast("long").alias("passed"))
+    return _bleu_sums(ev, tokenize, by, order, full, other).select(*by, score.alias("score"), F.lit(None).cast("long").alias("passed"))
 
 
 # Java's reserved words.
@@ -143,17 +247,15 @@ KEYWORDS = "abstract assert boolean break byte case catch char class const conti
 
 def keyword_bleu(ev: DataFrame, tokenize=whitespace_tokens) -> DataFrame:
     """BLEU in which a single token counts fully if it is a keyword and a fifth otherwise; longer grams count as they are."""
-    weight = lambda g: F.when(g.contains("\u0001") | g.isin(KEYWORDS), F.lit(1.0)).otherwise(F.lit(0.2))
-    return corpus_bleu(ev, tokenize, weight=weight)
+    return corpus_bleu(ev, tokenize, full=frozenset(KEYWORDS), other=0.2)
 
 
-def codebleu(ev: DataFrame, tokenize=whitespace_tokens, classpath: str | None = None) -> DataFrame:
+def codebleu(ev: DataFrame, tokenize=whitespace_tokens, store: str | None = None) -> DataFrame:
     """The four parts and their mean. Syntax and data flow come from the JDK's own parser (operators.workers), so the
     composite is comparable within this engine and not to the last digit with tools that use another grammar."""
     from corpusmill.operators.workers import code_matches
 
-    pairs = code_matches(ev)
-    parts = pairs.agg(F.sum("tree_hit").alias("th"), F.sum("tree_all").alias("ta"), F.sum("flow_hit").alias("fh"), F.sum("flow_all").alias("fa"))
+    parts = code_matches(ev, store=store).agg(F.sum("tree_hit").alias("th"), F.sum("tree_all").alias("ta"), F.sum("flow_hit").alias("fh"), F.sum("flow_all").alias("fa"))
     share = lambda a, b: F.when(F.coalesce(F.col(b), F.lit(0)) > 0, F.col(a) / F.col(b).cast("double")).otherwise(F.lit(0.0))
     one = corpus_bleu(ev, tokenize).select((F.col("score") / 100).alias("ngram"))
     two = keyword_bleu(ev, tokenize).select((F.col("score") / 100).alias("weighted_ngram"))
@@ -260,7 +362,8 @@ def run_metrics(ev: DataFrame, names: list[str] | None = None, cascade: bool = T
     for name in names:
         rows_in[name], metric = alive, REGISTRY[name]
         try:
-            metric.compute(ev)  # a column that isn't there is found without a job
+            if metric.mean is not None or metric.survives is not None:
+                metric.compute(ev)  # a column that isn't there is found without a job
             if cascade and metric.survives is not None:
                 alive = alive & F.coalesce(metric.survives(), F.lit(False))
         except Exception as e:  # noqa: BLE001  isolates metrics from each other
@@ -272,7 +375,7 @@ def run_metrics(ev: DataFrame, names: list[str] | None = None, cascade: bool = T
             out.append(F.count_if(rows_in[name]).alias(f"n{i}"))
             if name in wanted:
                 metric = REGISTRY[name]
-                out.append(_ratio(F.when(rows_in[name], metric.mean().cast("double"))).alias(f"s{i}"))
+                out.append(_ratio(F.col(f"mean{i}_")).alias(f"s{i}"))
                 out.append((F.lit(None).cast("long") if metric.survives is None else F.count_if(rows_in[name] & F.coalesce(metric.survives(), F.lit(False)))).alias(f"p{i}"))
         return out
 
@@ -282,7 +385,8 @@ def run_metrics(ev: DataFrame, names: list[str] | None = None, cascade: bool = T
     rows = []
     try:
         try:
-            found = ev.agg(*sums(means)).first().asDict()
+            each = ev.withColumns({f"mean{i}_": F.when(rows_in[n], REGISTRY[n].mean().cast("double")) for i, n in enumerate(names) if n in means})
+            found = each.agg(*sums(means)).first().asDict()
         except Exception:  # noqa: BLE001  one of the means fails on the rows: each for itself
             found, single, means = ev.agg(*sums([])).first().asDict(), single + means, []
         for i, name in enumerate(names):

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import gates, java
 from corpusmill.functions.text import extract_java_code
+from corpusmill.sources.readers import exists
+from corpusmill.sources.scratch import materialise
 
 TIMEOUT_MS = 20_000
 
@@ -50,7 +52,9 @@ def _helper_classes(java: str) -> str:
     try:
         os.rename(own, home)
     except OSError:
-        return own if not home.is_dir() or home.stat().st_uid != os.getuid() else str(home)
+        if not home.is_dir() or home.stat().st_uid != os.getuid():
+            return own
+        shutil.rmtree(own)  # another task was first
     return str(home)
 
 
@@ -95,13 +99,9 @@ class JavaTool:
         self.close()
 
 
-def _answered(df: DataFrame, inputs: dict[str, Column], fields: dict[str, str], work: Callable[[Callable[..., list[str]], dict], tuple]) -> DataFrame:
-    """df with the columns `fields`, the helper's answers for each row. inputs: what work(ask, row of inputs) sees.
-
-    Rows go through in place, whatever their other columns are, without a join; a JVM starts with the first question of a task.
-    """
-    rows = df.select(*(df[c].alias(f"c{i}") for i, c in enumerate(df.columns)), *(c.alias(f"in_{n}") for n, c in inputs.items()))
-    own, names, types = len(df.columns), [*inputs], _arrow_types(fields)
+def _asked(rows: DataFrame, names: list[str], fields: dict[str, str], work: Callable[[Callable[..., list[str]], dict], tuple]) -> DataFrame:
+    """(key, fields): the helper's answers for rows (key, names). A JVM starts with the first question of a task."""
+    types = _arrow_types(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = None
@@ -113,30 +113,63 @@ def _answered(df: DataFrame, inputs: dict[str, Column], fields: dict[str, str],
 
         try:
             for batch in batches:
-                values = zip(*(batch.column(own + k).to_pylist() for k in range(len(names))))
+                values = zip(*(batch.column(1 + k).to_pylist() for k in range(len(names))))
                 answers = [work(ask, dict(zip(names, v))) for v in values]
                 columns = [*zip(*answers)] if answers else [()] * len(fields)
-                yield pa.record_batch([*batch.columns[:own], *(pa.array(list(c), t) for c, t in zip(columns, types))], names=[*batch.schema.names[:own], *fields])
+                yield pa.record_batch([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types))], names=["key", *fields])
         finally:
             if tool:
                 tool.close()
 
-    ddl = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields)), *(f"{n} {t}" for n, t in fields.items())])
-    return rows.mapInArrow(run, ddl).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)), *fields)
+    return rows.select("key", *names).mapInArrow(run, ", ".join(["key string", *(f"{n} {t}" for n, t in fields.items())]))
+
+
+def helper_version() -> str:
+    """What answers depend on beside the questions: the helper's source."""
+    return hashlib.sha256(Path(__file__).with_name("JavaTool.java").read_bytes()).hexdigest()[:16]
+
+
+def _answered(df: DataFrame, inputs: dict[str, Column], fields: dict[str, str], work: Callable[[Callable[..., list[str]], dict], tuple], task: str, store: str | None = None) -> DataFrame:
+    """df with the columns `fields`, the helper's answers for each row. inputs: what work(ask, row of inputs) sees.
+
+    Answers are addressed by content: each distinct question (a digest of its inputs, of the task and of the helper) is put once, and its answer joined to all rows that ask it. With
+    store, a folder, answers are kept there and only new questions are put. Rows whose inputs are all null ask nothing and get nulls, without a
+    join by a common key.
+    """
+    spark = df.sparkSession
+    names = [f"in_{n}_" for n in inputs]
+    some = F.coalesce(*(F.when(c.isNotNull(), True) for c in inputs.values()), F.lit(False))
+    content = F.sha2(F.concat_ws("\u0001", F.lit(f"{task} {helper_version()}"), F.to_json(F.struct(*(c.alias(n) for n, c in inputs.items())))), 256)
+    nothing = F.concat(F.lit("none-"), (F.monotonically_increasing_id() % 4096).cast("string"))
+    keyed = df.withColumn("key_", F.when(some, content).otherwise(nothing))
+    questions = df.select(F.when(some, content).alias("key"), *(c.alias(n) for n, c in zip(names, inputs.values()))).where("key is not null")
+    questions = questions.groupBy("key").agg(*(F.first(n).alias(n) for n in names))
+    own = [*inputs]
+    put = lambda ask, x: work(ask, {n: x[f"in_{n}_"] for n in own})
+    if store is None:
+        answers = _asked(questions, names, fields, put)
+    else:
+        schema = ", ".join(["key string", *(f"{n} {t}" for n, t in fields.items())])
+        path = f"{store.rstrip('/')}/{task.partition(' ')[0]}"
+        known = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+        _asked(questions.join(known.select("key"), "key", "left_anti"), names, fields, put).write.mode("append").parquet(path)
+        answers = spark.read.schema(schema).parquet(path).dropDuplicates(["key"])  # two runs at once may have put the same question
+    return keyed.join(answers.withColumnRenamed("key", "key_"), "key_", "left").select(*df.columns, *fields)
 
 
 def _arrow_types(fields: dict[str, str]) -> list[pa.DataType]:
     return [{"boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[t] for t in fields.values()]
 
 
-def parse_java(ev: DataFrame, code_col: str = "prediction") -> DataFrame:
-    """ev with parse_ok: whether the code, in a class of its own if it names none, is Java by syntax. Only what passes the cheap tests reaches the parser."""
+def parse_java(ev: DataFrame, code_col: str = "prediction", store: str | None = None) -> DataFrame:
+    """ev with parse_ok: whether the code, in a class of its own if it names none, is Java by syntax. Only what passes the cheap tests reaches the parser, each text once."""
     code = F.when(~gates.trivially_invalid(F.col(code_col)), gates.to_parse(F.col(code_col)))
-    return _answered(ev, {"code": code}, {"parse_ok": "boolean"}, lambda ask, x: (x["code"] is not None and ask("parse", x["code"])[0] == "1",))
+    done = _answered(ev, {"code": code}, {"parse_ok": "boolean"}, lambda ask, x: (ask("parse", x["code"])[0] == "1",), "parse", store)
+    return done.withColumn("parse_ok", F.coalesce("parse_ok", F.lit(False)))
 
 
-def with_status(ev: DataFrame, code_col: str = "prediction", classpath: str = "", messages_only: bool = False) -> DataFrame:
-    """ev with status, msg and fixed_src: cheap rejects, repair, import fence, stubs and then the compiler, each row in place."""
+def with_status(ev: DataFrame, code_col: str = "prediction", classpath: str = "", messages_only: bool = False, store: str | None = None) -> DataFrame:
+    """ev with status, msg and fixed_src: cheap rejects, repair, import fence, stubs and then the compiler, once for each distinct repaired source."""
     src = F.coalesce(F.col(code_col), F.lit(""))
     bad = gates.trivially_bad(src)
     fixed = F.when(~bad, gates.repaired(src))
@@ -144,8 +177,6 @@ def with_status(ev: DataFrame, code_col: str = "prediction", classpath: str = ""
     given = [] if classpath else [x for kv in JUNIT_STUBS.items() for x in kv]
 
     def work(ask, x: dict) -> tuple:
-        if x["stubs"] is None:
-            return None, None
         own = [y for s in x["stubs"] if not s["path"].startswith(("org/junit/", "org/hamcrest/")) for y in (s["path"], s["stub_src"])]
         code, said = ask("compile", classpath, "GenTest.java", x["fixed"], *own, *given)
         return int(code), said
@@ -154,7 +185,9 @@ def with_status(ev: DataFrame, code_col: str = "prediction", classpath: str = ""
     while set(held.values()) & set(ev.columns):
         held = {n: h + "_" for n, h in held.items()}
     rows = ev.select("*", fixed.alias(held["fixed"]), outside.alias(held["outside"]))
-    done = _answered(rows, {"fixed": F.col(held["fixed"]), "stubs": F.when(F.col(held["fixed"]).isNotNull() & (F.size(held["outside"]) == 0), java.stubs(F.col(held["fixed"])))}, {"java_code_": "int", "java_said_": "string"}, work)
+    compiled = F.col(held["fixed"]).isNotNull() & (F.size(held["outside"]) == 0)
+    questions = {"fixed": F.when(compiled, F.col(held["fixed"])), "stubs": F.when(compiled, java.stubs(F.col(held["fixed"])))}
+    done = _answered(rows, questions, {"java_code_": "int", "java_said_": "string"}, work, f"compile {classpath}", store)
     code, said, fixed, outside = F.col("java_code_"), F.col("java_said_"), F.col(held["fixed"]), F.col(held["outside"])
     fenced = F.concat(F.lit("disallowed import(s): "), F.array_join(outside, ", "))
     return done.select(
@@ -165,16 +198,38 @@ def with_status(ev: DataFrame, code_col: str = "prediction", classpath: str = ""
     )
 
 
-def compile_java(ev: DataFrame, code_col: str = "prediction", idx: str = "idx", classpath: str = "", messages_only: bool = False) -> DataFrame:
+def compile_java(ev: DataFrame, code_col: str = "prediction", idx: str = "idx", classpath: str = "", messages_only: bool = False, store: str | None = None) -> DataFrame:
     """idx, status, msg, fixed_src for each row."""
-    return with_status(ev.select(F.col(idx).alias("idx"), F.col(code_col).alias("prediction")), classpath=classpath, messages_only=messages_only).drop("prediction")
+    return with_status(ev.select(F.col(idx).alias("idx"), F.col(code_col).alias("prediction")), classpath=classpath, messages_only=messages_only, store=store).drop("prediction")
+
 
+def code_shapes(codes: DataFrame, store: str | None = None) -> DataFrame:
+    """(key, kind, digest, n) of sources (key, code): how often each subtree (`tree`, by digest) and each flow of values (`flow`) is in it. Each source is parsed once."""
+    told = _answered(codes, {"code": F.col("code")}, {"told_": "string"}, lambda ask, x: (ask("shapes", x["code"])[0],), "shapes", store)
+    line = F.split(F.col("line"), "\t")
+    lines = told.select("key", F.explode(F.split("told_", "\n")).alias("line")).where("line <> ''")
+    return lines.select("key", line[0].alias("kind"), line[1].alias("digest"), line[2].cast("bigint").alias("n"))
 
-def code_matches(ev: DataFrame, idx: str = "idx") -> DataFrame:
-    """idx, tree_hit, tree_all, flow_hit, flow_all: subtrees and value flows of the reference that the prediction has."""
-    texts = {c: gates.to_parse(F.coalesce(F.col(c), F.lit(""))) for c in ("prediction", "reference")}
-    fields = dict.fromkeys(("tree_hit", "tree_all", "flow_hit", "flow_all"), "bigint")
-    return _answered(ev.select(idx, "prediction", "reference"), texts, fields, lambda ask, x: tuple(map(int, ask("match", x["prediction"], x["reference"])[0].split()))).drop("prediction", "reference")
+
+def code_matches(ev: DataFrame, idx: str = "idx", store: str | None = None) -> DataFrame:
+    """idx, tree_hit, tree_all, flow_hit, flow_all: subtrees and value flows of the reference that the prediction has, clipped by how often.
+
+    Shapes are a table of distinct sources; pairs meet theirs in joins, and equal pairs are counted once.
+    """
+    codes = {c: gates.to_parse(F.coalesce(F.col(c), F.lit(""))) for c in ("prediction", "reference")}
+    keys = ev.select(F.col(idx).alias("idx_"), *(F.sha2(c, 256).alias(n) for n, c in codes.items()))
+    sources = ev.select(codes["prediction"].alias("code")).union(ev.select(codes["reference"].alias("code"))).select(F.sha2("code", 256).alias("key"), "code").dropDuplicates(["key"])
+    shapes = materialise(code_shapes(sources, store), "shapes")
+    pairs = keys.select("prediction", "reference").distinct()
+    wanted = pairs.join(shapes.withColumnRenamed("key", "reference"), "reference")
+    has = shapes.select(F.col("key").alias("prediction"), "kind", "digest", F.col("n").alias("m"))
+    met = wanted.join(has, ["prediction", "kind", "digest"], "left")
+    part = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, c)), F.lit(0))
+    hit = F.least("n", F.coalesce("m", F.lit(0)))
+    sums = met.groupBy("prediction", "reference").agg(*(part(kind, c).alias(f"{kind}_{name}") for kind in ("tree", "flow") for name, c in (("hit", hit), ("all", F.col("n")))))
+    out = keys.join(sums, ["prediction", "reference"], "left")
+    names = ("tree_hit", "tree_all", "flow_hit", "flow_all")
+    return out.select(F.col("idx_").alias(idx), *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
 
 
 # --- generation ------------------------------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from corpusmill.functions import java, java_scan
 from corpusmill.functions import text as tx
 from corpusmill.operators import metrics, prep, profile, workers
 from corpusmill.sources import publish, readers, writers
+from corpusmill.sources.scratch import materialise
 
 DEFAULT_PROCESSING = {"train": "prompts_with_target", "eval": "prompts_with_target", "test": "prompts_only"}
 DEFAULT_TOKENIZERS = {"train": "tokenize", "eval": "tokenize", "test": "tokenize_for_inference"}
@@ -202,10 +203,10 @@ def evaluation_frame(prompts: DataFrame, predictions: DataFrame, model: str = "c
     return metrics.align(prep.first_rows(predictions, n), prep.first_rows(prompts, n).select("idx", ref.alias("reference")))
 
 
-def evaluate(prompts: DataFrame, predictions: DataFrame, model: str = "chatml", names: list[str] | None = None, cascade: bool = True, n: int | None = None, classpath: str = "", coverage: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
-    """A row for each metric. Parsing and compiling run only if a metric asks for them, each in place; coverage: (idx, coverage) as coverage_of() gives it.
+def evaluate(prompts: DataFrame, predictions: DataFrame, model: str = "chatml", names: list[str] | None = None, cascade: bool = True, n: int | None = None, classpath: str = "", coverage: DataFrame | None = None, partitions: int | None = None, store: str | None = None) -> DataFrame:
+    """A row for each metric. Parsing and compiling run only if a metric asks for them, once for each distinct source; coverage: (idx, coverage) as coverage_of() gives it.
 
-    partitions: over how many the rows are dealt before Java work; by default they stay as they are.
+    partitions: over how many the rows are dealt before; by default they stay as they are. store: where answers of the parser and compiler are kept across runs.
     """
     ev = evaluation_frame(prompts, predictions, model, n)
     ev = ev.repartition(partitions) if partitions else ev
@@ -215,9 +216,9 @@ def evaluate(prompts: DataFrame, predictions: DataFrame, model: str = "chatml",
     elif "coverage" not in ev.columns and "coverage" in wanted:
         wanted.remove("coverage")
     if "parse_rate" in wanted:
-        ev = workers.parse_java(ev)
+        ev = workers.parse_java(ev, store=store)
     if "compile_rate" in wanted:
-        ev = workers.with_status(ev, classpath=classpath)
+        ev = workers.with_status(ev, classpath=classpath, store=store)
     return metrics.run_metrics(ev, wanted, cascade)
 
 
@@ -250,9 +251,9 @@ def run_coverage(tests: DataFrame, focal: DataFrame, junit_classpath: str, agent
     return coverage_of(pairs, reports)
 
 
-def compile_report(spark: SparkSession, predictions_path: str, out: str | None = None, errors: str | None = None, classpath: str = "", java_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(summary by status, results) of a predictions file; both written where paths are given. Results keep original_idx."""
-    results = workers.compile_java(readers.read_predictions(spark, predictions_path), idx="original_idx", classpath=classpath).persist()
+def compile_report(spark: SparkSession, predictions_path: str, out: str | None = None, errors: str | None = None, classpath: str = "", java_dir: str | None = None, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(summary by status, results) of a predictions file; both written where paths are given. Results keep original_idx. store: where answers of the compiler are kept across runs."""
+    results = materialise(workers.compile_java(readers.read_predictions(spark, predictions_path), idx="original_idx", classpath=classpath, store=store), "compiled")
     if out:
         writers.write_corrected_tests(results, out, java_dir=java_dir)
     if errors:

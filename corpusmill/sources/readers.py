@@ -126,14 +126,43 @@ def read_tests(spark: SparkSession, path: str) -> DataFrame:
     return schemas.require(read_table(spark, path), schemas.PREDICTIONS, path).select("prediction", "original_idx")
 
 
+_METHOD = "struct<_name:string,counter:array<struct<_type:string,_covered:bigint,_missed:bigint>>>"
+_BLOCK = f"class:array<struct<method:array<{_METHOD}>>>,method:array<{_METHOD}>"
+#: Groups inside groups that a report may have; deeper ones are an error.
+GROUPS = 8
+
+
+def _report_type() -> str:
+    level = f"{_BLOCK},package:array<struct<{_BLOCK}>>,group:array<string>"
+    for _ in range(GROUPS):
+        level = f"{_BLOCK},package:array<struct<{_BLOCK}>>,group:array<struct<{level}>>"
+    return f"struct<{level}>"
+
+
+def _methods(element, depth: int = GROUPS):
+    """All methods of a report, group or package as one array: its own, those of its classes, packages and groups."""
+    empty = F.array().cast(f"array<{_METHOD}>")
+    some = lambda c: F.coalesce(c, empty)
+    within = lambda c, f: some(F.flatten(F.transform(c, f)))
+    of_block = lambda x: F.concat(some(x["method"]), within(x["class"], lambda c: some(c["method"])))
+    parts = [of_block(element), within(element["package"], of_block)]
+    if depth:
+        parts.append(within(element["group"], lambda g: _methods(g, depth - 1)))
+    else:
+        parts.append(F.when(F.size(F.coalesce(element["group"], F.array())) > 0, F.raise_error(F.lit(f"a report has groups inside {GROUPS} groups"))).otherwise(empty).cast(f"array<{_METHOD}>"))
+    return F.concat(*parts)
+
+
 def coverage_methods(reports: DataFrame, xml_col: str = "report") -> DataFrame:
-    """The other columns of reports, and (pos, method_name, covered, missed) of each method in document order; line counters only."""
+    """The other columns of reports, and (pos, method_name, covered, missed) of each method in document order; line counters only.
+
+    Reports are parsed as XML; one that isn't well formed has no methods.
+    """
     keep = [c for c in reports.columns if c != xml_col]
-    clean = F.regexp_replace(xml_col, "(?s)<!DOCTYPE.*?>", "")
-    parts = reports.select(*keep, F.posexplode(F.regexp_extract_all(clean, F.lit("(?s)<method\\b[^>]*?(?:/>|>.*?</method>)"), F.lit(0))).alias("pos", "m"))
-    counter = F.regexp_extract("m", '<counter\\b[^>]*type="LINE"[^>]*>', 0)
-    number = lambda n: F.regexp_extract(counter, f'\\b{n}="([0-9]+)"', 1).cast("bigint")
-    return parts.where(counter != "").select(*keep, F.col("pos").cast("bigint").alias("pos"), _unescaped(F.regexp_extract("m", '\\A<method\\b[^>]*?\\bname="([^"]*)"', 1)).alias("method_name"), number("covered").alias("covered"), number("missed").alias("missed"))
+    parsed = reports.select(*keep, F.from_xml(F.regexp_replace(xml_col, "(?s)<!DOCTYPE[^>\\[]*(\\[.*?\\])?\\s*>", ""), _report_type()).alias("x_"))
+    each = parsed.where("x_ is not null").select(*keep, F.posexplode(_methods(F.col("x_"))).alias("pos", "m_"))
+    line = F.get(F.filter(F.col("m_.counter"), lambda c: c["_type"] == "LINE"), F.lit(0))
+    return each.select(*keep, F.col("pos").cast("bigint").alias("pos"), F.col("m_._name").alias("method_name"), line["_covered"].alias("covered"), line["_missed"].alias("missed")).where("covered is not null and missed is not null")
 
 
 def read_coverage_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -141,10 +170,6 @@ def read_coverage_xml(spark: SparkSession, path: str) -> DataFrame:
     return coverage_methods(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("report"), "value"), "value")
 
 
-def _unescaped(x):
-    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")), x)
-
-
 def read_registry(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
     """model -> split -> path, of the small YAML file `models: {name: {processed_train: path, ...}}`, wherever Spark can read it.
 

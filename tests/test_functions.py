@@ -403,3 +403,94 @@ def test_arrays_in_splits(spark, tmp_path):
     assert sorted((x.original_idx, x.prediction) for x in readers.read_predictions(small, str(tmp_path / "short.json")).collect()) == [(2, "c"), (7, "a")]
     (tmp_path / "single.json").write_text('"only, one"')
     assert [(x.original_idx, x.prediction) for x in readers.read_predictions(small, str(tmp_path / "single.json")).collect()] == [(0, "only, one")]
+
+
+# --- long texts, shapes, stores --------------------------------------------------------------------------------------
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@given(st.text("abé日\U0001f600", max_size=60), st.text("abé日\U0001f600", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_long_distance_is_exact(a, b):
+    want = _edits(a, b)
+    assert metrics.long_distance(a, b) == want
+    assert metrics._bit_parallel(*sorted((a, b), key=len)) == want
+
+
+def test_edit_distance_of_all_predictions_in_unicode(spark, sf_dir, monkeypatch):
+    from corpusmill.plans.fixtures import view
+
+    rows = view(spark, sf_dir, "predictions").where("length(prediction) < 500 and length(reference) < 500").select("idx", "prediction", "reference")
+    want = {r.idx: _edits(r.prediction, r.reference) for r in rows.collect()}
+    assert any(not r.prediction.isascii() for r in rows.collect())
+    for limit in (metrics.QUADRATIC, 0):  # by the JVM's program, and by the one for long texts
+        monkeypatch.setattr(metrics, "QUADRATIC", limit)
+        assert {r.idx: r.d for r in rows.select("idx", metrics.distance(F.col("prediction"), F.col("reference")).alias("d")).collect()} == want
+
+
+def test_edit_distance_of_long_texts(spark):
+    """100,000 characters with 60 edits, and two texts that have little in common."""
+    import random
+    import time
+
+    r = random.Random(3)
+    a = "".join(r.choice("abcdefgh é") for _ in range(100_000))
+    b = list(a)
+    for k in range(20):
+        b[5_000 * k + 17] = "#"
+        b.insert(5_000 * k + 400, "+")
+        del b[5_000 * k + 900]
+    df = spark.createDataFrame([(a, "".join(b)), (a[:3_000], a[50_000:53_000])], "a string, b string").select(metrics.distance(F.col("a"), F.col("b")).alias("d"))
+    began = time.time()
+    got = [x.d for x in df.collect()]
+    assert got[0] == 60 and got[1] == _edits(a[:3_000], a[50_000:53_000]) and time.time() - began < 60
+
+
+def test_distinct_sources_are_asked_once(spark, tmp_path):
+    """The store has a row for each question that was put: as many as distinct candidates; none is added by a second run or by other rows with the same sources."""
+    good, bad = "class GeneratedTest { @Test void t() { } }", "class GeneratedTest { @Test void t() { int x = 1; x.y(); } }"
+    texts = [good] * 40 + [bad] * 20 + [good.replace("t()", f"t{i % 3}()") for i in range(30)] + ["", "undefined", None]
+    ev = spark.createDataFrame(list(enumerate(texts)), "idx long, prediction string").repartition(4)
+    store = str(tmp_path / "store")
+    put = lambda task: spark.read.parquet(f"{store}/{task}").count()
+    plain = {r.idx: (r.status, r.msg) for r in workers.compile_java(ev).collect()}
+    assert {r.idx: (r.status, r.msg) for r in workers.compile_java(ev, store=store).collect()} == plain
+    assert put("compile") == 5 and plain[0][0] == "HARD_PASS" and plain[41][0] == "HARD_FAIL" and plain[90][1] == "trivial reject"
+    again = ev.withColumn("idx", F.col("idx") + 1000)
+    assert workers.compile_java(again, store=store).count() == len(texts) and put("compile") == 5
+    workers.compile_java(ev, classpath="/no/such.jar", store=store).count()
+    assert put("compile") == 10  # another class path asks other questions
+    for _ in range(2):
+        parsed = {r.idx: r.parse_ok for r in workers.parse_java(ev, store=store).collect()}
+    assert put("parse") == 5 and parsed[0] and not parsed[91] and sum(parsed.values()) == 90
+
+
+def test_code_matches_by_shape(spark):
+    one, two = "class A { int f(int a) { int b = a; return b; } }", "class B { int g(int c) { int d = c; return d; } }"
+    ev = spark.createDataFrame([(0, one, two), (1, one, one), (2, "class A { }", one), (3, None, one), (4, one, None)], "idx long, prediction string, reference string")
+    got = {r.idx: (r.tree_hit, r.tree_all, r.flow_hit, r.flow_all) for r in workers.code_matches(ev).collect()}
+    assert got[0] == got[1] and got[0][0] == got[0][1] > 0 and got[0][2:] == (1, 1)  # names don't count
+    assert got[2][0] < got[2][1] == got[0][1] and got[2][2:] == (0, 1) and got[3][1] == got[0][1]
+
+
+def test_reports_with_groups_comments_and_cdata(spark):
+    counter = lambda m, c, kind="LINE": f'<counter type="{kind}" missed="{m}" covered="{c}"/>'
+    method = lambda n, *cs: f'<method name="{n}" desc="()V" line="3">{"".join(cs)}</method>'
+    report = f"""<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE report PUBLIC "-//X//DTD" "report.dtd"><report name="r"><sessioninfo id="a" start="1" dump="2"/>
+    <!-- {method('no', counter(9, 9))} --><group name="g"><group name="h"><package name="p"><class name="p/C" sourcefilename="C.java">
+    {method('&lt;init&gt;', counter(1, 2, 'BRANCH'), counter(0, 3))}<![CDATA[{method('nor', counter(8, 8))}]]>{method('run', counter(4, 5))}{method('none', counter(1, 1, 'BRANCH'))}
+    </class><sourcefile name="C.java"><line nr="1" mi="0" ci="1"/>{counter(7, 7)}</sourcefile>{counter(6, 6)}</package></group></group></report>"""
+    df = spark.createDataFrame([(1, report), (2, "<report><class name='C'><method name='x'>"), (3, None), (4, "<report/>")], "idx long, report string")
+    got = [(r.idx, r.method_name, r.covered, r.missed) for r in readers.coverage_methods(df).orderBy("idx", "pos").collect()]
+    assert got == [(1, "<init>", 3, 0), (1, "run", 5, 4)]
+    deep = "<group name='g'>" * 12 + "<package name='p'/>" + "</group>" * 12
+    with pytest.raises(Exception, match="groups"):
+        readers.coverage_methods(spark.createDataFrame([(1, f"<report>{deep}</report>")], "idx long, report string")).collect()

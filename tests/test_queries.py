@@ -1,6 +1,6 @@
 import pytest
 
-from corpusmill.plans import io_queries  # noqa: F401  registers its queries
+from corpusmill.plans import derived_queries, io_queries  # noqa: F401  register their queries
 from corpusmill.plans.queries import ORACLES, QUERIES
 from tests.compare import same_rows
 
