@@ -4,7 +4,8 @@ Every task cuts its documents into shards of about SHARD words and builds a suff
 shard's word sequence, by prefix doubling over word hashes (only suffixes that are not yet alone in their group are
 sorted again), with a stop at each document's end. Every suffix of every test item is then binary-searched in it as far as its window
 (`window` words, or the whole item if that is shorter): the interval of suffixes that begin with its first word is narrowed word by
-word, all distinct windows at once, which gives all locations of each. A located window is confirmed on the words' 64-bit hashes and
+word, all distinct windows at once, which gives all locations of each. Before that, windows with two neighbouring words that are nowhere neighbours in the
+shard are ruled out by a table of the shard's pairs, so that the search follows the windows that may be there and not the benchmark. A located window is confirmed on the words' 64-bit hashes and
 lengths, marks its words and contaminates its document.
 
 The longest verbatim match of a document begins where one of its windows does, so each such place is looked up among the sorted test
@@ -14,7 +15,7 @@ depends on the document and the benchmark alone, not on what shares its shard or
 
 Documents never leave their task, so there is no shuffle and no skew, and a lost executor repeats only its own shards.
 The test items are sent in blocks of about BLOCK_BYTES of text (or one item, if that is longer), each a broadcast of its own; a shard is
-sorted once and searched for one block after another, of which a task holds one at a time.
+sorted once and searched for one block after another, of which a task holds one at a time; TOGETHER shards meet a block when it has been read.
 
 Defined cases: null, empty and blank texts have no words and are clean; null or blank items match nothing; equal items
 each count; of equally long matches the first in the text is named, and of the items that hold it the one with the least ID (as a
@@ -37,6 +38,8 @@ from corpusmill.llm.common import fresh
 WINDOW = 10
 SHARD = 1 << 20
 BLOCK_BYTES = 8 << 20
+#: Shards that meet a block together, and the size of a shard's table of neighbouring words.
+TOGETHER, PAIR_BITS = 4, 22
 
 _FIELDS = pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("test_item", pa.string()), ("test_word", pa.int64()), ("at_word", pa.int64())])
 _DDL = "n_words:bigint,hit:array<struct<start:bigint,end:bigint>>,items:array<string>,longest:bigint,test_item:string,test_word:bigint,at_word:bigint"
@@ -170,6 +173,7 @@ class TestSet:
         run = Run(hashes, self.left)
         _, first, which = np.unique(mix(run.stretch(begins, need)) ^ need.astype(np.uint64), return_index=True, return_inverse=True)
         self.first, self.need = begins[first], need[first]  # of each distinct window
+        self.pairs = pair_places(self.codes)
         pairs = np.unique(np.stack([which.reshape(-1), self.item[begins]], axis=1), axis=0)
         self.owner = pairs[:, 1]  # items of window u: owner[of[u] : of[u + 1]]
         self.of = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
@@ -215,6 +219,14 @@ class TestSet:
         return np.array([self.order[x:y].min() for x, y in zip(a.tolist(), b.tolist())], np.int64)
 
 
+def pair_places(codes: np.ndarray) -> np.ndarray:
+    """For each word the place of it and its successor in a table of PAIR_BITS bits; for the last one that of it alone."""
+    from corpusmill.llm.words import mix
+
+    nxt = np.concatenate([codes[1:], np.zeros(1, codes.dtype)])
+    return (mix(codes * np.uint64(0x9E3779B97F4A7C15) + nxt) >> np.uint64(64 - PAIR_BITS)).astype(np.int32)
+
+
 def narrow(hashes: np.ndarray) -> np.ndarray:
     """32-bit word numbers, never 0; equal words have equal numbers, and located matches are confirmed on bytes."""
     return np.maximum(hashes >> np.uint64(32), np.uint64(1))
@@ -237,17 +249,17 @@ def _scan(shared: list, window: int):
 
         for batch in batches:
             h, s, e, at = hash_words(*text_bytes(batch.column(batch.num_columns - 1)), ALNUM)
-            out = []
-            for i, j in _shards(at):
-                a, b = at[i], at[j]
-                shard = Shard(h[a:b], e[a:b] - s[a:b], at[i : j + 1] - a, window)
-                found = None
-                for block in shared:
-                    more = shard.matches(block.value)
-                    found = more if found is None else [*map(_merge, found, more)]
+            out, ranges = [], [*_shards(at)]
+            for first in range(0, len(ranges), TOGETHER):
+                shards = [Shard(h[at[i] : at[j]], e[at[i] : at[j]] - s[at[i] : at[j]], at[i : j + 1] - at[i], window) for i, j in ranges[first : first + TOGETHER]]
+                found: list[list[dict] | None] = [None] * len(shards)
+                for block in shared:  # read once for these shards
+                    for k, shard in enumerate(shards):
+                        more = shard.matches(block.value)
+                        found[k] = more if found[k] is None else [*map(_merge, found[k], more)]
                     if len(shared) > 1:
                         vars(block).pop("_value", None)  # one block in memory at a time
-                out += found
+                out += [m for part in found for m in part]
             yield pa.record_batch([*batch.columns[:-1], pa.array(out, _FIELDS)], names=[*batch.schema.names[:-1], "matches"])
 
     return run
@@ -281,17 +293,31 @@ class Shard:
         self.words[np.arange(len(hashes)) + self.doc] = narrow(hashes)
         self.firsts = at[:-1] + np.arange(len(self.count))
         self.order = suffix_array(self.words, depth)
+        self.pairs = np.zeros(1 << PAIR_BITS, bool)
+        self.pairs[pair_places(self.words)] = True
+
+    def possible(self, tests: TestSet) -> np.ndarray:
+        """The windows of which every pair of neighbouring words is a pair of neighbours here, too: most have been ruled out after one or two look-ups."""
+        live = np.arange(len(tests.first))
+        for k in range(int(tests.need.max(initial=1)) - 1):
+            more = tests.need[live] > k + 1
+            keep = ~more
+            keep[more] = self.pairs[tests.pairs[tests.first[live[more]] + k]]
+            live = live[keep]
+        return live
 
     def matches(self, tests: TestSet) -> list[dict]:
         n = len(self.hashes)
         out = [{"n_words": int(c), "hit": [], "items": [], "longest": None, "test_item": None, "test_word": None, "at_word": None} for c in self.count]
-        interval = search(self.words, self.order, tests.codes, tests.first, tests.need)
+        live = self.possible(tests)
+        interval = search(self.words, self.order, tests.codes, tests.first[live], tests.need[live])
         size = interval[:, 1] - interval[:, 0]
-        window = np.repeat(np.arange(len(size)), size)
+        row = np.repeat(np.arange(len(size)), size)
+        window = live[row]
         if not len(window):
             return out
         # every place of every window, as a word of the shard
-        place = self.order[np.arange(len(window)) - np.repeat(np.cumsum(size) - size, size) + interval[window, 0]]
+        place = self.order[np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + interval[row, 0]]
         word = place - (np.searchsorted(self.firsts, place, "right") - 1)
         need, first = tests.need[window], tests.first[window]
         same = np.ones(len(word), bool)
