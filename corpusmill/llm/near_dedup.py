@@ -177,17 +177,27 @@ def _prefixer(size: int, percent: int, counts):
     return run
 
 
+def _salted(pairs: DataFrame, one: str, other: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """pairs with a column salt_<one>, in which classes with a large share of the pairs are dealt over SALTS places, and those classes (one, salts)."""
+    heavy = pairs.groupBy(one).agg(F.count("*").alias("n")).where(F.col("n") * HEAVY >= max(total, HEAVY * HEAVY)).select(one, F.lit(SALTS).alias("salts"))
+    heavy = F.broadcast(materialise(heavy.coalesce(1), "heavy-classes"))  # HEAVY rows at most
+    dealt = pairs.join(heavy, one, "left").withColumn(f"salt_{one}", F.pmod(F.xxhash64(other), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return dealt, heavy
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are as similar as percent. A class with a large share of the pairs is met in
+    """The pairs (a, b) of classes whose full sets are as similar as percent. A class with a large share of the pairs, on either side, is met in
     SALTS places: its text is copied to each, its pairs are dealt over them."""
     total = pairs.count()
-    heavy = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") * HEAVY >= max(total, HEAVY * HEAVY)).select("a", F.lit(SALTS).alias("salts"))
-    heavy = F.broadcast(materialise(heavy.coalesce(1), "heavy-classes"))  # HEAVY rows at most
-    dealt = pairs.join(heavy, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    first = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")).join(heavy, "a", "left")
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    second = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-    joined = dealt.join(second, "b").join(first, ["a", "salt"]).select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+    dealt, heavy_a = _salted(pairs, "a", "b", total)
+    dealt, heavy_b = _salted(dealt, "b", "a", total)
+
+    def side(one: str, heavy: DataFrame) -> DataFrame:
+        mine = texts.select(F.col("digest").alias(one), F.col("text").alias(f"text_{one}")).join(heavy, one, "left")
+        return mine.withColumn(f"salt_{one}", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
+    met = dealt.join(side("b", heavy_b), ["b", "salt_b"]).join(side("a", heavy_a), ["a", "salt_a"])
+    joined = met.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
     return joined.mapInArrow(_verifier(size, percent), "a binary, b binary")
 
 
