@@ -3,6 +3,10 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. A document whose every word is a later copy of lines
 elsewhere is gone after line dedup; n_chars follows the text.
+
+Defined cases, stage by stage as its operator defines them: a null, empty or blank text has fewer than 50 words and goes with the quality rules; rows without doc_id stay and are ordered before
+all others; rows that repeat go as far as the near dedup together, where one document of each group stays (all its equal rows); ties go to the least doc_id; a
+very long text is one document up to the packing, which cuts it; an empty table gives empty tables; further columns are carried to the packing, whatever their names.
 """
 
 from __future__ import annotations

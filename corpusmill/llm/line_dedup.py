@@ -125,6 +125,21 @@ def repeated_lines(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     return later_copies(suffix_array(docs, key_col, text_col, min_words)).groupBy("key", "digest").agg(cut.alias("cut"))
 
 
+def repeated_runs(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, digest, first, last, n_lines, n_words): the maximal runs of lines that later copies cover, one row each; the unions of overlapping or adjoining members.
+
+    first and last are places among all lines of the text; n_lines and n_words count lines that have words, and their words.
+    """
+    cuts = repeated_lines(docs, key_col, text_col, min_words).select("key", "digest", F.explode("cut").alias("at"))
+    place = F.row_number().over(Window.partitionBy("key", "digest").orderBy("at"))
+    runs = cuts.withColumn("run", F.col("at") - place).groupBy("key", "digest", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    own = docs.select(docs[key_col].alias("key"), F.xxhash64(docs[text_col]).alias("digest"), docs[text_col].alias("text")).where("text is not null").dropDuplicates(["key", "digest"])
+    on = own["key"].eqNullSafe(runs["key"]) & (own["digest"] == runs["digest"])
+    lines = F.filter(F.transform(F.slice(F.split("text", "\n"), F.col("first") + 1, F.col("last") - F.col("first") + 1), lambda x: F.regexp_count(x, F.lit(WORD))), lambda w: w > 0)
+    found = runs.join(own, on).select(runs["key"], runs["digest"], "first", "last", lines.alias("w"))
+    return found.select("key", "digest", "first", "last", F.size("w").alias("n_lines"), F.aggregate("w", F.lit(0), lambda a, x: a + x).alias("n_words"))
+
+
 def dedup_lines(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later copies of repeated runs cut from the text, and a new column `removed_lines`: how many lines went."""
     removed, digest = fresh("removed_lines", docs), fresh("digest", docs)

@@ -69,6 +69,16 @@ def labelled_urls() -> tuple[tuple[str, str, int], ...]:
     return tuple(rows)
 
 
+def labelled_from(urls: DataFrame, url_col: str = "url", label_col: str = "bad", max_rows: int = 20_000) -> list[tuple[str, str, int]]:
+    """Rows for `labelled` of filter_urls() from a table of labelled URLs: at most max_rows of them, the least by a hash of the URL; null labels are left out.
+
+    This is what the model is for: the built-in table knows only the words it is made of.
+    """
+    host, path = host_and_path(urls[url_col])
+    rows = urls.where(urls[label_col].isNotNull()).select(host.alias("h"), path.alias("p"), urls[label_col].cast("int").alias("y"), F.xxhash64(urls[url_col]).alias("at"))
+    return [(r.h, r.p, r.y) for r in rows.orderBy("at", "h", "p", "y").limit(max_rows).collect()]
+
+
 def _grams(host: str, path: str) -> np.ndarray:
     """Buckets of the character n-grams of host and path, each with marks for its ends."""
     import xxhash

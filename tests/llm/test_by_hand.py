@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, near_dedup, packing, pii, quality_classifier, url_filter
 from corpusmill.llm.common import table
@@ -182,3 +183,115 @@ def test_method_spans_keep_the_base(spark, sf_dir):
         spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
         assert set(base_by_hand(r.text or "")) <= set(spans) and [s[1] for s in spans] == sorted(s[1] for s in spans)
         assert {k for k, _, _ in spans} <= set(pii.KINDS)
+
+
+# --- 8 ---------------------------------------------------------------------------------------------------------------
+
+
+def _views(docs, labels):
+    """Features of all documents and their labels, without Spark."""
+    import pyarrow as pa
+
+    frame, told = docs.toPandas(), {r.doc_id: r.quality for r in labels.collect()}
+    x = np.hstack([quality_classifier.text_features(pa.array(frame["text"], pa.string())), quality_classifier.meta_features(frame["source"].tolist(), frame["lang"].tolist(), frame["n_chars"].tolist())])
+    return frame["doc_id"].to_numpy(), x.astype(np.float16).astype(np.float32), np.array([told.get(i, -1) for i in frame["doc_id"]])
+
+
+def _sure(x, models):
+    """For each view that is taught: its rows of which the other view is sure, and their labels."""
+    views, q = (x[:, : quality_classifier.N_TEXT], x[:, quality_classifier.N_TEXT :]), quality_classifier
+    for i, j in ((1, 0), (0, 1)):
+        z = q.odds(models[i], views[i])
+        yield np.vstack([views[j][z < -q.SURE], views[j][z > q.SURE]]), np.r_[np.zeros((z < -q.SURE).sum()), np.ones((z > q.SURE).sum())]
+
+
+def test_cells_are_all_the_sure_documents(spark, sf_dir):
+    """Sums and counts that one pass over the corpus gives, against all documents one by one."""
+    q, docs = quality_classifier, table(spark, sf_dir, "documents")
+    _, x, y = _views(docs, table(spark, sf_dir, "labels"))
+    r = np.random.default_rng(1)
+    models = [r.standard_normal(n + 1) * 3 for n in (q.N_TEXT, q.N_META)]
+    got = q.taught(q.features(docs.repartition(5)), *models)
+    for (means, labels, counts), (rows, want) in zip(got, _sure(x, models)):
+        assert {k: counts[labels == k].sum() for k in (0, 1)} == {k: (want == k).sum() for k in (0, 1)} and len(means) <= 2 * q.CELLS
+        for k in (0, 1):
+            np.testing.assert_allclose((means[labels == k] * counts[labels == k][:, None]).sum(0), rows[want == k].sum(0), rtol=1e-3, atol=1e-2)
+
+
+def test_co_training_on_cells_against_all_rows(spark, sf_dir):
+    """The whole query against co-training in which every sure document is a row of its own."""
+    q, docs, labels = quality_classifier, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ids, x, y = _views(docs, labels)
+    order = {r.id: r.place for r in docs.selectExpr("doc_id AS id", "xxhash64(doc_id) AS place").collect()}
+    known = np.array(sorted(np.flatnonzero(y >= 0), key=lambda i: (order[ids[i]], ids[i])))
+    pool = np.flatnonzero(y < 0)
+    plain = q.co_train(x[known], y[known].astype(float), lambda text, meta: tuple((rows, said, np.ones(len(said))) for rows, said in _sure(x[pool], (text, meta))))
+    want = dict(zip(ids.tolist(), plain.score(x[:, : q.N_TEXT], x[:, q.N_TEXT :])[:, 2]))
+    got = {r.doc_id: (r.score, r.kept) for r in q.op8_quality_classifier(docs, labels).collect()}
+    assert np.mean([abs(got[i][0] - w) for i, w in want.items()]) < 0.05
+    assert np.mean([got[i][1] == (w >= 0.2) for i, w in want.items()]) > 0.95
+
+
+# --- 6 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_repeated_runs_with_their_lengths(spark):
+    """Maximal runs of lines that later copies cover, by longest previous factors in plain Python."""
+    from corpusmill.llm import line_dedup
+
+    r = random.Random(9)
+    pool = [" ".join(f"w{k}" for k in range(r.randint(1, 9))) + f" l{i}" for i in range(7)]
+    for least in (6, 15):
+        docs = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 16)))) for i in range(30)]
+        seqs = [t.split("\n") if t else [] for _, t in docs]
+        want = set()
+        for d, own in enumerate(seqs):
+            covered = set()
+            for s in range(len(own)):
+                for e in range(d + 1):
+                    for p in range(len(seqs[e]) if e < d else s):
+                        m = 0
+                        while s + m < len(own) and p + m < len(seqs[e]) and own[s + m] == seqs[e][p + m]:
+                            m += 1
+                        if sum(len(x.split()) for x in own[s : s + m]) >= least:
+                            covered |= set(range(s, s + m))
+            for a in sorted(covered):
+                if a - 1 not in covered:
+                    b = next(x for x in range(a, len(own) + 1) if x not in covered)
+                    want.add((d, a, b - 1, b - a, sum(len(x.split()) for x in own[a:b])))
+        got = line_dedup.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), min_words=least)
+        assert {(x.key, x.first, x.last, x.n_lines, x.n_words) for x in got.collect()} == want and want
+
+
+def test_labelled_urls_from_a_table(spark):
+    """A model of other labels knows other words; the sample is bounded and the same each time."""
+    rows = [(f"http://zq{'brakkel' if i % 2 else 'wumpo'}{i}.example/{i}", i % 2) for i in range(60)] + [("http://null.example/", None)]
+    urls = spark.createDataFrame(rows, "url string, bad int")
+    labelled = url_filter.labelled_from(urls)
+    assert len(labelled) == 60 and labelled == url_filter.labelled_from(urls.repartition(7)) and len(url_filter.labelled_from(urls, max_rows=7)) == 7
+    pages = spark.createDataFrame([(1, "http://brakkel.example/x"), (2, "http://wumpo.example/y")], "page_id long, url string")
+    assert {r.id: r.verdict for r in url_filter.filter_urls(pages, labelled=labelled).collect()} == {1: "block", 2: "allow"}
+
+
+# --- pipeline --------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_of_hard_and_of_no_rows(spark, hard_docs, no_docs, sf_dir):
+    """Nulls, blanks, long texts, repeated rows and clashing columns go through all stages; all but the last keep the columns."""
+    import corpus_pipeline
+    from corpusmill.llm.common import materialise
+
+    from corpusmill.llm import quality_rules
+
+    clean = decontaminate.decontaminate(quality_rules.filter_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).where("n_chars < 3000").orderBy(F.desc("n_chars")).limit(2).collect()
+    good, other = (x.text for x in clean)
+    more = spark.createDataFrame([(100, good), (100, good), (101, good), (None, other)], "doc_id long, text string")
+    for docs, empty in ((hard_docs.unionByName(more, allowMissingColumns=True), False), (no_docs, True)):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = materialise(stage(spark, docs, sf_dir), f"hard-{name}")
+            assert docs.columns == columns, name
+        kept = Counter((x.doc_id, x.text) for x in docs.select("doc_id", "text").collect())
+        assert empty or (kept[100, good] == 2 and not any(i == 101 for i, _ in kept) and all(t and len(t.split()) >= 50 for _, t in kept))
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+        assert (packed.count() == 0) == empty and (empty or {x.doc_id for x in packed.collect()} == {i for i, _ in kept})
