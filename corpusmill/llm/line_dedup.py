@@ -13,9 +13,9 @@ the earliest copy, and each other one is known from the longest common prefix wi
 repeated runs of maximal length are the unions of overlapping members: a run of min_words words or more is covered by such prefixes, forwards from each of
 its lines and backwards from each, as far as they fit. Those of the later copies are deleted.
 
-Skew. The sort is dealt by ranges of (rank, document, place), so a run that a third of all documents share is spread over as many
-ranges as its rows fill; nothing is joined or grouped by rank. A range's first suffix finds its predecessor, the last of
-the range before it, in a table of two rows for each range. Cuts come back to the documents by one join on the document.
+Skew. The sort is one exchange by ranges of the rank. A rank with a thousandth of all suffixes or more (one pass finds them, without a shuffle) is dealt over all ranges, so a run that
+a third of all documents share is spread; the first of its suffixes in each range are compared once more, a row for each such rank and range.
+Cuts come back to the documents by one join on the document.
 
 Defined cases: null text stays null; empty texts and texts without repeated runs come back as they are; of equal texts
 the one with the smallest key keeps its lines (null key first); rows equal in key and text count as one document and share its
@@ -94,28 +94,39 @@ def _ranked_windows(text: Column, min_words: int) -> Column:
 ORDER = ("a", "b", "key", "digest", "lo")
 
 
+#: Ranges of the order for each shuffle partition, and the share of all rows from which on a rank is heavy.
+RANGES, HEAVY_SHARE = 8, 0.001
+
+
 def suffix_array(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(a, b, key, digest, lo, hi, m, part): suffixes with their rank (a, b), in ranges `part` of the order of ORDER.
+    """(a, b, key, digest, lo, hi, m, heavy, part): suffixes with their rank (a, b), in ranges `part` of a.
 
-    A row stands for the m lines from place lo to place hi of a document.
+    A row stands for the m lines from place lo to place hi of a document. Ranks are uniform, so ranges are equal parts of their numbers; the rows of a heavy rank, of which there are
+    1 / HEAVY_SHARE at most (and as many that only seem so), are dealt over all ranges.
     """
     keyed = docs.select(docs[key_col].alias("key"), F.xxhash64(docs[text_col]).alias("digest"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
     ranked = materialise(keyed.select("key", "digest", F.inline(_ranked_windows(F.col("text"), min_words))), "line-suffixes")
-    return ranked.repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id())
+    parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = ranked.stat.freqItems(["a"], HEAVY_SHARE).first()[0]  # bounded by the share, in one pass without a shuffle
+    heavy = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in often or []], "a bigint").withColumn("heavy", F.lit(True)))
+    rows = ranked.join(heavy, "a", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    own = F.shiftright((F.shiftright("a", 40) + F.lit(1 << 23)) * parts, 24)
+    return rows.withColumn("part", F.when(F.col("heavy"), F.pmod(F.xxhash64("key", "digest", "lo"), F.lit(parts))).otherwise(own))
 
 
 def later_copies(suffixes: DataFrame) -> DataFrame:
     """(key, digest, lo, hi) of the suffixes whose longest common prefix with their predecessor is all of their m lines."""
     me = F.struct(*(F.col(c) for c in ORDER))
-    own = Window.partitionBy("part").orderBy(*ORDER)
+    same = lambda before: (before["a"] == F.col("a")) & (before["b"] == F.col("b"))
     # lcp: lines in common with the predecessor, as far as they matter; a repeated row is no predecessor of its like
-    common = lambda before: F.when((before["a"] == F.col("a")) & (before["b"] == F.col("b")) & ~before.eqNullSafe(me), F.col("m")).otherwise(0)
-    ordered = suffixes.withColumns({"before": F.lag(me).over(own), "last": F.lead("a").over(own).isNull()})
-    ordered = ordered.withColumns({"lcp": common(F.col("before")), "edge": F.col("before").isNull()})
-    found = materialise(ordered.where("lcp = m or edge or last").drop("part"), "line-copies")
-    # the edges of ranges: two rows at most for each, whatever the corpus
-    edges = found.where("edge or last").withColumn("before", F.lag(me).over(Window.orderBy(*ORDER)))
-    across = edges.where("edge").withColumn("lcp", common(F.col("before"))).where("lcp = m")
+    common = lambda before: F.when(same(before) & ~before.eqNullSafe(me), F.col("m")).otherwise(0)
+    before = F.col("before")
+    ordered = suffixes.withColumn("before", F.lag(me).over(Window.partitionBy("part").orderBy(*ORDER)))
+    ordered = ordered.withColumns({"lcp": common(before), "edge": F.col("heavy") & ~F.coalesce(same(before), F.lit(False))})
+    found = materialise(ordered.where("lcp = m or edge").drop("part", "before"), "line-copies")
+    # the first rows of heavy ranks in each range: one for each rank and range, whatever the corpus
+    edges = found.where("edge").withColumn("before", F.lag(me).over(Window.partitionBy("a", "b").orderBy(*ORDER)))
+    across = edges.where(common(before) == F.col("m"))
     return found.where("lcp = m").select("key", "digest", "lo", "hi").union(across.select("key", "digest", "lo", "hi"))
 
 
