@@ -346,21 +346,23 @@ def _said(e: Exception) -> str:
     return f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"
 
 
-def run_metrics(ev: DataFrame, names: list[str] | None = None, cascade: bool = True) -> DataFrame:
+def run_metrics(ev: DataFrame, names: list[str] | None = None, cascade: bool = True, registry: dict[str, Metric] | None = None) -> DataFrame:
     """A row for each metric: metric, score, passed, n_in, pct_total (of all rows, for gates), error.
 
     With cascade, a gate narrows the rows of the metrics behind it: its flag joins their condition. Counts, gates and all metrics that are means come from
     one aggregation; any other metric is a job of its own over the rows of its condition. A metric that fails has its error in place of a score and the others go on.
+    registry: metrics in place of the registered ones.
     """
-    spark, names = ev.sparkSession, list(names or REGISTRY)
+    known = REGISTRY if registry is None else registry
+    spark, names = ev.sparkSession, list(names or known)
     for name in names:
-        if name not in REGISTRY:
+        if name not in known:
             raise ValueError(f"unknown metric: {name}")
     errors: dict[str, str] = {}
     rows_in: dict[str, Column] = {}
     alive = F.lit(True)
     for name in names:
-        rows_in[name], metric = alive, REGISTRY[name]
+        rows_in[name], metric = alive, known[name]
         try:
             if metric.mean is not None or metric.survives is not None:
                 metric.compute(ev)  # a column that isn't there is found without a job
@@ -374,18 +376,18 @@ def run_metrics(ev: DataFrame, names: list[str] | None = None, cascade: bool = T
         for i, name in enumerate(names):
             out.append(F.count_if(rows_in[name]).alias(f"n{i}"))
             if name in wanted:
-                metric = REGISTRY[name]
+                metric = known[name]
                 out.append(_ratio(F.col(f"mean{i}_")).alias(f"s{i}"))
                 out.append((F.lit(None).cast("long") if metric.survives is None else F.count_if(rows_in[name] & F.coalesce(metric.survives(), F.lit(False)))).alias(f"p{i}"))
         return out
 
-    single = [n for n in names if n not in errors and REGISTRY[n].mean is None]
-    means = [n for n in names if n not in errors and REGISTRY[n].mean is not None]
+    single = [n for n in names if n not in errors and known[n].mean is None]
+    means = [n for n in names if n not in errors and known[n].mean is not None]
     ev = ev.persist() if single else ev
     rows = []
     try:
         try:
-            each = ev.withColumns({f"mean{i}_": F.when(rows_in[n], REGISTRY[n].mean().cast("double")) for i, n in enumerate(names) if n in means})
+            each = ev.withColumns({f"mean{i}_": F.when(rows_in[n], known[n].mean().cast("double")) for i, n in enumerate(names) if n in means})
             found = each.agg(*sums(means)).first().asDict()
         except Exception:  # noqa: BLE001  one of the means fails on the rows: each for itself
             found, single, means = ev.agg(*sums([])).first().asDict(), single + means, []
@@ -393,7 +395,7 @@ def run_metrics(ev: DataFrame, names: list[str] | None = None, cascade: bool = T
             n_in, score, passed = found[f"n{i}"], found.get(f"s{i}"), found.get(f"p{i}")
             if name in single:
                 try:
-                    r = REGISTRY[name].compute(ev.where(rows_in[name])).first()
+                    r = known[name].compute(ev.where(rows_in[name])).first()
                     score, passed = float(r["score"]), r["passed"]
                 except Exception as e:  # noqa: BLE001
                     errors[name] = _said(e)

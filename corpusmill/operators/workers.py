@@ -143,7 +143,8 @@ def _answered(df: DataFrame, inputs: dict[str, Column], fields: dict[str, str],
     nothing = F.concat(F.lit("none-"), (F.monotonically_increasing_id() % 4096).cast("string"))
     keyed = df.withColumn("key_", F.when(some, content).otherwise(nothing))
     questions = df.select(F.when(some, content).alias("key"), *(c.alias(n) for n, c in zip(names, inputs.values()))).where("key is not null")
-    questions = questions.groupBy("key").agg(*(F.first(n).alias(n) for n in names))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    questions = questions.groupBy("key").agg(*(F.first(n).alias(n) for n in names)).repartition(tasks, "key")  # short, but each costs milliseconds
     own = [*inputs]
     put = lambda ask, x: work(ask, {n: x[f"in_{n}_"] for n in own})
     if store is None:

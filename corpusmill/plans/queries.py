@@ -402,14 +402,8 @@ UNION ALL SELECT 'exact_match', avg(e::INT)::DOUBLE, NULL, count(*), NULL, NULL
 def cascade_summary(spark, d):
     ev = view(spark, d, "predictions").withColumns({"a": F.length("prediction") % 3 != 0, "b": F.length("prediction") % 2 == 0})
     rate = lambda c: lambda df: df.agg(F.avg(F.col(c).cast("double")).alias("score"), F.count_if(c).alias("passed"))
-    known = dict(metrics.REGISTRY)
-    try:
-        metrics.register_metric("gate_a", rate("a"), lambda: F.col("a"))
-        metrics.register_metric("gate_b", rate("b"), lambda: F.col("b"))
-        return metrics.run_metrics(ev, ["gate_a", "gate_b", "exact_match"])
-    finally:
-        metrics.REGISTRY.clear()
-        metrics.REGISTRY.update(known)
+    gates_ = {f"gate_{c}": metrics.Metric(rate(c), lambda c=c: F.col(c), lambda c=c: F.col(c)) for c in ("a", "b")}
+    return metrics.run_metrics(ev, ["gate_a", "gate_b", "exact_match"], registry=metrics.REGISTRY | gates_)
 
 
 @query("SELECT idx, '```java' || chr(10) || 'class GeneratedTest { @Test void t' || length(p) || '() { } }' || chr(10) || '```' || chr(10) AS output, 'class GeneratedTest { @Test void t' || length(p) || '() { } }' AS prediction FROM (SELECT idx, rtrim(prompt, chr(10)) AS p FROM (SELECT idx, " + _CHATML + " AS prompt FROM chat_pairs))", "chat_pairs")

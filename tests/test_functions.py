@@ -272,7 +272,9 @@ def test_shell_commands(spark, tmp_path, monkeypatch, capsys):
     from corpusmill import __main__ as shell
 
     (tmp_path / "p.json").write_text(json.dumps([{"idx": i, "prompt": f"prompt {i}", "reference": "x"} for i in range(4)]))
-    assert shell.main(["infer", str(tmp_path / "p.json"), "corpusmill.operators.workers:echo_model", "--out", str(tmp_path / "out"), "--label", "m", "--n", "3", "--score"]) == 0
+    assert shell.main(["--log-dir", str(tmp_path / "logs"), "infer", str(tmp_path / "p.json"), "corpusmill.operators.workers:echo_model", "--out", str(tmp_path / "out"), "--label", "m", "--n", "3", "--score"]) == 0
+    (log,) = (tmp_path / "logs").iterdir()
+    assert log.name.startswith("infer-") and "predictions are in" in log.read_text() and "infer took" in log.read_text()
     assert spark.read.json(str(tmp_path / "out" / "label=m")).count() == 3
     assert "exact_match" in capsys.readouterr().out
 
