@@ -43,6 +43,8 @@ REACH = SEED - GRAM
 STEP = 5
 #: Rows of a bucket, and bytes that are worked on at once.
 BUCKET_ROWS, SLICE = 20_000, 1 << 20
+#: A range of names holds those of so many buckets at most, so its size doesn't follow the corpus.
+BUCKETS_A_RANGE = 8
 SEED_BITS = np.uint64(16)
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -338,7 +340,7 @@ def _finish(id_type: pa.DataType, table: pa.Table, answers: pa.Table) -> pa.Tabl
 
 
 def stored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, row, doc_id, text as bytes), a table in the shared folder that is dealt by bucket as it lies there."""
+    """(bucket, row, doc_id, text as bytes), a table in the shared folder that is dealt by bucket as it lies there. Its name is gone from the catalog at once, its files with the application."""
     spark = docs.sparkSession
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     bucket = F.spark_partition_id().cast("long") * (1 << 20) + F.floor(at / BUCKET_ROWS)
@@ -346,7 +348,9 @@ def stored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     name = f"corpusmill_texts_{uuid.uuid4().hex}"
     writer = rows.write.option("compression", "zstd").option("path", scratch_dir(spark, "texts"))
     writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").saveAsTable(name)
-    return spark.table(name)
+    texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external one: what was read of it stays
+    return texts
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,8 +359,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans: maximal runs of bytes (start, end) that later copies of WINDOW bytes cover; kept: the other bytes.
     """
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = stored(docs, id_col, text_col)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.select("bucket").distinct().count() // BUCKETS_A_RANGE)
     compare = lambda sent, level: materialise(sent.groupBy("kind", "range").applyInArrow(lambda t: _compare(level, t), ANSWER), f"repeats-{level}")
     known = compare(texts.groupBy("bucket").applyInArrow(lambda t: _send_seeds(ranges, t), SENT), -1)
     answers = known.limit(0)
