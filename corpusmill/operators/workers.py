@@ -280,6 +280,13 @@ def run_coverage(tests: DataFrame, junit_classpath: str, agent_jar: str, cli_jar
     return tests.select(F.col("idx").cast("bigint").alias("idx"), "test_src", "test_path", "focal_src", "focal_path").mapInPandas(run, "idx bigint, report string")
 
 
+def workspace_files(pairs: DataFrame) -> DataFrame:
+    """(rel_path, src): the files of each row's workspace, `<idx>/src/` for the focal class and `<idx>/tests/` for the test, for `write_java_files`."""
+    at = lambda folder, path: F.concat(F.col("idx").cast("string"), F.lit(f"/{folder}/"), F.col(path))
+    files = F.array(*(F.struct(at(folder, f"{kind}_path").alias("rel_path"), F.col(f"{kind}_src").alias("src")) for folder, kind in (("src", "focal"), ("tests", "test"))))
+    return pairs.select(F.inline(files))
+
+
 def _covered(row, junit: str, agent: str, cli: str, limit: int) -> str | None:
     with tempfile.TemporaryDirectory() as top:
         root = Path(top)

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import gates, java, java_scan
-from corpusmill.operators import metrics
+from corpusmill.operators import metrics, workers
+from corpusmill.plans import build
 from corpusmill.plans.fixtures import view
 from corpusmill.plans.io_queries import _13A
 from corpusmill.plans.queries import _FOLD, _GRAMS, _TYPES, _dealt, query
+from corpusmill.sources import writers
+from corpusmill.sources.scratch import scratch_dir
 
 
 def _pick(row: str, texts) -> str:
@@ -103,6 +106,31 @@ def classpath_of_rows(spark, d):
     return view(spark, d, "documents").select("doc_id", java.classpath(parts).alias("path"))
 
 
+_FILES = ("a/b/T{id}.class", "Z{id}.class", "a/T{id}$Inner.class", "a/b/notes{id}.txt", "c/d$e/U{id}.class")
+
+
+@query(f"""SELECT doc_id, list_sort(list_transform(list_filter(ps, lambda p: ends_with(p, '.class') AND NOT contains(split_part(p, '/', -1), '$')), lambda p: replace(left(p, length(p) - 6), '/', '.'))) AS names
+  FROM (SELECT doc_id, [{', '.join(_pick(p, _FILES) for p in _PLACES)}] AS ps FROM documents)""")
+def class_discovery(spark, d):
+    """Top classes among three files of five kinds."""
+    rows = _rows(spark, d, ps=f"array({', '.join(_pick(p, _FILES) for p in _PLACES)})")
+    return rows.select("doc_id", java.class_names(F.col("ps")).alias("names"))
+
+
+@query("""SELECT idx || '/src/C' || idx || '.java' AS path, 'class C' || idx || ' {' || chr(10) || '    int f() { return ' || idx || '; }' || chr(10) || '}' AS src FROM java_tests
+UNION ALL SELECT idx || '/tests/' || CASE WHEN starts_with(prediction, 'package a.b;') THEN 'a/b/' ELSE '' END || 'GenTest' || idx || '.java', NULL FROM java_tests WHERE prediction <> ''""", "java_tests")
+def workspace_sink(spark, d):
+    """Each test and its focal class as files of a workspace of their own, written and read again; the reader leaves out files without a byte."""
+    tests = view(spark, d, "java_tests").select(F.col("idx").alias("original_idx"), "prediction")
+    n = F.col("original_idx").cast("string")
+    focal = tests.select(F.col("original_idx").alias("idx"), F.concat(F.lit("class C"), n, F.lit(" { int f() { return "), n, F.lit("; } }")).alias("src"))
+    path = scratch_dir(spark, "workspaces")
+    writers.write_java_files(_dealt(workers.workspace_files(build.coverage_tests(tests, focal))), path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    own = F.regexp_extract("path", "/(-?[0-9]+/(?:src|tests)/.*)\\z", 1)
+    return files.select(own.alias("path"), F.when(own.contains("/src/"), F.decode("content", "UTF-8")).alias("src"))
+
+
 # --- scores ----------------------------------------------------------------------------------------------------------
 
 _GRAMS_13A = _GRAMS.replace("regexp_split_to_array(x, ", f"regexp_split_to_array({_13A.replace('prediction', 'coalesce(x, chr(32))')}, ")
