@@ -14,7 +14,7 @@ repeated runs of maximal length are the unions of overlapping members: a run of
 its lines and backwards from each, as far as they fit. Those of the later copies are deleted.
 
 Skew. The sort is one exchange by ranges of the rank. A rank with a thousandth of all suffixes or more (one pass finds them, without a shuffle) is dealt over all ranges, so a run that
-a third of all documents share is spread; the first of its suffixes in each range are compared once more, a row for each such rank and range.
+a third of all documents share is spread; the first of its suffixes in each range are held against the first of all, a row for each such rank and range.
 Cuts come back to the documents by one join on the document.
 
 Defined cases: null text stays null; empty texts and texts without repeated runs come back as they are; of equal texts
@@ -124,9 +124,10 @@ def later_copies(suffixes: DataFrame) -> DataFrame:
     ordered = suffixes.withColumn("before", F.lag(me).over(Window.partitionBy("part").orderBy(*ORDER)))
     ordered = ordered.withColumns({"lcp": common(before), "edge": F.col("heavy") & ~F.coalesce(same(before), F.lit(False))})
     found = materialise(ordered.where("lcp = m or edge").drop("part", "before"), "line-copies")
-    # the first rows of heavy ranks in each range: one for each rank and range, whatever the corpus
-    edges = found.where("edge").withColumn("before", F.lag(me).over(Window.partitionBy("a", "b").orderBy(*ORDER)))
-    across = edges.where(common(before) == F.col("m"))
+    # the first rows of heavy ranks in each range: one for each rank and range; all but the first of a rank are later copies
+    edges = found.where("edge")
+    firsts = F.broadcast(edges.groupBy("a", "b").agg(F.min(me).alias("first")))  # a row for each heavy rank: 1 / HEAVY_SHARE at most
+    across = edges.join(firsts, ["a", "b"]).where(~me.eqNullSafe(F.col("first")))
     return found.where("lcp = m").select("key", "digest", "lo", "hi").union(across.select("key", "digest", "lo", "hi"))
 
 
