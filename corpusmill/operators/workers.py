@@ -136,16 +136,15 @@ def _answered(df: DataFrame, inputs: dict[str, Column], fields: dict[str, str],
     store, a folder, answers are kept there and only new questions are put. Rows whose inputs are all null ask nothing and get nulls, without a
     join by a common key.
     """
-    spark = df.sparkSession
-    names = [f"in_{n}_" for n in inputs]
-    some = F.coalesce(*(F.when(c.isNotNull(), True) for c in inputs.values()), F.lit(False))
-    content = F.sha2(F.concat_ws("\u0001", F.lit(f"{task} {helper_version()}"), F.to_json(F.struct(*(c.alias(n) for n, c in inputs.items())))), 256)
+    spark, own = df.sparkSession, [*inputs]
+    names = [f"in_{n}_" for n in own]
+    some = F.coalesce(*(F.when(F.col(n).isNotNull(), True) for n in names), F.lit(False))
+    content = F.sha2(F.concat_ws("\u0001", F.lit(f"{task} {helper_version()}"), F.to_json(F.struct(*names))), 256)
     nothing = F.concat(F.lit("none-"), (F.monotonically_increasing_id() % 4096).cast("string"))
-    keyed = df.withColumn("key_", F.when(some, content).otherwise(nothing))
-    questions = df.select(F.when(some, content).alias("key"), *(c.alias(n) for n, c in zip(names, inputs.values()))).where("key is not null")
+    # written once: questions and rows come from the same inputs, whose expressions are long
+    keyed = materialise(df.select("*", *(c.alias(n) for n, c in zip(names, inputs.values()))).withColumn("key_", F.when(some, content).otherwise(nothing)), "java-inputs")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    questions = questions.groupBy("key").agg(*(F.first(n).alias(n) for n in names)).repartition(tasks, "key")  # short, but each costs milliseconds
-    own = [*inputs]
+    questions = keyed.where(some).groupBy(F.col("key_").alias("key")).agg(*(F.first(n).alias(n) for n in names)).repartition(tasks)  # short, but each costs milliseconds; by key it would be merged with the grouping, and coalesced
     put = lambda ask, x: work(ask, {n: x[f"in_{n}_"] for n in own})
     if store is None:
         answers = _asked(questions, names, fields, put)
