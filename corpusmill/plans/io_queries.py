@@ -111,7 +111,7 @@ def prediction_arrays_scan(spark, d):
         "columns": _array_file(rows.select("idx", string.alias("value")).unionByName(rows.agg(F.max("idx").alias("last")).crossJoin(rows).select((F.col("last") + 1 + F.col("idx")).alias("idx"), F.concat(F.when(F.col("idx") == 0, '], "original_idx": [').otherwise(""), F.col("idx").cast("string")).alias("value"))), "columns", '{"prediction": [', "]}"),
     }
     read = lambda small: reduce(lambda a, b: a.unionByName(b), [readers.read_predictions(small, p).select(F.lit(k).alias("shape"), "original_idx", "prediction") for k, p in files.items()])
-    return _read_in_splits(spark, read)
+    return _read_in_splits(spark, read, 256 << 10)
 
 
 @query("SELECT prediction, idx AS original_idx FROM predictions", "predictions")
