@@ -105,10 +105,14 @@ def prediction_arrays_scan(spark, d):
     """All predictions as one array of strings, of objects, and as an object of arrays, read in many splits."""
     rows = view(spark, d, "predictions").select("idx", "prediction")
     string = F.expr("substring(to_json(array(prediction)), 2, length(to_json(array(prediction))) - 2)")
+    strings = rows.select("idx", string.alias("value"))
+    ends = rows.agg(F.min("idx").alias("first"), F.max("idx").alias("last")).crossJoin(rows)
+    number = F.concat(F.when(F.col("idx") == F.col("first"), '], "original_idx": [').otherwise(""), F.col("idx").cast("string"))
+    behind = ends.select((F.col("last") + 1 + F.col("idx") - F.col("first")).alias("idx"), number.alias("value"))
     files = {
-        "strings": _array_file(rows.select("idx", string.alias("value")), "strings", "[\n "),
+        "strings": _array_file(strings, "strings", "[\n "),
         "objects": _array_file(rows.select("idx", F.to_json(F.struct("prediction", F.col("idx").alias("original_idx"), F.array(F.lit("],{"), F.lit('"')).alias("more"))).alias("value")), "objects"),
-        "columns": _array_file(rows.select("idx", string.alias("value")).unionByName(rows.agg(F.max("idx").alias("last")).crossJoin(rows).select((F.col("last") + 1 + F.col("idx")).alias("idx"), F.concat(F.when(F.col("idx") == 0, '], "original_idx": [').otherwise(""), F.col("idx").cast("string")).alias("value"))), "columns", '{"prediction": [', "]}"),
+        "columns": _array_file(strings.unionByName(behind), "columns", '{"prediction": [', "]}"),
     }
     read = lambda small: reduce(lambda a, b: a.unionByName(b), [readers.read_predictions(small, p).select(F.lit(k).alias("shape"), "original_idx", "prediction") for k, p in files.items()])
     return _read_in_splits(spark, read, 256 << 10)

@@ -125,13 +125,17 @@ def read_columns(spark: SparkSession, path: str, names: tuple[str, ...]) -> Data
     The keys are gathered on the driver: one for each array of each file.
     """
     found = pieces(spark, path, base=2).withColumn("value", _stripped("value"))
-    head = '\\A\\{?\\s*"((?:[^"\\\\]|\\\\.)*)"\\s*:\\s*\\[\\s*'
-    keys = found.select("file", "pos", F.regexp_extract("value", head, 1).alias("key")).where("key <> ''")
+    # escapes blanked out, by as many characters: a group that repeats over what a string holds would take a stack frame for each of its characters
+    blank = F.regexp_replace("value", "(?s)\\\\.", "\u0001\u0001")
+    head = '\\s*"([^"]*+)"\\s*:\\s*\\[\\s*'
+    named = lambda group: F.when(F.col("pos") == 0, F.regexp_extract(blank, f"\\A\\{{{head}", group)).otherwise(F.regexp_extract(blank, f"\\A{head}", group))
+    found = found.withColumn("head", F.length(named(0)))
+    keys = found.where("head > 0").select("file", "pos", named(1).alias("key"))
     span = keys.withColumn("until", F.lead("pos", 1, 1 << 62).over(Window.partitionBy("file").orderBy("pos"))).where(F.col("key").isin(*names))
     span = span.select(F.col("file").alias("file_"), F.col("pos").alias("begin"), "until", "key")
     on = (F.col("file") == F.col("file_")) & (F.col("pos") >= F.col("begin")) & (F.col("pos") < F.col("until"))
     rows = found.join(F.broadcast(span), on)  # a row for each name and file
-    bare = F.when(F.col("pos") == F.col("begin"), F.regexp_replace("value", head, "")).otherwise(F.col("value"))
+    bare = F.when(F.col("pos") == F.col("begin"), F.substr("value", F.col("head") + 1)).otherwise(F.col("value"))
     closed = F.when(F.col("pos") == F.col("until") - 1, True).otherwise(F.col("last"))
     bare = F.when(closed, F.regexp_replace(bare, "\\s*\\]\\s*\\}?\\z", "")).otherwise(bare)
     rows = rows.select("file", (F.col("pos") - F.col("begin")).alias("pos"), "key", bare.alias("value")).where("value <> ''")
