@@ -1,6 +1,6 @@
 """Operators that need a process of their own: Java parsing and compiling, coverage runs, text generation.
 
-One JVM serves a whole task and is told what to do over its standard input. Sources are only parsed and compiled, with a
+One JVM serves a Python worker and is told what to do over its standard input. Sources are only parsed and compiled, with a
 time limit for each. Whatever can be decided by column expressions is decided before, so that only candidates reach it.
 """
 
@@ -27,6 +27,8 @@ from corpusmill.sources.readers import exists
 from corpusmill.sources.scratch import materialise
 
 TIMEOUT_MS = 20_000
+#: The compiler's packages with the pool of tasks, which keeps symbols from one source to the next, and the form of its messages.
+EXPORTS = [x for p in ("api", "util") for x in ("--add-exports", f"jdk.compiler/com.sun.tools.javac.{p}=ALL-UNNAMED")]
 
 #: Sources that stand in for JUnit and Hamcrest where no class path is given: what tests name, without behaviour.
 JUNIT_STUBS = {
@@ -41,14 +43,21 @@ JUNIT_STUBS = {
 
 
 def _helper_classes(java: str) -> str:
-    """The folder of the helper's classes, compiled once for a user and machine; renamed into place whole, whoever is first."""
+    """The folder of the helper's classes, with those of JUNIT_STUBS in `stubs`, compiled once for a user and machine; renamed into place whole, whoever is first."""
     source = Path(__file__).with_name("JavaTool.java")
-    version = hashlib.sha256(source.read_bytes() + java.encode()).hexdigest()[:16]
+    version = hashlib.sha256(source.read_bytes() + java.encode() + repr(sorted(JUNIT_STUBS.items())).encode()).hexdigest()[:16]
     home = Path(tempfile.gettempdir()) / f"corpusmill-java-{os.getuid()}-{version}"
     if home.is_dir() and home.stat().st_uid == os.getuid():
         return str(home)
     own = tempfile.mkdtemp(prefix="corpusmill-java-")
-    subprocess.run([str(Path(java).with_name("javac")) if os.path.dirname(java) else "javac", "-proc:none", "-d", own, str(source)], check=True, capture_output=True)
+    javac = [str(Path(java).with_name("javac")) if os.path.dirname(java) else "javac", "-proc:none", "-d"]
+    subprocess.run([*javac, own, *EXPORTS, str(source)], check=True, capture_output=True)
+    with tempfile.TemporaryDirectory() as top:
+        for path, text in JUNIT_STUBS.items():
+            at = Path(top, path)
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_text(text)
+        subprocess.run([*javac, f"{own}/stubs", *(f"{top}/{p}" for p in JUNIT_STUBS)], check=True, capture_output=True)
     try:
         os.rename(own, home)
     except OSError:
@@ -64,7 +73,8 @@ class JavaTool:
     def __init__(self, java_bin: str | None = None):
         found = java_bin or (os.path.join(os.environ["JAVA_HOME"], "bin", "java") if os.environ.get("JAVA_HOME") else shutil.which("java"))
         self.known: dict[tuple[str, ...], list[str]] = {}
-        options = ["-Xmx512m", "-XX:+UseSerialGC", "-XX:TieredStopAtLevel=1", "-cp", _helper_classes(found), "JavaTool"]
+        home = _helper_classes(found)
+        options = ["-Xmx512m", "-XX:+UseSerialGC", "-XX:TieredStopAtLevel=1", *EXPORTS, f"-Dcorpusmill.stubs={home}/stubs", "-cp", home, "JavaTool"]
         self.process = subprocess.Popen([found, *options], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
 
     def ask(self, mode: str, *args: str, timeout_ms: int = TIMEOUT_MS) -> list[str]:
@@ -99,27 +109,37 @@ class JavaTool:
         self.close()
 
 
+_TOOLS: dict[int, JavaTool] = {}
+
+
+def _tool() -> JavaTool:
+    """The JVM of this Python worker, which serves task after task and ends with the worker, as its input does."""
+    mine = os.getpid()
+    if mine not in _TOOLS or _TOOLS[mine].process.poll() is not None:
+        _TOOLS.clear()
+        _TOOLS[mine] = JavaTool()
+    return _TOOLS[mine]
+
+
 def _asked(rows: DataFrame, names: list[str], fields: dict[str, str], work: Callable[[Callable[..., list[str]], dict], tuple]) -> DataFrame:
-    """(key, fields): the helper's answers for rows (key, names). A JVM starts with the first question of a task."""
+    """(key, fields): the helper's answers for rows (key, names). A JVM starts with the first question of a Python worker."""
     types = _arrow_types(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = None
-
         def ask(mode: str, *args: str) -> list[str]:
-            nonlocal tool
-            tool = tool or JavaTool()
-            return tool.ask(mode, *args)
-
-        try:
-            for batch in batches:
-                values = zip(*(batch.column(1 + k).to_pylist() for k in range(len(names))))
-                answers = [work(ask, dict(zip(names, v))) for v in values]
-                columns = [*zip(*answers)] if answers else [()] * len(fields)
-                yield pa.record_batch([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types))], names=["key", *fields])
-        finally:
-            if tool:
-                tool.close()
+            try:
+                return _tool().ask(mode, *args)
+            except BaseException:  # an answer may be left in the pipe
+                tool = _TOOLS.pop(os.getpid(), None)
+                if tool:
+                    tool.process.kill()
+                raise
+
+        for batch in batches:
+            values = zip(*(batch.column(1 + k).to_pylist() for k in range(len(names))))
+            answers = [work(ask, dict(zip(names, v))) for v in values]
+            columns = [*zip(*answers)] if answers else [()] * len(fields)
+            yield pa.record_batch([batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types))], names=["key", *fields])
 
     return rows.select("key", *names).mapInArrow(run, ", ".join(["key string", *(f"{n} {t}" for n, t in fields.items())]))
 
@@ -174,11 +194,9 @@ def with_status(ev: DataFrame, code_col: str = "prediction", classpath: str = ""
     bad = gates.trivially_bad(src)
     fixed = F.when(~bad, gates.repaired(src))
     outside = F.when(fixed.isNotNull(), java.disallowed_imports(fixed))
-    given = [] if classpath else [x for kv in JUNIT_STUBS.items() for x in kv]
-
     def work(ask, x: dict) -> tuple:
         own = [y for s in x["stubs"] if not s["path"].startswith(("org/junit/", "org/hamcrest/")) for y in (s["path"], s["stub_src"])]
-        code, said = ask("compile", classpath, "GenTest.java", x["fixed"], *own, *given)
+        code, said = ask("compile", classpath, "GenTest.java", x["fixed"], *own)
         return int(code), said
 
     held = {n: f"{n}_{k}" for k, n in enumerate(("fixed", "outside"))}  # names that ev doesn't have
