@@ -203,16 +203,32 @@ def _clipped(p: pa.Array, r: pa.Array, order: int, full: frozenset[str] | None,
     return out
 
 
+#: Tokens that are numbered at once, some 200 bytes for each; a row isn't divided.
+TOKENS_AT_ONCE = 1 << 17
+
+
+def _parts(batch: pa.RecordBatch, first: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most TOKENS_AT_ONCE tokens in the columns `first` and the next one, a row at least."""
+    ends = np.cumsum(sum(batch.column(first + k).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1)))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + TOKENS_AT_ONCE, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _bleu_sums(ev: DataFrame, tokenize: Callable[[Column], Column], by: list[str], order: int, full: frozenset[str] | None, other: float) -> DataFrame:
     """Lengths and n-gram counts of whole groups. Pairs are counted where they are, a batch at once; only sums are shuffled."""
     counts = [f"{c}_{n}" for n in range(1, order + 1) for c in ("correct", "total")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, r = batch.column(len(by)), batch.column(len(by) + 1)
-            sizes = [x.value_lengths().fill_null(0).cast(pa.int64()) for x in (p, r)]
-            columns = [*batch.columns[: len(by)], *sizes, *(pa.array(x, pa.float64()) for x in _clipped(p, r, order, full, other))]
-            yield pa.record_batch(columns, names=[*batch.schema.names[: len(by)], "sys_len", "ref_len", *counts])
+            for part in _parts(batch, len(by)):
+                p, r = part.column(len(by)), part.column(len(by) + 1)
+                sizes = [x.value_lengths().fill_null(0).cast(pa.int64()) for x in (p, r)]
+                columns = [*part.columns[: len(by)], *sizes, *(pa.array(x, pa.float64()) for x in _clipped(p, r, order, full, other))]
+                yield pa.record_batch(columns, names=[*part.schema.names[: len(by)], "sys_len", "ref_len", *counts])
 
     tokens = ev.select(*(ev[c].alias(f"b{i}") for i, c in enumerate(by)), *(tokenize(F.coalesce(c, F.lit(""))).alias(c) for c in ("prediction", "reference")))
     kinds = [f"b{i} {ev.schema[c].dataType.simpleString()}" for i, c in enumerate(by)]
