@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHAT_PAIRS = """SELECT CAST(u.conv_id*1000+u.turn AS BIGINT) AS idx, u.conv_id, u.turn, u.text AS src, a.text AS target,
   CASE WHEN u.conv_id % 10 < 8 THEN 'train' WHEN u.conv_id % 10 = 8 THEN 'eval' ELSE 'test' END AS split
@@ -45,6 +46,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql.replace(f"FROM {source}", "FROM {src}").replace(f"JOIN {source}", "JOIN {src}"), src=view(spark, sf_dir, source))
 
 
+def in_order(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view of one table with `place`, which ascends in the order of the table's files and of their rows."""
+    sql, source = VIEWS[name]
+    base = spark.read.parquet(f"{sf_dir}/{source}.parquet").select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+    return spark.sql(sql.replace("SELECT ", "SELECT place, ", 1).replace(f"FROM {source}", "FROM {src}"), src=base)
+
+
 def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL below the definitions of the views that it names."""
     wanted: list[str] = []

@@ -11,7 +11,7 @@ from corpusmill.functions import gates, java
 from corpusmill.functions import text as tx
 from corpusmill.functions import tokens as tk
 from corpusmill.operators import metrics, prep, profile, workers
-from corpusmill.plans.fixtures import view, with_views
+from corpusmill.plans.fixtures import in_order, view, with_views
 from corpusmill.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -373,9 +373,10 @@ def focal_coverage_best(spark, d):
 
 @query(f"SELECT test_idx, coalesce(arg_min({_PCT}, pos) FILTER (method_name = 'apply' AND covered + missed > 0), 0) AS coverage FROM method_counters GROUP BY test_idx", "method_counters")
 def focal_coverage_fallback(spark, d):
-    counters = view(spark, d, "method_counters")
+    """Of methods in one place the first in the table counts, as for SQL."""
+    counters = in_order(spark, d, "method_counters")
     focal = counters.select("test_idx").distinct().select("test_idx", F.lit("absent").alias("focal_name"), F.lit("C").alias("class_name"))
-    return metrics.focal_coverage(counters, focal)
+    return metrics.focal_coverage(counters, focal, ("pos", "place"))
 
 
 @query("SELECT method_name, sum(covered)::BIGINT AS covered, sum(missed)::BIGINT AS missed, round(100.0::DOUBLE * sum(covered) / (sum(covered) + sum(missed)), 6) AS pct FROM method_counters GROUP BY method_name", "method_counters")
