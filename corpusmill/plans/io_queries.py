@@ -73,9 +73,9 @@ def predictions_lines_scan(spark, d):
 
 @query("SELECT DISTINCT pos::INTEGER AS pos FROM (SELECT unnest(range(n)) AS pos FROM (SELECT count(*) AS n FROM predictions))", "predictions")
 def json_lines_positions(spark, d):
-    """Positions in one file, which is read in many splits."""
+    """Positions in one file, which is read in many splits. One task writes it, line by line; what makes the lines is spread."""
     path = f"{scratch_dir(spark, 'lines')}.jsonl"
-    view(spark, d, "predictions").select(F.to_json(F.struct("prediction")).alias("value")).coalesce(1).write.text(path)
+    view(spark, d, "predictions").select(F.to_json(F.struct("prediction")).alias("value")).repartition(1).write.text(path)
     return _read_in_splits(spark, lambda small: readers.read_json_lines(small, path).select("pos"))
 
 
