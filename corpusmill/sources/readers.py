@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
+from xml.parsers import expat
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,31 +130,58 @@ def read_tests(spark: SparkSession, path: str) -> DataFrame:
     return schemas.require(read_table(spark, path), schemas.PREDICTIONS, path).select("prediction", "original_idx")
 
 
-_METHOD = "struct<_name:string,counter:array<struct<_type:string,_covered:bigint,_missed:bigint>>>"
-_BLOCK = f"class:array<struct<method:array<{_METHOD}>>>,method:array<{_METHOD}>"
 #: Groups inside groups that a report may have; deeper ones are an error.
 GROUPS = 8
 
 
-def _report_type() -> str:
-    level = f"{_BLOCK},package:array<struct<{_BLOCK}>>,group:array<string>"
-    for _ in range(GROUPS):
-        level = f"{_BLOCK},package:array<struct<{_BLOCK}>>,group:array<struct<{level}>>"
-    return f"struct<{level}>"
-
-
-def _methods(element, depth: int = GROUPS):
-    """All methods of a report, group or package as one array: its own, those of its classes, packages and groups."""
-    empty = F.array().cast(f"array<{_METHOD}>")
-    some = lambda c: F.coalesce(c, empty)
-    within = lambda c, f: some(F.flatten(F.transform(c, f)))
-    of_block = lambda x: F.concat(some(x["method"]), within(x["class"], lambda c: some(c["method"])))
-    parts = [of_block(element), within(element["package"], of_block)]
-    if depth:
-        parts.append(within(element["group"], lambda g: _methods(g, depth - 1)))
-    else:
-        parts.append(F.when(F.size(F.coalesce(element["group"], F.array())) > 0, F.raise_error(F.lit(f"a report has groups inside {GROUPS} groups"))).otherwise(empty).cast(f"array<{_METHOD}>"))
-    return F.concat(*parts)
+class _Report:
+    """Line counters of the methods of one report after another, by Expat."""
+
+    def methods(self, text: str) -> list[tuple[int, str | None, int, int]]:
+        """(pos, name, covered, missed) in document order, pos among all methods; none if the text isn't well formed."""
+        self.found, self.kinds, self.method, self.deep = [], [], None, 0
+        parser = expat.ParserCreate(encoding="utf-8")
+        parser.StartElementHandler, parser.EndElementHandler = self._start, self._end
+        try:
+            parser.Parse(text.encode("utf-8", "surrogatepass"), True)
+        except expat.ExpatError:
+            return []
+        if self.deep > GROUPS:
+            raise ValueError(f"a report has groups inside {GROUPS} groups")
+        return [(i, name, covered, missed) for i, (name, _, covered, missed) in enumerate(self.found) if covered is not None and missed is not None]
+
+    def _start(self, kind: str, attributes: dict[str, str]) -> None:
+        """An element counts if those around it are known ones in their order: report, groups, package, class, method."""
+        kinds = self.kinds
+        above = kinds[-1] if kinds else None
+        if above is None:
+            known = not kinds
+            kind = "report"
+        elif kind == "counter":
+            known = above == "method"
+            if known and not self.method[1] and attributes.get("type") == "LINE":
+                self.method[1:] = True, _whole(attributes.get("covered")), _whole(attributes.get("missed"))
+        elif kind == "method":
+            known = above in ("report", "group", "package", "class")
+            if known:
+                self.method = [attributes.get("name"), False, None, None]
+                self.found.append(self.method)
+        else:
+            known = above in _AROUND.get(kind, ())
+            if known and kind == "group":
+                self.deep = max(self.deep, 1 + kinds.count("group"))
+        kinds.append(kind if known else "")
+
+    def _end(self, kind: str) -> None:
+        self.kinds.pop()
+
+
+#: What each kind of element may stand in.
+_AROUND = {"class": ("report", "group", "package"), "package": ("report", "group"), "group": ("report", "group")}
+
+
+def _whole(text: str | None) -> int | None:
+    return int(text) if text is not None and re.fullmatch(r"\s*[+-]?[0-9]{1,18}\s*", text, re.ASCII) else None
 
 
 def coverage_methods(reports: DataFrame, xml_col: str = "report") -> DataFrame:
@@ -159,10 +190,14 @@ def coverage_methods(reports: DataFrame, xml_col: str = "report") -> DataFrame:
     Reports are parsed as XML; one that isn't well formed has no methods.
     """
     keep = [c for c in reports.columns if c != xml_col]
-    parsed = reports.select(*keep, F.from_xml(F.regexp_replace(xml_col, "(?s)<!DOCTYPE[^>\\[]*(\\[.*?\\])?\\s*>", ""), _report_type()).alias("x_"))
-    each = parsed.where("x_ is not null").select(*keep, F.posexplode(_methods(F.col("x_"))).alias("pos", "m_"))
-    line = F.get(F.filter(F.col("m_.counter"), lambda c: c["_type"] == "LINE"), F.lit(0))
-    return each.select(*keep, F.col("pos").cast("bigint").alias("pos"), F.col("m_._name").alias("method_name"), line["_covered"].alias("covered"), line["_missed"].alias("missed")).where("covered is not null and missed is not null")
+    kind = "array<struct<pos:bigint,method_name:string,covered:bigint,missed:bigint>>"
+
+    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        report = _Report()
+        for texts in batches:
+            yield pd.Series([None if t is None else report.methods(t) for t in texts])
+
+    return reports.select(*keep, F.pandas_udf(parsed, kind)(F.col(xml_col)).alias("m_")).select(*keep, F.inline("m_"))
 
 
 def read_coverage_xml(spark: SparkSession, path: str) -> DataFrame:
