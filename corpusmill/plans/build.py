@@ -224,7 +224,9 @@ def evaluate(prompts: DataFrame, predictions: DataFrame, model: str = "chatml",
 
 def coverage_tests(tests: DataFrame, focal: DataFrame) -> DataFrame:
     """(idx, test_src, test_path, focal_src, focal_path, focal_name, class_name) of tests (original_idx, prediction) and focal sources (idx, src)."""
-    pairs = metrics.gather(tests, focal)
+    spark = tests.sparkSession
+    # joined rows are so short that a few tasks would be left with all of them, but each costs a millisecond here and may cost seconds later
+    pairs = metrics.gather(tests, focal).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     renamed = java.uniquify_test(F.col("original_idx"), F.col("prediction"), generated_only=True)
     fixed = java_scan.normalize_focal(F.col("src"))
     rows = pairs.select(F.col("original_idx").alias("idx"), renamed.alias("t"), fixed.alias("focal_src"))

@@ -11,7 +11,7 @@ from corpusmill.plans import build
 from corpusmill.plans.fixtures import view
 from corpusmill.plans.io_queries import _13A
 from corpusmill.plans.queries import _FOLD, _GRAMS, _TYPES, _dealt, query
-from corpusmill.sources import writers
+from corpusmill.sources import readers, writers
 from corpusmill.sources.scratch import scratch_dir
 
 
@@ -125,10 +125,9 @@ def workspace_sink(spark, d):
     n = F.col("original_idx").cast("string")
     focal = tests.select(F.col("original_idx").alias("idx"), F.concat(F.lit("class C"), n, F.lit(" { int f() { return "), n, F.lit("; } }")).alias("src"))
     path = scratch_dir(spark, "workspaces")
-    writers.write_java_files(_dealt(workers.workspace_files(build.coverage_tests(tests, focal))), path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    own = F.regexp_extract("path", "/(-?[0-9]+/(?:src|tests)/.*)\\z", 1)
-    return files.select(own.alias("path"), F.when(own.contains("/src/"), F.decode("content", "UTF-8")).alias("src"))
+    writers.write_java_files(workers.workspace_files(build.coverage_tests(tests, focal)), path, folders=writers.FOLDERS)
+    own = F.col("rel_path")
+    return readers.read_java_files(spark, path).select(own.alias("path"), F.when(own.contains("/src/"), F.decode("content", "UTF-8")).alias("src"))
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from functools import reduce
 from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from corpusmill import schemas
 from corpusmill.functions.text import is_blank, lstrip
-from corpusmill.sources import json_arrays
+from corpusmill.sources import json_arrays, publish, writers
 
 SPLITS = ("train", "eval", "test")
 
@@ -205,6 +206,41 @@ def read_coverage_xml(spark: SparkSession, path: str) -> DataFrame:
     return coverage_methods(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("report"), "value"), "value")
 
 
+#: Bytes of files that a task hands on at once, and how many files at most.
+FILES_AT_ONCE = 1 << 23, 2000
+
+
+def read_java_files(spark: SparkSession, root: str) -> DataFrame:
+    """(rel_path, content) of the files that `write_java_files(folders=…)` wrote, without those that have no byte.
+
+    The driver lists the folders of root, of which there are as many at any size; what is in one is listed and read by the task that it is dealt to.
+    """
+    uri, (most, many) = writers.store_uri(root), FILES_AT_ONCE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(uri)
+        handed = lambda rows: pa.record_batch([pa.array([p for p, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.binary())], names=["rel_path", "content"])
+        for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+            top, rows, held = f"{base.rstrip('/')}/{folder}", [], 0
+            for info in store.get_file_info(fs.FileSelector(top, recursive=True)):
+                if info.type != fs.FileType.File or not info.size:
+                    continue
+                with store.open_input_stream(info.path) as data:
+                    rows.append((info.path[len(top) + 1 :], data.read()))
+                held += info.size
+                if held >= most or len(rows) >= many:
+                    yield handed(rows)
+                    rows, held = [], 0
+            yield handed(rows)
+
+    found = publish.names(spark, root)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    folders = spark.createDataFrame([(n,) for n in found], "folder string").repartition(min(tasks, max(1, len(found))))
+    return folders.mapInArrow(run, "rel_path string, content binary")
+
+
 def read_registry(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
     """model -> split -> path, of the small YAML file `models: {name: {processed_train: path, ...}}`, wherever Spark can read it.
 

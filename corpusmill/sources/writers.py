@@ -42,28 +42,41 @@ def write_corrected_tests(results: DataFrame, path: str, files: int | None = Non
         write_java_files(results.select(F.concat(F.lit("GenTest"), F.col("idx").cast("string"), F.lit(".java")).alias("rel_path"), F.col("fixed_src").alias("src")), java_dir)
 
 
-def write_java_files(df: DataFrame, root: str, path_col: str = "rel_path", src_col: str = "src") -> int:
+#: Folders of files by their path, at any size.
+FOLDERS = 1024
+
+
+def store_uri(root: str) -> str:
+    """A path or URI as the URI by which Arrow opens its store."""
+    return root if "://" in root else f"file://{os.path.abspath(root.removeprefix('file:'))}"
+
+
+def write_java_files(df: DataFrame, root: str, path_col: str = "rel_path", src_col: str = "src", folders: int = 0) -> int:
     """A file root/<path> for each row, with its source as it is, written by the tasks; returns how many.
 
     root: a folder that all executors share, as a path or URI of a store that Arrow opens. A path that leads out of it is a ValueError.
+    folders: over how many folders of root, 0000 and so on, files are dealt by the first part of their path. No folder then grows with all rows, and
+    `readers.read_java_files` has each listed and read by a task. By default files are in root itself.
     """
-    uri = root if "://" in root else f"file://{os.path.abspath(root.removeprefix('file:'))}"
+    uri = store_uri(root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(uri)
         for batch in batches:
-            for path, src in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at = posixpath.normpath(posixpath.join(base, path))
-                if not at.startswith(base.rstrip("/") + "/"):
+            for folder, path, src in zip(*(c.to_pylist() for c in batch.columns)):
+                top = posixpath.join(base, folder)
+                at = posixpath.normpath(posixpath.join(top, path))
+                if not at.startswith(top.rstrip("/") + "/"):
                     raise ValueError(f"{path} leads out of {root}")
                 store.create_dir(posixpath.dirname(at), recursive=True)
                 with store.open_output_stream(at) as out:
                     out.write((src or "").encode())
             yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    rows = df.select(F.col(path_col).alias("path"), F.col(src_col).alias("src")).where("path is not null")
+    folder = F.format_string("%04d", F.pmod(F.xxhash64(F.substring_index(path_col, "/", 1)), F.lit(folders))) if folders else F.lit("")
+    rows = df.select(folder.alias("folder"), F.col(path_col).alias("path"), F.col(src_col).alias("src")).where("path is not null")
     return rows.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
