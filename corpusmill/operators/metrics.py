@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -301,12 +302,14 @@ def status_counts(results: DataFrame, by: list[str] = ()) -> DataFrame:
 def focal_coverage(counters: DataFrame, focal: DataFrame, order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """(test_idx, coverage) of counters (test_idx, pos, method_name, covered, missed; lines only) and focal
     (test_idx, focal_name, class_name): the best method of the focal name; if none has a line counter, the first method in
-    the report that is no constructor, accessor or utility and has lines; else 0. order: the columns that say which is first."""
+    the report that is no constructor, accessor or utility and has lines; else 0. order: the columns that say which is first; a method
+    for which one of them is null is none of those. A null test_idx is an index like any other."""
     lines = F.col("covered") + F.col("missed")
     ratio = F.when(lines > 0, 100.0 * F.col("covered").cast("double") / lines)
     named = F.col("method_name") == F.col("focal_name")
-    other = eligible(F.col("method_name"), F.col("class_name")) & (lines > 0)
-    agg = focal.join(counters, "test_idx", "left").groupBy("test_idx").agg(
+    other = reduce(lambda a, c: a & F.col(c).isNotNull(), order, eligible(F.col("method_name"), F.col("class_name")) & (lines > 0))
+    found = counters.withColumnRenamed("test_idx", "test_idx_")
+    agg = focal.join(found, F.col("test_idx").eqNullSafe(F.col("test_idx_")), "left").groupBy("test_idx").agg(
         F.count_if(named).alias("named"), F.coalesce(F.max(F.when(named, ratio)), F.lit(0.0)).alias("best"), F.min_by(F.when(other, ratio), F.when(other, F.struct(*order))).alias("fallback")
     )
     return agg.select("test_idx", F.when(F.col("named") > 0, F.col("best")).otherwise(F.coalesce("fallback", F.lit(0.0))).alias("coverage"))
