@@ -220,9 +220,8 @@ def corrected_tests_sink(spark, d):
 def java_files_sink(spark, d):
     path = scratch_dir(spark, "java")
     named = _results(spark, d).select(F.concat(F.lit("GenTest"), F.col("idx").cast("string"), F.lit(".java")).alias("rel_path"), F.concat("fixed_src", F.lit("\n")).alias("src"))
-    writers.write_java_files(_dealt(named), path)
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.substring_index("path", "/", -1).alias("file"), F.decode("content", "UTF-8").alias("src"))
+    writers.write_java_files(_dealt(named), path, folders=writers.FOLDERS)
+    return readers.read_java_files(spark, path).select(F.col("rel_path").alias("file"), F.decode("content", "UTF-8").alias("src"))
 
 
 @query("SELECT idx, 'log ' || idx AS error FROM java_tests WHERE length(prediction) > 60", "java_tests")
